@@ -56,12 +56,11 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     connection with one row less than there are members; a value is met by 65
     fingerprints at most for the radius 2. Pairs are verified and given once.
     """
-    if radius not in (0, 1, 2):
-        raise ValueError("the ball of half the radius must be of 0 or 1 bits")
-    ball = "array(fp)" if radius < 2 else "array_append(transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)), fp)"
-    if radius == 1:
-        ball = "array_append(transform(sequence(0, 63), i -> fp & ~shiftleft(1L, i)), fp)"
-    met = prints.select("fp", F.explode(F.expr(ball)).alias("variant")).distinct() if radius == 1 else prints.select("fp", F.explode(F.expr(ball)).alias("variant"))
+    if radius not in (0, 2):
+        raise ValueError("the radius is 0 or 2")
+    if not radius:
+        return prints.select(F.col("fp").alias("lo"), F.col("fp").alias("hi")).where("false")
+    met = prints.select("fp", F.explode(F.expr("array_append(transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)), fp)")).alias("variant"))
     chain = met.withColumn("lo", F.lag("fp").over(W.partitionBy("variant").orderBy("fp"))).where("lo is not null")
     return chain.select("lo", F.col("fp").alias("hi")).where(f"bit_count(lo ^ hi) <= {radius}").distinct()
 
