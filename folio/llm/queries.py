@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.digest import neighbour_digests
+from folio.llm.mixing import mix_sources
+from folio.llm.pieces import encode_documents
 from folio.llm.quality_rules import quality_rules
 from folio.llm.simhash import simhash_groups
 from folio.llm.suffix import suffix_digest
@@ -14,6 +18,10 @@ from folio.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
@@ -24,10 +32,22 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), PIECES, keep=["doc_id"])
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_dedup, op2_suffix_dedup, op8_quality_rules)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_dedup, op2_suffix_dedup, op4_mix_sources, op7_sentencepiece, op8_quality_rules, op10_fingerprints)}
 
 ORACLES: dict[str, str] = {}
