@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm import chat, warc
 from folio.llm.digest import neighbour_digests
 from folio.llm.mixing import mix_sources
 from folio.llm.pieces import encode_documents
@@ -36,6 +37,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), PIECES, keep=["doc_id"])
 
@@ -48,6 +57,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_dedup, op2_suffix_dedup, op4_mix_sources, op7_sentencepiece, op8_quality_rules, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_dedup, op2_suffix_dedup, op4_mix_sources, op5_warc_derivatives, op6_chat_perspectives, op7_sentencepiece, op8_quality_rules, op10_fingerprints)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_warc_derivatives": warc.oracle(), "op6_chat_perspectives": chat.oracle()}
