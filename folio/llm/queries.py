@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import chat, warc
 from folio.llm.digest import neighbour_digests
+from folio.llm.mil import quality_scores
 from folio.llm.mixing import mix_sources
 from folio.llm.pieces import encode_documents
 from folio.llm.quality_rules import quality_rules
@@ -53,10 +54,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_dedup, op2_suffix_dedup, op4_mix_sources, op5_warc_derivatives, op6_chat_perspectives, op7_sentencepiece, op8_quality_rules, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_dedup, op2_suffix_dedup, op4_mix_sources, op5_warc_derivatives, op6_chat_perspectives, op7_sentencepiece, op8_quality_rules, op9_quality_classifier, op10_fingerprints)}
 
 ORACLES: dict[str, str] = {"op5_warc_derivatives": warc.oracle(), "op6_chat_perspectives": chat.oracle()}
