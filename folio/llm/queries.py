@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import chat, warc
 from folio.llm.digest import neighbour_digests
+from folio.llm.licences import licence_scan
 from folio.llm.mil import quality_scores
 from folio.llm.mixing import mix_sources
 from folio.llm.pieces import encode_documents
@@ -34,6 +35,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,6 +67,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_dedup, op2_suffix_dedup, op4_mix_sources, op5_warc_derivatives, op6_chat_perspectives, op7_sentencepiece, op8_quality_rules, op9_quality_classifier, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_dedup, op2_suffix_dedup, op3_licence_scan, op4_mix_sources, op5_warc_derivatives, op6_chat_perspectives, op7_sentencepiece, op8_quality_rules, op9_quality_classifier, op10_fingerprints)}
 
 ORACLES: dict[str, str] = {"op5_warc_derivatives": warc.oracle(), "op6_chat_perspectives": chat.oracle()}
