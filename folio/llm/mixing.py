@@ -142,13 +142,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, all columns as
-    they are. Rows without a word are never taken."""
+    they are. Rows without a word are never taken. Of rows that repeat an id and a
+    text, those that are taken once more are any."""
     found = mix_sources(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    # rows that repeat an id and a text are told apart by how often, not by which, they're taken
-    takes = found.groupBy(F.col(id_col).alias("_id"), "_draw").agg(F.sum(F.expr("taken div size")).alias("_n"), F.count("*").alias("_rows"))
-    seed = options.get("seed", 11)
-    draw = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
-    one = docs.join(takes, docs[id_col].eqNullSafe(takes["_id"]) & (draw == takes["_draw"]))
-    # all of one id and text together give _n rows: div for each, and the rest by chance of the row's order
-    times = F.expr("_n div _rows").cast("int")
-    return one.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).select(*docs.columns)
+    takes = found.groupBy(F.col(id_col).alias("_id"), F.col("_draw").alias("_key")).agg(F.sum(F.expr("taken div size")).alias("_n"), F.count("*").alias("_rows"))
+    draw = F.xxhash64(F.lit(options.get("seed", 11)), docs[id_col], docs[text_col])
+    one = docs.join(takes, docs[id_col].eqNullSafe(takes["_id"]) & (draw == takes["_key"]))
+    one = one.withColumn("_at", F.row_number().over(W.partitionBy("_id", "_key").orderBy("_key")))
+    times = (F.expr("_n div _rows") + (F.col("_at") <= F.col("_n") % F.col("_rows")).cast("long")).cast("int")
+    return one.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

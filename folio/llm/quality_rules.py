@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,18 +68,25 @@ def counts(text: bytes | None) -> tuple[int, ...]:
     return (len(words), without(TAILS + SPACE), size - without(SYMBOLS), again, repeat_words(words), lines, size - without(UPPER), size - without(LOWER), b.count(b"!") + b.count(b"?"))
 
 
+@F.arrow_udf("array<long>")
+def _counts(text: pa.Array) -> pa.Array:
+    found = np.array([counts(t) for t in text.to_pylist()], np.int64)
+    return pa.ListArray.from_arrays(np.arange(0, found.size + 1, len(COUNTS), dtype=np.int32), pa.array(found.ravel()))
+
+
+def measured(docs: DataFrame, text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
+    """docs with two columns more: _stratum, and _counts as an array."""
+    stratum = F.col(stratum_col).cast("string") if stratum_col else F.lit("")
+    return docs.withColumns({"_stratum": F.coalesce(stratum, F.lit("")), "_counts": _counts(F.col(text_col).cast("binary"))})
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """id, stratum and COUNTS of every row."""
+    return _named(measured(docs, text_col, stratum_col), id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.array([counts(t) for t in b.column(2).to_pylist()], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(found[:, i]) for i in range(len(COUNTS)))], ["id", "stratum", *COUNTS])
 
-    stratum = F.col(stratum_col).cast("string") if stratum_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(stratum, F.lit("")).alias("stratum"), F.col(text_col).cast("binary").alias("text"))
-    kinds = ", ".join(f"{c} long" for c in COUNTS)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, stratum string, {kinds}")
+def _named(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.select(F.col(id_col).alias("id"), F.col("_stratum").alias("stratum"), *(F.col("_counts")[i].alias(c) for i, c in enumerate(COUNTS)))
 
 
 def at_most(k: int, n: int, p: float) -> float:
@@ -151,6 +157,17 @@ def base_failed() -> Column:
     return F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
 
 
+def verdicts(stats: DataFrame, chosen: dict[str, dict[str, float]]) -> DataFrame:
+    """stats with base_failed and rule, the first one that rejects the row."""
+    spark = stats.sparkSession
+    rows = [(s, r, float(c)) for s, of in chosen.items() for r, c in of.items()]
+    cut = spark.createDataFrame(rows, "stratum string, rule string, cut double").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))
+    over = F.coalesce(*(F.when(F.expr(f"{ratio} > cuts['{rule}']"), F.lit(rule)) for rule, (ratio, _) in RULES.items()))
+    # one row for each stratum that has a certificate: as many as there are strata among the labels
+    joined = stats.join(F.broadcast(cut) if len(rows) <= 10_000 else cut, "stratum", "left")
+    return joined.withColumns({"base_failed": base_failed(), "rule": over})
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_col: str = "quality", risk: float = 0.03, doubt: float = 0.05) -> DataFrame:
     """id, COUNTS, base_failed, kept and the rule that rejected, for each row.
 
@@ -158,20 +175,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     too few in a stratum for any certificate, only the base rejects. Repeated rows
     are judged each; other columns are not read. Empty tables give empty results.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    stats = scratch.save(measure(docs, id_col, text_col, stratum_col), "stats")
-    chosen = cutoffs(stats, labels, risk, doubt, id_col, label_col)
-    rows = [(s, r, float(c)) for s, of in chosen.items() for r, c in of.items()]
-    cut = spark.createDataFrame(rows, "stratum string, rule string, cut double").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))
-    over = F.coalesce(*(F.when(F.expr(f"{ratio} > cuts['{rule}']"), F.lit(rule)) for rule, (ratio, _) in RULES.items()))
-    # one row for each stratum that has a certificate: as many as there are strata among the labels
-    out = stats.join(F.broadcast(cut) if len(rows) <= 10_000 else cut, "stratum", "left").withColumns({"base_failed": base_failed(), "rule": over})
+    stats = Scratch(docs.sparkSession, "quality").save(measure(docs, id_col, text_col, stratum_col), "stats")
+    out = verdicts(stats, cutoffs(stats, labels, risk, doubt, id_col, label_col))
     return out.select(F.col("id").alias(id_col), *COUNTS, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows that quality_rules rejects. Rows that repeat an id
-    stay if one of them is kept."""
-    kept = quality_rules(docs, labels, id_col, **options).where("kept").select(F.col(id_col).alias("_keep"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_col: str = "quality", risk: float = 0.03, doubt: float = 0.05) -> DataFrame:
+    """docs without the rows that quality_rules rejects, all columns as they are.
+
+    The rows are written with their counts, and filtered once the cutoffs are
+    known, so texts are read by one Python pass and aren't shuffled."""
+    rows = Scratch(docs.sparkSession, "quality").save(measured(docs, text_col, stratum_col), "rows")
+    chosen = cutoffs(_named(rows, id_col), labels, risk, doubt, id_col, label_col)
+    held = rows.select(F.struct(*docs.columns).alias("_doc"), F.col("_stratum").alias("stratum"), *(F.col("_counts")[i].alias(c) for i, c in enumerate(COUNTS)))
+    return verdicts(held, chosen).where("not base_failed and rule is null").select("_doc.*")

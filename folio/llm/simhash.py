@@ -88,7 +88,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """docs with one row of each group kept: the one with the smallest id.
 
-    All columns stay as they are. Of rows that repeat that id, any one stays."""
-    groups = simhash_groups(docs, id_col, text_col, radius=radius)
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([id_col])
+    All columns stay as they are. Of rows that repeat that id, any one stays.
+    Rows with a null id stay where their group has no other."""
+    groups = Scratch(docs.sparkSession, "near").save(simhash_groups(docs, id_col, text_col, radius=radius), "groups")
+    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    again = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count().where("count > 1")
+    return left if again.isEmpty() else left.dropDuplicates([id_col])
