@@ -68,16 +68,16 @@ def counts(text: bytes | None) -> tuple[int, ...]:
     return (len(words), without(TAILS + SPACE), size - without(SYMBOLS), again, repeat_words(words), lines, size - without(UPPER), size - without(LOWER), b.count(b"!") + b.count(b"?"))
 
 
-@F.arrow_udf("array<long>")
-def _counts(text: pa.Array) -> pa.Array:
-    found = np.array([counts(t) for t in text.to_pylist()], np.int64)
-    return pa.ListArray.from_arrays(np.arange(0, found.size + 1, len(COUNTS), dtype=np.int32), pa.array(found.ravel()))
-
-
 def measured(docs: DataFrame, text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """docs with two columns more: _stratum, and _counts as an array."""
+
+    @F.arrow_udf("array<long>")
+    def found(text: pa.Array) -> pa.Array:
+        rows = np.array([counts(t) for t in text.to_pylist()], np.int64)
+        return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, len(COUNTS), dtype=np.int32), pa.array(rows.ravel()))
+
     stratum = F.col(stratum_col).cast("string") if stratum_col else F.lit("")
-    return docs.withColumns({"_stratum": F.coalesce(stratum, F.lit("")), "_counts": _counts(F.col(text_col).cast("binary"))})
+    return docs.withColumns({"_stratum": F.coalesce(stratum, F.lit("")), "_counts": found(F.col(text_col).cast("binary"))})
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:

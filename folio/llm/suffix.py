@@ -273,9 +273,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points. Texts without repeats, nulls included, stay as they are."""
     joined, _ = _with_spans(docs, id_col, text_col, span)
 
-    @F.pandas_udf("string")
-    def cut(text, s, e):
-        return text.combine(list(zip(s, e, strict=True)), lambda t, x: t if x[0] is None else kept_bytes(t.encode(), list(zip(x[0], x[1], strict=True)), True)[0].decode())
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, s: pa.Array, e: pa.Array) -> pa.Array:
+        rows = zip(text.to_pylist(), s.to_pylist(), e.to_pylist(), strict=True)
+        return pa.array([t if x is None else kept_bytes(t.encode(), list(zip(x, y, strict=True)), True)[0].decode() for t, x, y in rows], pa.string())
 
     text = F.when(F.col("_x").isNull(), F.col(text_col)).otherwise(cut(text_col, F.col("_x.s"), F.col("_x.e")))
     out = joined.withColumn(text_col, text)
