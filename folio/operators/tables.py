@@ -10,12 +10,12 @@ from folio.functions.text import csv_cell, is_separator, pad, rule_line, split_r
 from folio.operators.lines import by_line
 
 
-def table_lines(rows: DataFrame, compat: bool = True) -> DataFrame:
+def table_lines(rows: DataFrame, compat: bool = True, least: int = 2) -> DataFrame:
     """Lines to table rows: doc_id, table_no, table_name, row_no, cells.
 
     A table is a run of lines with a pipe. Separator lines aren't rows (in compat
-    mode wherever they stand, else as the second line only); with two rows or more
-    the table counts. Its name is the nearest of the four lines before it that is
+    mode wherever they stand, else as the second line only); with ``least`` rows or
+    more the table counts. Its name is the nearest of the four lines before it that is
     a heading, made fit for a sheet, or else Sheet and its number.
     """
     island = F.sum((~F.col("line").contains("|")).cast("int")).over(by_line())
@@ -29,7 +29,7 @@ def table_lines(rows: DataFrame, compat: bool = True) -> DataFrame:
         sep = sep & (F.col("_at") == 2)
     x = x.where(~sep).withColumns({"row_no": F.row_number().over(of), "cells": split_row(F.col("line"), compat)})
     whole = W.partitionBy("doc_id", "island")
-    x = x.withColumns({"n_rows": F.count("*").over(whole), "width": F.max(F.size("cells")).over(whole), "name": F.first("name").over(of)}).where("n_rows >= 2")
+    x = x.withColumns({"n_rows": F.count("*").over(whole), "width": F.max(F.size("cells")).over(whole), "name": F.first("name").over(of)}).where(F.col("n_rows") >= least)
     x = x.withColumn("table_no", F.dense_rank().over(W.partitionBy("doc_id").orderBy("island")))
     name = F.coalesce(F.nullif(strip(F.col("name")), F.lit("")), F.concat(F.lit("Sheet"), F.col("table_no").cast("string")))
     return x.select("doc_id", "table_no", name.alias("table_name"), "row_no", pad(F.col("cells"), F.col("width")).alias("cells"))

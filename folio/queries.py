@@ -16,7 +16,9 @@ from folio.functions.html import html_to_markdown
 from folio.functions.inline import segments, stripped
 from folio.functions.tree import json_to_markdown, markdown_to_json
 from folio.operators import catalog, images, layout, lines, search, tables, transcript
+from folio.plans import convert
 from folio.runtime import table
+from folio.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -559,3 +561,114 @@ def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = spark.createDataFrame([("R", "F", "E1"), ("R", None, "E2"), ("A", None, "E3")], "exception string, stage string, code string")
     x = table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_returnflag").alias("exception"), F.col("l_linestatus").alias("stage"))
     return catalog.error_codes(x, mapping).groupBy("l_linenumber", "code").agg(F.count("*").alias("n"))
+
+
+# ---- files of each format, as bytes made of the tables
+
+
+def nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation in one of five formats, two of them broken."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    key, name = k.cast("string"), F.col("n_name")
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit('name,key\n"'), name, F.lit(', the"\n'), key, F.lit(",1,2\n")))
+        .when(k % 5 == 1, F.to_json(F.struct(name.alias("title"), F.struct(k.alias("key")).alias("settings"), F.array(F.struct(name.alias("a"))).alias("rows"))))
+        .when(k % 5 == 2, F.concat(F.lit("server:\n  port: 80"), key, F.lit("\n  host: "), name))
+        .when(k % 5 == 3, F.concat(F.lit("<h1>"), name, F.lit("</h1><ul><li>one<li>"), key, F.lit("</ul>")))
+        .otherwise(F.concat(F.lit("# "), name, F.lit("\n\n| a | b |\n| --- | --- |\n| "), key, F.lit(" | x |\n")))
+    )
+    ext = F.element_at(F.array(*map(F.lit, [".csv", ".json", ".yaml", ".html", ".md"])), (k % 5 + 1).cast("int"))
+    content = F.when(k == 6, F.lit("{broken")).otherwise(text).cast("binary")
+    return n.select(F.concat(F.lit("in/"), name, F.when(k == 9, ".exe").otherwise(ext)).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+
+
+@query()
+def files_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.imported(nation_files(spark, sf_dir))
+
+
+@query()
+def files_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file to a workbook, and the workbooks read again."""
+    made = convert.converted(nation_files(spark, sf_dir), ".xlsx")
+    back = files.imported(made.where("content is not null").select(F.col("output").alias("path"), "content")).select(F.col("path").alias("output"), "text")
+    return made.drop("content").join(back, "output", "left")
+
+
+@query("""WITH p AS (SELECT n_nationkey AS k, n_name FROM nation) SELECT 'in/' || n_name || CASE WHEN k = 9 THEN '.exe' ELSE ['.csv', '.json', '.yaml', '.html', '.md'][k % 5 + 1] END AS path, CASE WHEN k = 9 THEN 'extension' END AS problem FROM p""")
+def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.checked(files.heads(nation_files(spark, sf_dir))).select("path", "problem")
+
+
+@query("""WITH s AS (SELECT s_nationkey AS doc, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS row_no, s_name FROM supplier) SELECT doc::VARCHAR AS path, row_no::INT AS row_no, s_name AS cell FROM s UNION ALL SELECT DISTINCT doc::VARCHAR, 0, 's_name' FROM s""")
+def workbook_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of each nation as a table, as a workbook, and its cells."""
+    made = tables.rendered(table(spark, sf_dir, "supplier"), ["s_nationkey"], ["s_suppkey"], ["s_name"])
+    books = convert.exported(made.select(F.col("s_nationkey").cast("string").alias("path"), "text"), ".xlsx")
+    return files.workbook_cells(books).where("cell <> ''").select("path", "row_no", "cell")
+
+
+@query()
+def pages_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages over Markdown to word-processor files and back."""
+    text = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".docx")).alias("path"), html_to_markdown(F.col("html")).alias("text"))
+    return files.imported(convert.exported(text, ".docx"))
+
+
+@query("SELECT n_nationkey AS media_id, 0 AS seq, n_nationkey / 1000 AS start, n_name || ' said' AS text FROM nation UNION ALL SELECT n_nationkey, 2, 1.5, n_name FROM nation")
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = lambda at, *t: F.struct(F.lit(at).cast("long").alias("tStartMs") if isinstance(at, int) else at.cast("long").alias("tStartMs"), F.array(*(F.struct(x.alias("utf8")) for x in t)).alias("segs"))
+    name = F.col("n_name")
+    made = F.to_json(F.struct(F.array(event(F.col("n_nationkey"), name, F.lit(" said")), event(1000, F.lit(" ")), event(1500, name)).alias("events")))
+    return transcript.captions(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("media_id"), made.alias("json")), "json")
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'manual' WHEN 'O' THEN 'auto' ELSE 'other' END AS kind FROM orders)
+SELECT o_custkey, arg_min(kind, (CASE kind WHEN 'manual' THEN 0 WHEN 'auto' THEN 1 ELSE 1048576 END, seq)) AS kind, arg_min(seq, (CASE kind WHEN 'manual' THEN 0 WHEN 'auto' THEN 1 ELSE 1048576 END, seq)) AS seq FROM c GROUP BY 1""")
+def preferred_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "manual").when(F.col("o_orderstatus") == "O", "auto").otherwise("other")
+    x = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), kind.alias("kind"))
+    return transcript.preferred(x, "o_custkey", {"manual": 0, "auto": 1})
+
+
+@query("""WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS s FROM embeddings), m AS (SELECT vec_id, s, list_avg(s) AS mean FROM a), p AS (SELECT *, list_max(list_transform(s, lambda x: abs(x - mean))) AS peak FROM m),
+g AS (SELECT *, CASE WHEN peak > 1e-4 THEN least(0.9 / peak, 10.0) ELSE 1.0 END AS gain FROM p) SELECT vec_id, round(mean, 6) AS mean, round(gain, 6) AS gain, round(list_max(list_transform(s, lambda x: greatest(least((x - mean) * gain, 1.0), -1.0))), 6) AS top FROM g""")
+def audio_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
+    out = transcript.normalised_audio(x)
+    return out.select("vec_id", F.round("mean", 6).alias("mean"), F.round("gain", 6).alias("gain"), F.round(F.array_max("samples"), 6).alias("top"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity < 10 OR (l_suppkey % 20 < 12 AND l_quantity < 14) OR l_partkey % 10 = 9 AS artifact, count(*) AS n FROM lineitem GROUP BY ALL""")
+def image_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("double")
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(500).alias("bytes"), (q + 6).alias("width"), (q + 8).alias("height"), q.alias("std"), (F.col("l_suppkey") % 20).alias("colour"), (F.col("l_partkey") % 10 / 10).alias("centre_blank"), F.lit(0.1).alias("white"), F.lit(0.1).alias("page_share"), F.lit(True).alias("has_text"))
+    return layout.image_artifacts(x).groupBy("l_orderkey", "l_linenumber", "artifact").agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS link_id, 'u' || l_partkey AS uri FROM lineitem), a AS (SELECT CASE p_size % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'folder' ELSE 'name' END AS kind, 'u' || p_partkey AS uri, 'assets/' || p_brand || '.png' AS path FROM part),
+b AS (SELECT link_id, arg_min(path, (CASE kind WHEN 'path' THEN 0 WHEN 'folder' THEN 1 ELSE 2 END, path)) AS path FROM l JOIN a USING (uri) GROUP BY 1) SELECT DISTINCT link_id, path FROM l LEFT JOIN b USING (link_id)""")
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_size") % 3 == 0, "path").when(F.col("p_size") % 3 == 1, "folder").otherwise("name")
+    assets = part.select(kind.alias("kind"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("uri"), F.concat(F.lit("assets/"), "p_brand", F.lit(".png")).alias("path"))
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("link_id"), F.concat(F.lit("u"), F.col("l_partkey").cast("string")).alias("uri"))
+    return catalog.resolved(links, assets, ["path", "folder", "name"]).select("link_id", "path").distinct()
+
+
+@query("""SELECT source, count(*) AS n_files, sum(n_chars)::BIGINT AS size FROM documents GROUP BY 1""")
+def storage_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("size"))
+
+
+@query(f"""WITH {ISLANDS}, r AS (SELECT doc_id, island, {CELLS} AS cells, min(line_no) OVER (PARTITION BY doc_id, island) AS first FROM i WHERE line LIKE '%|%' AND NOT {SEP}), w AS (SELECT doc_id, unnest(cells) AS c, generate_subscripts(cells, 1) - 1 AS col_no FROM r)
+SELECT doc_id, col_no::INT AS col_no, least(max(length(c)) + 5, 60)::INT AS width FROM w GROUP BY 1, 2""")
+def table_column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.column_widths(tables.table_lines(lines.lines(table(spark, sf_dir, "documents")), least=1).select("doc_id", "cells"))
+
+
+@query()
+def pseudo_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rows found in documents, and whether each is prose with a pipe in it."""
+    x = tables.table_lines(lines.lines(table(spark, sf_dir, "documents")))
+    return x.select("doc_id", "table_no", "row_no", tables.looks_like_prose(F.col("cells")).alias("prose"))
