@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,17 +76,30 @@ class Codec:
         self.low = min((v.scores[i] for i in self.ids.values()), default=0.0) - 10
         self.raw = [bytes([v.bytes_at[i]]) if i in v.bytes_at else b"" if i in v.hidden else p.encode() for i, p in enumerate(v.pieces)]
         self.raw[v.unk] = " ⁇ ".encode()
-        #: every beginning of a piece, with the piece's id where it is one
-        self.starts: dict[str, int | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.ids
-        #: characters that stand next to each other in a piece: all paths meet between any others
+        #: characters that are neighbours in a piece: all paths meet between any others
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        strange = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-        whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.words = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}{strange}]+|{SPACE}+|[{strange or SPACE}]")
+        self.words = self.cuts()
         self.memo: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
         self.rank = {p: -v.scores[i] for p, i in self.ids.items()}
         self.ends: dict[str, tuple[list, list] | None] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+
+    def cuts(self) -> re.Pattern:
+        """Finds parts of a text that no piece reaches over, where all paths meet:
+        before space marks, before signs that no piece has after a letter or the
+        like, and around white space that no piece has at all."""
+        inside = self.inside
+        if any(b == SPACE and a != SPACE for a, b in inside):
+            return re.compile("(?s).+")
+        marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        tied = {b for a, b in inside if b in marks and a not in marks and a != SPACE}
+        strange = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
+        every, bound = (re.escape("".join(sorted(x))) for x in (marks, tied))
+        rest = f"[^{SPACE}{strange}{every}]*"
+        more = f"(?:[{bound}][{every}]*{rest})*" if tied else ""
+        return re.compile(f"(?=[^{strange}]){SPACE}*[{every}]*{rest}{more}|[{strange}]" if strange else f"(?s)(?=.){SPACE}*[{every}]*{rest}{more}")
 
     def merged(self, s: str) -> tuple[list[str], tuple[str, str] | None, bool]:
         """What the merges leave of a short string, the last pair that they joined,
@@ -144,32 +158,48 @@ class Codec:
     def search(self, s: str) -> Iterator[list[str]]:
         """The pieces of s, in runs as they become final; a character outside the
         vocabulary is a piece of its own."""
-        bpe, starts, scores, n, done = self.v.kind == "bpe", self.starts, self.v.scores, len(s), 0
+        bpe, ids, scores, n, done = self.v.kind == "bpe", self.ids, self.v.scores, len(s), 0
         longest, due = self.longest, 2 * self.longest + self.STRIDE
+        if self.n_pairs > 2 * MEMO:
+            self.pairs, self.n_pairs = {}, 0
+        pairs = self.pairs
         # of each open or not yet final position: where its last piece starts, that piece, the score
         back, piece_at, best = {0: 0}, {0: ""}, {0: 0.0}
         for i in range(n):
-            before, score = piece_at[i], best[i]
-            if bpe and before not in self.ids:
-                before = ""  # no merge reaches over a character outside the vocabulary
-            for end in range(i + 1, min(n, i + longest) + 1):
-                piece = s[i:end]
-                at = starts.get(piece, -1)
-                if at == -1 and end > i + 1:
-                    break
-                if at is None or at == -1:
-                    if end > i + 1:
-                        continue
-                    value = score + self.low
+            end = i + 1
+            if bpe:
+                for start in range(max(0, end - longest), end):
+                    piece = s[start:end]
+                    if piece in ids:
+                        before = piece_at.get(start)
+                        if before is None:
+                            continue  # final already
+                        if before not in ids:
+                            before = ""  # no merge reaches over a character outside the vocabulary
+                        after = pairs.get(before)
+                        if after is None:
+                            after = pairs[before] = {}
+                        known = after.get(piece)
+                        if known is None:
+                            self.n_pairs += 1
+                            known = after[piece] = self.stable(before, piece)
+                        if known:
+                            break
                 else:
-                    value = score + scores[at]
-                if (end not in back and (at is None or at == -1 or self.stable(before, piece))) if bpe else (end not in back or value > best[end]):
-                    back[end], piece_at[end], best[end] = i, piece, value
-                if at == -1:
-                    break
-            if i + 1 == n or i + 1 - done >= due:
+                    start, piece = i, s[i]
+                back[end], piece_at[end] = start, piece
+            else:
+                top = None
+                for start in range(max(0, end - longest), end):
+                    at = ids.get(s[start:end])
+                    if (at is not None or start == i) and start in best:
+                        value = best[start] + (self.low if at is None else scores[at])
+                        if top is None or value > top:
+                            top, back[end], piece_at[end] = value, start, s[start:end]
+                best[end] = top
+            if end == n or end - done >= due:
                 # where do the paths to all open positions meet?
-                paths = {n} if i + 1 == n else {p for p in range(i + 1, i + 1 + longest) if p in back}
+                paths = {n} if end == n else set(range(end - longest + 1, end + 1))
                 while len(paths) > 1:
                     top = max(paths)
                     paths.remove(top)
@@ -182,18 +212,18 @@ class Codec:
                 if run:
                     yield run[::-1]
                 if n > due:
-                    for k in range(done, min(meet, i + 1)):
-                        del back[k], piece_at[k], best[k]
+                    for k in range(done, meet):
+                        del back[k], piece_at[k]
+                        best.pop(k, None)
                 done = meet
 
     def word(self, word: str) -> list[int]:
-        """The ids of a part of a text, from memory if it was met before. Signs at
-        the end of a word are parts of their own where no piece joins the two."""
+        """The ids of a part of a text, from memory if it was met before."""
         found = self.memo.get(word)
         if found is None:
             found = self.older.get(word)
             if found is None:
-                cut = next((k for k in range(len(word) - 1, 0, -1) if word[k - 1 : k + 1] not in self.inside), 0) if len(word) <= 40 else 0
+                cut = 0 if len(word) > 40 else next((k for k in range(len(word) - 1, 0, -1) if word[k - 1 : k + 1] not in self.inside), 0)
                 found = self.word(word[:cut]) + self.word(word[cut:]) if cut else [i for run in self.search(word) for i in self.ids_of(run)]
             if len(word) <= 40:
                 if len(self.memo) >= MEMO:
@@ -228,6 +258,16 @@ class Codec:
         return s[1:] if self.v.prefix and s.startswith(" ") else s
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(path: str, vocabulary: Broadcast) -> Codec:
+    """The worker's codec, which keeps its memory from task to task."""
+    if path not in _codecs:
+        _codecs[path] = Codec(vocabulary.value)
+    return _codecs[path]
+
+
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all, if None) and n_ids, ids and exact: whether the
     ids give the text again.
@@ -242,7 +282,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", k
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_ids", "ids", "exact")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary.value)
+        codec = _codec(model_path, vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
