@@ -44,7 +44,9 @@ class Walker(HTMLParser):
             self.skip += 1
         if self.skip:
             return
-        if tag in BREAKS and self.row is None:
+        if tag == "tr":
+            self.end_row()
+        if tag in BREAKS and self.row is None and not (self.lists and tag in ("ul", "ol")):
             self.close_marks()
             self.out.append("\n\n")
         if tag[0] == "h" and tag[1:].isdigit():
@@ -99,14 +101,19 @@ class Walker(HTMLParser):
         elif tag == "pre" and self.pre:
             self.pre -= 1
             self.put("\n```")
-        elif tag == "tr" and self.row is not None:
+        elif tag in ("tr", "table"):
+            self.end_row()
+        if tag in BREAKS and self.row is None and not (self.lists and tag in ("ul", "ol")):
+            self.close_marks()
+            self.out.append("\n\n")
+
+    def end_row(self) -> None:
+        if self.row is not None:
+            self.close_marks()
             row, self.row, self.rows = self.row, None, self.rows + 1
             self.out.append("\n| " + " | ".join(c.strip() for c in row) + " |")
             if self.rows == 1:
                 self.out.append("\n|" + " --- |" * len(row))
-        if tag in BREAKS and self.row is None:
-            self.close_marks()
-            self.out.append("\n\n")
 
     def handle_data(self, data: str) -> None:
         if not self.skip and (self.row is None or self.row):
