@@ -15,7 +15,7 @@ from folio.functions import text as T
 from folio.functions.html import html_to_markdown
 from folio.functions.inline import segments, stripped
 from folio.functions.tree import json_to_markdown, markdown_to_json
-from folio.operators import catalog, images, layout, lines, search, tables, transcript
+from folio.operators import catalog, images, layout, lines, preview, search, tables, transcript
 from folio.plans import convert
 from folio.runtime import table
 from folio.sources import files
@@ -672,3 +672,51 @@ def pseudo_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table rows found in documents, and whether each is prose with a pipe in it."""
     x = tables.table_lines(lines.lines(table(spark, sf_dir, "documents")))
     return x.select("doc_id", "table_no", "row_no", tables.looks_like_prose(F.col("cells")).alias("prose"))
+
+
+# ---- previews and slides
+
+
+@query(rf"""WITH {LINES_SQL}, s AS (SELECT *, {STRIPPED} AS s FROM l), b AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM s),
+g AS (SELECT *, coalesce(regexp_matches(s, '^\p{{Ll}}') AND before <> '' AND NOT regexp_matches(before, '^(#|[-*•] |\d+[.)] |\|)') AND NOT regexp_matches(before, '[.!?:]$'), false) AS goes_on FROM b)
+SELECT doc_id, line_no, sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS paragraph_no FROM g""")
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.wrapped_lines_joined(lines.lines(table(spark, sf_dir, "documents"))).select("doc_id", "line_no", "paragraph_no")
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, greatest(1, ceil(length(line) / greatest(35, 75 - 5 * (line_no % 10))))::INT AS visual_lines, round(0.26 * greatest(1, ceil(length(line) / greatest(35, 75 - 5 * (line_no % 10)))) + 0.18, 2) AS height FROM l")
+def line_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = lines.lines(table(spark, sf_dir, "documents")).withColumn("level", F.col("line_no") % 10)
+    return preview.line_heights(x).select("doc_id", "line_no", "visual_lines", "height")
+
+
+@query()
+def slide_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = lines.lines(table(spark, sf_dir, "documents")).withColumns({"level": F.lit(0), "slide_no": F.lit(1)})
+    return preview.slide_pages(preview.line_heights(x))
+
+
+@query(f"WITH {MARKDOWN_SQL}, b AS (SELECT doc_id, text, strpos(text, '![') AS i, length('![map](maps/' || doc_id || '.png)') AS n FROM m) SELECT doc_id, 1::INT AS block_no, 'text' AS kind, md5(substr(text, 1, i - 1)) AS digest FROM b UNION ALL SELECT doc_id, 2, 'image', md5('maps/' || doc_id || '.png') FROM b UNION ALL SELECT doc_id, 3, 'text', md5(substr(text, i + n)) FROM b")
+def preview_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = markdown(spark, sf_dir)
+    out = preview.blocks(docs, images.image_tokens(docs))
+    return out.select("doc_id", "block_no", "kind", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '.mp3' WHEN 1 THEN '.wav' ELSE '.mp4' END AS ext, 'a' || event_type AS name FROM events")
+def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    mime, name = F.when(k == 0, "audio/MPEG; x=1").otherwise("text/plain"), F.when(k == 1, "x.WAV").otherwise("none")
+    return table(spark, sf_dir, "events").select("event_id", preview.guessed_extension(mime, name).alias("ext"), preview.default_name(F.concat(F.lit("text\n## a?"), "event_type")).alias("name"))
+
+
+@query("WITH r AS (SELECT l_orderkey AS doc_id, (l_linenumber * 100000 + l_partkey) * 1000 + l_suppkey AS seq FROM lineitem), b AS (SELECT doc_id, ((row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) // 3)::INT AS batch_no, seq FROM r) SELECT doc_id, batch_no, string_agg('p' || seq, chr(10) || '<<<SEG>>>' || chr(10) ORDER BY seq) AS text, count(*) AS n FROM b GROUP BY 1, 2")
+def translation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = (F.col("l_linenumber") * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), seq.alias("seq"), F.concat(F.lit("p"), seq.cast("string")).alias("line"))
+    return preview.batches(x, "seq", 3)
+
+
+@query()
+def merged_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.merged_columns(tables.table_lines(lines.lines(table(spark, sf_dir, "documents")))).select("doc_id", "table_no", "row_no", F.size("cells").alias("n_cells"))

@@ -11,7 +11,7 @@ from folio.functions import text as T
 from folio.functions.html import page_markdown
 from folio.functions.inline import segments_of
 from folio.functions.tree import from_markdown, to_markdown
-from folio.operators import catalog, images, layout, lines, search, tables, transcript
+from folio.operators import catalog, images, layout, lines, preview, search, tables, transcript
 from folio.plans import convert
 from folio.sources import files
 from folio.streaming import jobs
@@ -194,3 +194,28 @@ def test_groups_of_a_stream(spark, tmp_path):
     q = jobs.growing_groups(s).writeStream.format("memory").queryName("grown").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert [(r.start, r.text) for r in spark.table("grown").collect()] == [(0.0, "W0 w1 w2 w3 w4 w5 w6 w7 w8.")]
+
+
+def test_previews(spark):
+    d = docs(spark, "see https://youtu.be/abcdefghijk\n**[01:15]** Hi<br>there\n| a<br>b |\n```\nx<br>y\n```", "**[01:15]** no video")
+    x = preview.stamps_linked(preview.breaks_shown(lines.fenced(lines.lines(d))))
+    got = [r.line for r in x.where("doc_id = 0").orderBy("line_no").collect()]
+    assert got[1:3] == ["**[[01:15]](yt://abcdefghijk?t=75)** Hi\nthere", "| a b |"] and got[4] == "x<br>y"
+    assert x.where("doc_id = 1").first().line == "**[01:15]** no video"
+    assert preview.video_and_title(docs(spark, "# T\nhttps://youtu.be/abcdefghijk")).first()[1:] == ("abcdefghijk", "T")
+
+
+def test_fences_are_closed(spark):
+    d = docs(spark, "```py x = 1\ny\n\n# Head\ntext", "``` a ```\nb", "plain", None)
+    got = [r.text for r in preview.fences_repaired(d).orderBy("doc_id").collect()]
+    assert got[0] == "```py\nx = 1\ny\n\n```\n\n# Head\ntext" and got[1].split("\n") == ["```", "a", "```", "b"] and got[2:] == ["plain", None]
+
+
+def test_columns_that_never_meet_are_merged(spark):
+    x = spark.createDataFrame([(0, 1, 1, ["a", "", "x"]), (0, 1, 2, ["", "b", "y"]), (0, 1, 3, ["c", "", ""])], "doc_id int, table_no int, row_no int, cells array<string>")
+    assert [r.cells for r in preview.merged_columns(x).orderBy("row_no").collect()] == [["a", "x"], ["b", "y"], ["c", ""]]
+
+
+def test_pages_of_slides(spark):
+    x = spark.createDataFrame([(0, 1, i, 2.0) for i in range(5)], "doc_id int, slide_no int, line_no int, height double")
+    assert [r.page for r in preview.slide_pages(x).orderBy("line_no").collect()] == [1, 1, 2, 2, 3]
