@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries that a worker remembers before it starts anew.
-MEMO = 250_000
+#: Positions of a part whose paths are remembered.
+HEAD = 6
+#: Parts, pairs of pieces and heads that a worker remembers before it begins to forget.
+MEMO, PAIRS, HEADS = 150_000, 400_000, 60_000
 
 
 @dataclass
@@ -85,6 +87,7 @@ class Codec:
         self.ends: dict[str, tuple[list, list] | None] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
+        self.heads: dict[str, tuple[list, list, list]] = {}
 
     def cuts(self) -> re.Pattern:
         """Finds parts of a text that no piece reaches over, where all paths meet:
@@ -155,67 +158,84 @@ class Codec:
             else:
                 j += 1
 
-    def search(self, s: str) -> Iterator[list[str]]:
-        """The pieces of s, in runs as they become final; a character outside the
-        vocabulary is a piece of its own."""
-        bpe, ids, scores, n, done = self.v.kind == "bpe", self.ids, self.v.scores, len(s), 0
-        longest, due = self.longest, 2 * self.longest + self.STRIDE
-        if self.n_pairs > 2 * MEMO:
-            self.pairs, self.n_pairs = {}, 0
-        pairs = self.pairs
-        # of each open or not yet final position: where its last piece starts, that piece, the score
-        back, piece_at, best = {0: 0}, {0: ""}, {0: 0.0}
-        for i in range(n):
-            end = i + 1
-            if bpe:
-                for start in range(max(0, end - longest), end):
+    def extend(self, s: str, off: int, back: list[int], piece_at: list[str], best: list[float], to: int) -> None:
+        """Appends to back (where the last piece of the best path to a position
+        starts), piece_at (that piece) and best (the path's score) up to the
+        position ``to``. The lists begin with the position ``off``."""
+        ids, scores, longest, pairs = self.ids, self.v.scores, self.longest, self.pairs
+        if self.v.kind == "bpe":
+            for end in range(off + len(back), to + 1):
+                for start in range(max(off, end - longest), end):
                     piece = s[start:end]
                     if piece in ids:
-                        before = piece_at.get(start)
-                        if before is None:
-                            continue  # final already
-                        if before not in ids:
-                            before = ""  # no merge reaches over a character outside the vocabulary
+                        before = piece_at[start - off]
                         after = pairs.get(before)
                         if after is None:
                             after = pairs[before] = {}
                         known = after.get(piece)
                         if known is None:
                             self.n_pairs += 1
-                            known = after[piece] = self.stable(before, piece)
+                            # no merge reaches over a character outside the vocabulary
+                            known = after[piece] = self.stable(before if before in ids else "", piece)
                         if known:
                             break
                 else:
-                    start, piece = i, s[i]
-                back[end], piece_at[end] = start, piece
+                    start, piece = end - 1, s[end - 1]
+                back.append(start)
+                piece_at.append(piece)
+                best.append(0.0)
+            return
+        for end in range(off + len(back), to + 1):
+            top, at = None, end - 1
+            for start in range(max(off, end - longest), end):
+                i = ids.get(s[start:end])
+                if i is not None or start == end - 1:
+                    value = best[start - off] + (self.low if i is None else scores[i])
+                    if top is None or value > top:
+                        top, at = value, start
+            back.append(at)
+            piece_at.append(s[at:end])
+            best.append(top)
+
+    def search(self, s: str) -> Iterator[list[str]]:
+        """The pieces of s, in runs as they become final; a character outside the
+        vocabulary is a piece of its own. Paths to the first HEAD positions are
+        remembered, as many parts begin alike."""
+        n, off, known = len(s), 0, None
+        if self.n_pairs > PAIRS:
+            self.pairs, self.n_pairs = {}, 0
+        back, piece_at, best = [0], [""], [0.0]
+        if n > HEAD:
+            known = self.heads.get(s[:HEAD])
+            if known is None:
+                self.extend(s, 0, back, piece_at, best, HEAD)
+                if len(self.heads) >= HEADS:
+                    self.heads.clear()
+                known = self.heads[s[:HEAD]] = tuple(back), tuple(piece_at), tuple(best)
+            back, piece_at, best = map(list, known)
+        while True:
+            end = min(n, max(off + 2 * self.longest + self.STRIDE, off + len(back) - 1))
+            self.extend(s, off, back, piece_at, best, end)
+            # where do the paths to all positions meet from which a piece can go on?
+            paths = {n} if end == n else set(range(end - self.longest + 1, end + 1))
+            while len(paths) > 1:
+                top = max(paths)
+                paths.remove(top)
+                paths.add(max(back[top - off], off))
+            meet = at = paths.pop()
+            run = []
+            while at > off:
+                run.append(piece_at[at - off])
+                at = back[at - off]
+            if run:
+                yield run[::-1]
+            if end == n:
+                return
+            if meet == off:  # they haven't met yet: go on with a wider window
+                self.extend(s, off, back, piece_at, best, min(n, end + self.STRIDE))
             else:
-                top = None
-                for start in range(max(0, end - longest), end):
-                    at = ids.get(s[start:end])
-                    if (at is not None or start == i) and start in best:
-                        value = best[start] + (self.low if at is None else scores[at])
-                        if top is None or value > top:
-                            top, back[end], piece_at[end] = value, start, s[start:end]
-                best[end] = top
-            if end == n or end - done >= due:
-                # where do the paths to all open positions meet?
-                paths = {n} if end == n else set(range(end - longest + 1, end + 1))
-                while len(paths) > 1:
-                    top = max(paths)
-                    paths.remove(top)
-                    paths.add(max(back[top], done))
-                meet = at = paths.pop()
-                run = []
-                while at > done:
-                    run.append(piece_at[at])
-                    at = back[at]
-                if run:
-                    yield run[::-1]
-                if n > due:
-                    for k in range(done, meet):
-                        del back[k], piece_at[k]
-                        best.pop(k, None)
-                done = meet
+                del back[: meet - off], piece_at[: meet - off], best[: meet - off]
+                off = meet
 
     def word(self, word: str) -> list[int]:
         """The ids of a part of a text, from memory if it was met before."""
@@ -231,15 +251,12 @@ class Codec:
                 self.memo[word] = found
         return found
 
-    def ids_of(self, pieces: Iterable[str]) -> Iterator[int]:
-        for p in pieces:
-            at = self.ids.get(p)
-            if at is not None:
-                yield at
-            elif self.fallback:
-                yield from (self.byte_id[b] for b in p.encode())
-            else:
-                yield self.v.unk
+    def ids_of(self, pieces: list[str]) -> list[int]:
+        try:
+            return [self.ids[p] for p in pieces]
+        except KeyError:
+            rest = lambda p: [self.byte_id[b] for b in p.encode()] if self.fallback else [self.v.unk]
+            return [i for p in pieces for i in ([self.ids[p]] if p in self.ids else rest(p))]
 
     def encode(self, text: str) -> list[int]:
         if self.v.squeeze:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.runtime import Scratch
 
@@ -70,19 +72,23 @@ def counts(text: bytes | None) -> tuple[int, ...]:
 
 def measured(docs: DataFrame, text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """docs with two columns more: _stratum, and _counts as an array."""
+    stratum = F.col(stratum_col).cast("string") if stratum_col else F.lit("")
+    rows = docs.withColumn("_stratum", F.coalesce(stratum, F.lit("")))
+    at = docs.columns.index(text_col)
 
-    @F.arrow_udf("array<long>")
-    def found(text: pa.Array) -> pa.Array:
-        rows = np.array([counts(t) for t in text.to_pylist()], np.int64)
-        return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, len(COUNTS), dtype=np.int32), pa.array(rows.ravel()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([counts(t) for t in b.column(at).cast(pa.binary()).to_pylist()], np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, len(COUNTS), dtype=np.int32), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "_counts"])
 
-    stratum = F.col(stratum_col).cast("string") if stratum_col else F.lit("")
-    return docs.withColumns({"_stratum": F.coalesce(stratum, F.lit("")), "_counts": found(F.col(text_col).cast("binary"))})
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("_counts", T.ArrayType(T.LongType()))]))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """id, stratum and COUNTS of every row."""
-    return _named(measured(docs, text_col, stratum_col), id_col)
+    few = docs.select(id_col, text_col, *([stratum_col] if stratum_col else []))
+    return _named(measured(few, text_col, stratum_col), id_col)
 
 
 def _named(rows: DataFrame, id_col: str) -> DataFrame:
