@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,14 +140,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _resolve(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with a copy at every offset, and one item of each distinct full
-    string in groups whose core is shared but which hold several full strings.
-    Column alone says that no other item has this full string."""
-    classes = items.groupBy("core", "full").agg(F.count("*").alias("n"), F.min("item").alias("item"))
-    groups = classes.groupBy("core").agg(F.count("*").alias("kinds"))
-    copies = items.select("core", "full", "item").join(classes.where("n > 1").select("core", "full"), ["core", "full"], "left_semi").select("item.*")
-    return copies, classes.join(groups.where("kinds > 1").select("core"), "core").select("core", "full", "item", (F.col("n") == 1).alias("alone"))
+def _resolve(items: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, DataFrame]:
+    """Items with a copy at every offset, and one item of each distinct full string
+    in groups whose core is shared but which hold several full strings. Column
+    alone says that some item of this full string is still open and has no copy.
+
+    Counts are written before they are joined: a join of two plain tables is one
+    whose hot keys Spark can split."""
+    classes = scratch.save(items.groupBy("core", "full").agg(F.count("*").alias("n"), F.min("item").alias("item"), F.bool_or("open").alias("open")), f"classes-{k}")
+    mixed = scratch.save(classes.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), f"mixed-{k}")
+    copies = items.where("open").join(classes.where("n > 1").select("core", "full"), ["core", "full"], "left_semi").select("item.*")
+    return copies, classes.join(mixed, "core").select("core", "full", "item", (F.col("open") & (F.col("n") == 1)).alias("alone"))
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", span: int = 400) -> DataFrame:
@@ -170,10 +174,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([_u(core), _u(full), b.column(0).take(at), b.column(1).take(at), pa.array(a), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names)
 
     anchors = scratch.save(rows.where(F.length("text") >= span).mapInArrow(scan, "core long, full long, id long, th long, a long, lo int, hi int"), "anchors")
-    shared = anchors.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    items = scratch.save(anchors.join(shared, "core").select("core", "full", F.struct("id", "th", "a", "lo", "hi").alias("item")), "items")
+    shared = scratch.save(anchors.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "shared")
+    items = scratch.save(anchors.join(shared, "core").select("core", "full", F.lit(True).alias("open"), F.struct("id", "th", "a", "lo", "hi").alias("item")), "items")
     scratch.drop("anchors")
-    copies, open_items = _resolve(items)
+    copies, open_items = _resolve(items, scratch, 0)
     done = [scratch.save(copies, "copies-0")]
     open_items = scratch.save(open_items, "open-0")
     scratch.drop("items")
@@ -209,13 +213,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
         small = scratch.save(ctx.mapInArrow(parts, "id long, th long, a long, lo int, hi int, alone boolean, core long, full long"), f"parts-{k}")
         # parts with alone false are there to be met; their own bytes are covered already
-        items = small.select("core", "full", "alone", F.struct("id", "th", "a", "lo", "hi").alias("item"))
-        full = items.groupBy("core", "full").agg(F.count("*").alias("n"), F.min("item").alias("item"), F.bool_or("alone").alias("alone"))
-        met = items.where("alone").join(full.where("n > 1").select("core", "full"), ["core", "full"], "left_semi").select("item.*")
+        met, still = _resolve(small.select("core", "full", F.col("alone").alias("open"), F.struct("id", "th", "a", "lo", "hi").alias("item")), scratch, k)
         done.append(scratch.save(met, f"copies-{k}"))
         if step > 1:
-            mixed = full.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
-            still = full.join(mixed, "core").select("item.*", (F.col("alone") & (F.col("n") == 1)).alias("still"))
+            still = still.select("item.*", F.col("alone").alias("still"))
             whole = ctx.select("id", "th", "a", F.col("lo").alias("from"), F.col("hi").alias("to"), "ctx").distinct()
             match = whole["id"].eqNullSafe(still["id"]) & (whole["th"] == still["th"]) & (whole["a"] == still["a"]) & still["lo"].between(F.col("from"), F.col("to"))
             piece = F.substring(F.col("ctx"), F.col("to") - still["hi"] + 1, still["hi"] - still["lo"] + F.lit(span))
@@ -234,7 +235,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, span: int) -> tuple
     scratch = Scratch(docs.sparkSession, "suffix")
     spans = repeated_spans(docs, scratch, id_col, text_col, span)
     lists = scratch.save(spans.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("s", "e")).alias("_x")), "spans")
-    scratch.drop(*(f"{x}-{k}" for x in ("copies", "parts", "ctx", "open") for k in (0, 1, 2)))
+    scratch.drop(*(f"{x}-{k}" for x in ("copies", "parts", "ctx", "open", "classes", "mixed") for k in (0, 1, 2)))
     th = F.xxhash64(F.coalesce(docs[text_col].cast("binary"), F.lit(b"")))
     return docs.join(lists, docs[id_col].cast("long").eqNullSafe(lists["_id"]) & (th == lists["_th"]), "left"), scratch
 
@@ -273,13 +274,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points. Texts without repeats, nulls included, stay as they are."""
     joined, _ = _with_spans(docs, id_col, text_col, span)
 
-    @F.arrow_udf("string")
-    def cut(text: pa.Array, s: pa.Array, e: pa.Array) -> pa.Array:
-        rows = zip(text.to_pylist(), s.to_pylist(), e.to_pylist(), strict=True)
-        return pa.array([t if x is None else kept_bytes(t.encode(), list(zip(x, y, strict=True)), True)[0].decode() for t, x, y in rows], pa.string())
+    at = docs.columns.index(text_col)
+    size = None if length_col is None else docs.columns.index(length_col)
+    rows = joined.select(*(docs[c] for c in docs.columns), F.col("_x.s").alias("_s"), F.col("_x.e").alias("_e"))
 
-    text = F.when(F.col("_x").isNull(), F.col(text_col)).otherwise(cut(text_col, F.col("_x.s"), F.col("_x.e")))
-    out = joined.withColumn(text_col, text)
-    if length_col:
-        out = out.withColumn(length_col, F.when(F.col("_x").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType)))
-    return out.select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for i, (s, e) in enumerate(zip(b.column(len(docs_columns)).to_pylist(), b.column(len(docs_columns) + 1).to_pylist(), strict=True)):
+                if s is not None:
+                    texts[i] = kept_bytes(texts[i].encode(), list(zip(s, e, strict=True)), True)[0].decode()
+            cols = b.columns[: len(docs_columns)]
+            if size is not None:
+                cut = pa.array([x is not None for x in b.column(len(docs_columns)).to_pylist()], pa.bool_())
+                cols[size] = pc.if_else(cut, pa.array([None if t is None else len(t) for t in texts], cols[size].type), cols[size])
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, docs_columns)
+
+    docs_columns = docs.columns
+    return rows.mapInArrow(run, docs.schema)
