@@ -21,7 +21,7 @@ BUCKET = 20_000
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """How many of the ``counts`` documents of each distinct size to take so that
-    their sizes sum to the budget, or come as near below it as was found.
+    their sizes sum to the budget, or come as near to it as was found.
 
     Each length gives its share of the budget, rounded down; the longest fitting
     ones then fill up to WINDOW words short of it, and a bounded knapsack over all
@@ -50,26 +50,28 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """The bounded subset sum nearest below the budget: counts to take of each
-    size. Counts are split into powers of two; by[x] is the first such part that
+    """The bounded subset sum nearest to the budget: counts to take of each size. Counts are split into powers of two; by[x] is the first such part that
     made the sum x, and earlier parts made the rest of it."""
-    reach, parts = np.zeros(budget + 1, bool), []
-    reach[0], by = True, np.full(budget + 1, -1, np.int32)
+    some = sizes[(counts > 0) & (sizes > 0)]
+    most = budget + (int(some.min()) if len(some) else 0)
+    reach, parts = np.zeros(most + 1, bool), []
+    reach[0], by = True, np.full(most + 1, -1, np.int32)
     for i in range(len(sizes) - 1, -1, -1):
         size, n, k = int(sizes[i]), int(counts[i]), 1
-        if not 0 < size <= budget or reach[budget]:
+        if not 0 < size <= most or reach[budget]:
             continue
-        n = min(n, budget // size)
+        n = min(n, most // size)
         while n:
             k = min(k, n)
-            if (w := k * size) > budget:
+            if (w := k * size) > most:
                 break
-            fresh = reach[: budget + 1 - w] & ~reach[w:]
+            fresh = reach[: most + 1 - w] & ~reach[w:]
             by[w:][fresh] = len(parts)
             reach[w:] |= fresh
             parts.append((i, k, w))
             n, k = n - k, 2 * k
-    out, x = np.zeros(len(sizes), np.int64), int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    out, x = np.zeros(len(sizes), np.int64), int(sums[np.argmin(np.abs(sums - budget))])
     while x:
         i, k, w = parts[by[x]]
         out[i] += k
