@@ -34,17 +34,17 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp long) of every row of docs. bytes.split() cuts at the six ASCII
+    """(id, th: a hash of the text, fp long) of every row of docs. bytes.split() cuts at the six ASCII
     white-space characters and bytes.lower() touches A-Z only, as the definition
     of a word asks. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(t, width) for t in b.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["id", "fp"])
+            fp = pa.array([fingerprint(t, width) for t in b.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["id", "th", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, fp long")
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -66,7 +66,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """id, fp, component_id (smallest id reachable over links) for each row.
+    """id, th, fp, group, component_id (smallest id reachable over links) for each
+    row; th is a hash of the text, group a fingerprint that names the component.
 
     Rows with a null text or without words have the fingerprint 0 and are linked
     like any others. Repeated rows come back repeated. Ids are integers; a null id
@@ -81,17 +82,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of = components(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")), scratch)
     named = one.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = scratch.save(named.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    of = scratch.save(named.join(least, "root").select("fp", F.col("root").alias("group"), "component_id"), "components")
+    return prints.join(of, "fp").select(F.col("id").alias(id_col), "th", "fp", "group", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """docs with one row of each group kept: the one with the smallest id.
 
-    All columns stay as they are. Of rows that repeat that id, any one stays.
-    Rows with a null id stay where their group has no other."""
-    groups = Scratch(docs.sparkSession, "near").save(simhash_groups(docs, id_col, text_col, radius=radius), "groups")
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    again = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count().where("count > 1")
-    return left if again.isEmpty() else left.dropDuplicates([id_col])
+    All columns stay as they are. Of rows that share that id in their group, that
+    with the least hash of its text stays, once. Rows with a null id can't be told
+    from each other and stay.
+    """
+    groups = Scratch(docs.sparkSession, "near").save(simhash_groups(docs, id_col, text_col, radius=radius).where(f"`{id_col}` is not null"), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("th").alias("_th"))).alias("x")).select("x.*")
+    gone = groups.select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct().join(first, ["_id", "_th"], "left_anti")
+    left = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_th"]), "left_anti")
+    if groups.groupBy(id_col, "th").count().where("count > 1").isEmpty():
+        return left
+    once = left.where(F.col(id_col).isNotNull()).withColumn("_th", F.xxhash64(text_col)).dropDuplicates([id_col, "_th"]).drop("_th")
+    return once.unionByName(left.where(F.col(id_col).isNull()))

@@ -89,6 +89,9 @@ def test_dedup_keeps_one_row_of_each_group(spark):
     d = frame(spark, ["a b c d e f", "A b c d e f", "quite another text here now", None, ""]).union(frame(spark, ["a b c d e f"]))
     left = near_dedup(d)
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [0, 2, 3]
+    # an id that two groups share, and rows without one
+    odd = d.union(frame(spark, ["yet another text of its own", "a b c d e f", "a b c d e f"], 2)).withColumn("doc_id", F.when(F.col("doc_id") < 4, F.col("doc_id")))
+    assert sorted((r.doc_id for r in near_dedup(odd).collect()), key=str) == [0, 2, 2, 3, None, None]
     empty = d.where("false")
     assert simhash_groups(empty).count() == 0 and near_dedup(empty).count() == 0
 
