@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ SPACE = "▁"
 #: Positions of a part whose paths are remembered.
 HEAD = 6
 #: Parts, pairs of pieces and heads that a worker remembers before it begins to forget.
-MEMO, PAIRS, HEADS = 150_000, 400_000, 60_000
+MEMO, PAIRS, HEADS = 220_000, 400_000, 60_000
 
 
 @dataclass
@@ -243,7 +244,8 @@ class Codec:
         if found is None:
             found = self.older.get(word)
             if found is None:
-                cut = 0 if len(word) > 40 else next((k for k in range(len(word) - 1, 0, -1) if word[k - 1 : k + 1] not in self.inside), 0)
+                bare = word.lstrip(SPACE)
+                cut = 0 if len(word) > 40 or bare.isascii() and bare.isalpha() else next((k for k in range(len(word) - 1, 0, -1) if word[k - 1 : k + 1] not in self.inside), 0)
                 found = self.word(word[:cut]) + self.word(word[cut:]) if cut else [i for run in self.search(word) for i in self.ids_of(run)]
             if len(word) <= 40:
                 if len(self.memo) >= MEMO:
@@ -303,9 +305,10 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", k
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                found = [None if t is None else codec.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                exact = [None if x is None else codec.decode(x) == t for x, t in zip(found, part.column(part.num_columns - 1).to_pylist(), strict=True)]
-                flat = np.fromiter((i for x in found for i in x or ()), np.int32)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                found = [None if t is None else codec.encode(t) for t in texts]
+                exact = [None if x is None else codec.decode(x) == t for x, t in zip(found, texts, strict=True)]
+                flat = np.fromiter(chain.from_iterable(x for x in found if x), np.int32)
                 ends = np.cumsum([0, *(len(x or ()) for x in found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append([x is None for x in found], False)), pa.array(flat))
                 sizes = pa.array([None if x is None else len(x) for x in found], pa.int32())
