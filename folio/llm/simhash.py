@@ -93,7 +93,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the least hash of its text stays, once. Rows with a null id can't be told
     from each other and stay.
     """
-    groups = Scratch(docs.sparkSession, "near").save(simhash_groups(docs, id_col, text_col, radius=radius).where(f"`{id_col}` is not null"), "groups")
+    return keep_first(docs, simhash_groups(docs, id_col, text_col, radius=radius), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """near_dedup() for the id, th and group of each row of docs."""
+    groups = Scratch(docs.sparkSession, "near").save(groups.where(f"`{id_col}` is not null").select(id_col, "th", "group"), "groups")
     first = groups.groupBy("group").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("th").alias("_th"))).alias("x")).select("x.*")
     gone = groups.select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct().join(first, ["_id", "_th"], "left_anti")
     left = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_th"]), "left_anti")

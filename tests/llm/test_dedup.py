@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from folio.llm.graph import components
 from folio.llm.simhash import fingerprint, near_dedup, simhash_groups
 from folio.llm.suffix import remove_repeats, suffix_digest
@@ -96,6 +97,40 @@ def test_dedup_keeps_one_row_of_each_group(spark):
     assert simhash_groups(empty).count() == 0 and near_dedup(empty).count() == 0
 
 
+def brute_likeness(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def test_stage_drops_edited_copies(spark):
+    rng = random.Random(11)
+    texts = []
+    for edits in (1, 2, 4, 6, 30, 60):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            w = words[:]
+            for at in rng.sample(range(300), edits):
+                w[at] = "new"
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), "quite short", "Quite  short", "quite other"]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if brute_likeness(texts[i], texts[j]) >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = [r.doc_id for r in corpus_pipeline.simhash_dedup(spark, frame(spark, texts), "").collect()]
+    assert sorted(got) == sorted(set(root)) and len(got) < len(texts) - 8
+
+
+def test_stage_keeps_odd_rows(spark):
+    d = frame(spark, ["a b c d e f", None, "", "a b c d e f"])
+    odd = d.union(d.withColumn("doc_id", F.lit(None).cast("long")))
+    left = corpus_pipeline.simhash_dedup(spark, odd, "")
+    assert left.columns == odd.columns and sorted((r.doc_id for r in left.collect()), key=str) == [0, 1, None, None, None, None]
+    assert corpus_pipeline.simhash_dedup(spark, d.where("false"), "").count() == 0
+
+
 def brute_spans(texts, span):
     seen = {}
     for t in texts:
