@@ -122,41 +122,86 @@ def _beta(x: float, a: float, b: float) -> float:
     return min(1.0, front * out)
 
 
-def choose(table: dict[tuple[str, str], list[tuple[int, int]]], risk: float, doubt: float) -> dict[str, dict[str, float]]:
+def steps(table: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int]]:
+    """(rule, index of its cutoff) in the order in which a filter is tightened.
+
+    table: by rule, how many good and bad rows lie in each gap between its cutoffs.
+    Each rule goes from its lenient cutoffs to the strict ones, passing over those
+    that reach no more bad rows; the rule whose next one costs the fewest good rows
+    for each bad one goes first.
+    """
+    above = {rule: [(sum(g for g, _ in gaps[j:]), sum(b for _, b in gaps[j:])) for j in range(len(gaps) + 1)] for rule, gaps in table.items()}
+    at, out = {rule: len(RULES[rule][1]) for rule in table}, []
+    while True:
+        nexts = []
+        for k, rule in enumerate(RULES):
+            if rule in table:
+                good, bad = above[rule][at[rule] + 1]
+                j = next((j for j in reversed(range(at[rule])) if above[rule][j + 1][1] > bad), None)
+                if j is not None:
+                    more_good, more_bad = above[rule][j + 1][0] - good, above[rule][j + 1][1] - bad
+                    nexts.append((more_good / more_bad, -more_bad, k, rule, j))
+        if not nexts:
+            return out
+        *_, rule, j = min(nexts)
+        at[rule] = j
+        out.append((rule, j))
+
+
+def choose(table: dict[tuple[str, str], list[tuple[int, int]]], risk: float, doubt: float, drawn: dict[tuple[str, str], list[int]] | None = None) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule.
 
     table: for each (stratum, rule), how many good and bad labelled rows lie in each
-    gap between its cutoffs. A cutoff is certified if the exact binomial test
-    rejects "more than risk/rules of the good rows lie above it" at the level
-    doubt/tests, tests counting every stratum, rule and cutoff (Bonferroni). With
-    the rules' shares of the risk adding up, the whole filter rejects more than
-    ``risk`` of a stratum's good rows with a chance below ``doubt``. Among the
-    certified ones that with the most bad rows beyond the good ones wins, the
-    more lenient on ties; without a gain, or without a certified one, there is
-    none and the rule is off there.
+    gap between its cutoffs. drawn: the gaps of other good rows, which only serve
+    to find the order of steps(); without it the bad rows alone do.
+
+    The tests are of joint filters: with every step one rule is tighter. A filter is
+    certified if the exact binomial test rejects "more than risk of the stratum's
+    good rows are rejected" at the level doubt/strata, with the sum of the rules'
+    rejections as the count, which is never below that of the joint filter. The
+    steps don't depend on the good rows that are tested and end with the first
+    failed test, so each test has the whole level (fixed sequence), and the chance
+    that any stratum's filter rejects more is below ``doubt`` (Bonferroni). Only
+    strata count that have the rows for a certificate without a rejection: how
+    many rows there are says nothing of the rejections. Among the certified
+    filters that with the most bad rows beyond the good ones wins, the most lenient
+    on ties.
     """
-    tests = sum(len(RULES[rule][1]) for _, rule in table) or 1
-    out: dict[str, dict[str, float]] = defaultdict(dict)
+    by: dict[str, dict[str, list[tuple[int, int]]]] = defaultdict(dict)
     for (stratum, rule), gaps in table.items():
-        n, best = sum(g for g, _ in gaps), 0
-        for j, cut in reversed(list(enumerate(RULES[rule][1]))):
-            good, bad = sum(g for g, _ in gaps[j + 1 :]), sum(b for _, b in gaps[j + 1 :])
-            if n and bad - 3 * good > best and at_most(good, n, risk / len(RULES)) <= doubt / tests:
-                best, out[stratum][rule] = bad - 3 * good, cut
-    return dict(out)
+        by[stratum][rule] = gaps
+    n = {stratum: max(sum(g for g, _ in gaps) for gaps in of.values()) for stratum, of in by.items()}
+    sizes = sorted(n.values(), reverse=True)
+    able = max((k for k, size in enumerate(sizes, 1) if size and at_most(0, size, risk) <= doubt / k), default=0)
+    out: dict[str, dict[str, float]] = {}
+    for stratum in sorted(by, key=lambda s: (-n[s], s))[:able]:
+        of, cuts, best = by[stratum], {}, 0
+        for rule, j in steps({rule: [(g, b) for g, (_, b) in zip(drawn[stratum, rule] if drawn and (stratum, rule) in drawn else [0] * len(gaps), gaps, strict=True)] for rule, gaps in of.items()}):
+            cuts[rule] = j
+            good, bad = (sum(x[i] for r, c in cuts.items() for x in of[r][c + 1 :]) for i in (0, 1))
+            if at_most(good, n[stratum], risk) > doubt / able:
+                break
+            if bad - 3 * good > best:
+                best, out[stratum] = bad - 3 * good, {r: RULES[r][1][c] for r, c in cuts.items()}
+    return out
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float, doubt: float, id_col: str = "doc_id", label_col: str = "quality") -> dict[str, dict[str, float]]:
     """choose() on the labelled rows of stats. Only the counts in each stratum,
-    rule and gap reach the driver. An id with several labels counts as bad if one
-    of them is; null labels are left out."""
+    rule and gap reach the driver. A third of the ids, told by a hash, give their
+    good rows to the order of the steps and not to the tests. An id with several
+    labels counts as bad if one of them is; null labels are left out."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) >= 1).alias("good"))
     gaps = [F.struct(F.lit(rule).alias("rule"), sum((F.expr(ratio) > c).cast("int") for c in cuts).alias("gap")) for rule, (ratio, cuts) in RULES.items()]
-    found = stats.where(~base_failed()).join(marks, "id").select("stratum", "good", F.explode(F.array(*gaps)).alias("g")).groupBy("stratum", "g.rule", "g.gap").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    rows = stats.where(~base_failed()).join(marks, "id").withColumn("plan", F.pmod(F.xxhash64("id"), F.lit(3)) == 0)
+    found = rows.select("stratum", "good", "plan", F.explode(F.array(*gaps)).alias("g")).groupBy("stratum", "g.rule", "g.gap").agg(F.count_if(F.col("good") & ~F.col("plan")).alias("good"), F.count_if(F.col("good") & F.col("plan")).alias("drawn"), F.count_if(~F.col("good")).alias("bad"))
     table: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    drawn: dict[tuple[str, str], list[int]] = {}
     for r in found.toLocalIterator():
-        table.setdefault((r.stratum, r.rule), [(0, 0)] * (len(RULES[r.rule][1]) + 1))[r.gap] = (r.good, r.bad)
-    return choose(table, risk, doubt)
+        size = len(RULES[r.rule][1]) + 1
+        table.setdefault((r.stratum, r.rule), [(0, 0)] * size)[r.gap] = (r.good, r.bad)
+        drawn.setdefault((r.stratum, r.rule), [0] * size)[r.gap] = r.drawn
+    return choose(table, risk, doubt, drawn)
 
 
 def base_failed() -> Column:

@@ -53,6 +53,22 @@ def test_cutoffs_need_a_certificate():
     assert not quality_rules.choose({("en", "symbols"): [(900, 0), *[(0, 0)] * 8, (100, 200)]}, 0.03, 0.05)
 
 
+def test_few_labels_certify_a_joint_filter():
+    """As sf0.1 has them: 1,640 good rows for one rule were needed before."""
+    size = {rule: len(cuts) for rule, (_, cuts) in quality_rules.RULES.items()}
+    table = {(s, rule): [(good, 0), *[(0, 0)] * (size[rule] - 1), (0, 20)] for s, good in (("en", 1340), ("de", 325), ("fr", 326), ("es", 209)) for rule in ("symbols", "shouting", "marks")}
+    rare = {("it", "marks"): [(20, 0), *[(0, 0)] * (size["marks"] - 1), (0, 20)]}
+    got = quality_rules.choose(table | rare, 0.03, 0.05)
+    assert set(got) == {"en", "de", "fr", "es"} and all(set(of) == {"symbols", "shouting", "marks"} for of in got.values())
+    # the joint filter as a whole keeps to the risk: each rule alone could pass
+    many = {("en", rule): [(980, 0), *[(0, 0)] * (size[rule] - 1), (20, 90)] for rule in ("symbols", "shouting", "marks", "lines")}
+    assert sum(len(of) for of in quality_rules.choose(many, 0.03, 0.05).values()) == 1
+    # rows that aren't tested put a costly rule behind the others, so that it doesn't stop them
+    costly = {("en", rule): [(1000 - bad, 0), *[(0, 0)] * (size[rule] - 1), (bad, 50)] for rule, bad in (("symbols", 100), ("marks", 0))}
+    drawn = {("en", rule): [500 - bad, *[0] * (size[rule] - 1), bad] for rule, bad in (("symbols", 50), ("marks", 0))}
+    assert set(quality_rules.choose(costly, 0.03, 0.05, drawn)["en"]) == {"marks"}
+
+
 def test_rules_reject_junk_and_keep_the_rest(spark):
     rng = random.Random(4)
     prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(40))
