@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm.graph import components
+from folio.llm.names import column, unused
 from folio.runtime import Scratch
 
 BLOCK = 1 << 15
@@ -43,7 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = pa.array([fingerprint(t, width) for t in b.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["id", "th", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("th"), column(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, fp long")
 
 
@@ -98,11 +99,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """near_dedup() for the id, th and group of each row of docs."""
-    groups = Scratch(docs.sparkSession, "near").save(groups.where(f"`{id_col}` is not null").select(id_col, "th", "group"), "groups")
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("th").alias("_th"))).alias("x")).select("x.*")
-    gone = groups.select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct().join(first, ["_id", "_th"], "left_anti")
-    left = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_th"]), "left_anti")
-    if groups.groupBy(id_col, "th").count().where("count > 1").isEmpty():
-        return left
-    once = left.where(F.col(id_col).isNotNull()).withColumn("_th", F.xxhash64(text_col)).dropDuplicates([id_col, "_th"]).drop("_th")
-    return once.unionByName(left.where(F.col(id_col).isNull()))
+    spark, key, mark = docs.sparkSession, *unused(docs.columns, "key", "mark")
+    groups = Scratch(spark, "near").save(groups.where(column(id_col).isNotNull()).select(column(id_col).alias(key), F.col("th").alias(mark), "group"), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct(key, mark)).alias("x")).select("x.*")
+    gone = groups.select(key, mark).distinct().join(first, [key, mark], "left_anti")
+    told = docs.withColumns({key: column(id_col), mark: F.xxhash64(column(text_col))})
+    left = told.join(gone, [key, mark], "left_anti")
+    if not groups.groupBy(key, mark).count().where("count > 1").isEmpty():
+        left = left.where(F.col(key).isNotNull()).dropDuplicates([key, mark]).unionByName(left.where(F.col(key).isNull()))
+    return left.select(*map(column, docs.columns))
