@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.llm.names import column, unused
 from folio.runtime import Scratch
 
 SPACE, SYMBOLS = b"\t\n\x0b\x0c\r ", b"#*$%&|<>"
@@ -71,28 +72,31 @@ def counts(text: bytes | None) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame, text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
-    """docs with two columns more: _stratum, and _counts as an array."""
-    stratum = F.col(stratum_col).cast("string") if stratum_col else F.lit("")
-    rows = docs.withColumn("_stratum", F.coalesce(stratum, F.lit("")))
+    """docs with two columns more, the stratum and the counts as an array, whatever
+    names are free for them."""
+    stratum, found = unused(docs.columns, "stratum", "counts")
+    rows = docs.withColumn(stratum, F.coalesce(column(stratum_col).cast("string") if stratum_col else F.lit(""), F.lit("")))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([counts(t) for t in b.column(at).cast(pa.binary()).to_pylist()], np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, len(COUNTS), dtype=np.int32), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "_counts"])
+            made = np.array([counts(t) for t in b.column(at).cast(pa.binary()).to_pylist()], np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, made.size + 1, len(COUNTS), dtype=np.int32), pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, found])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("_counts", T.ArrayType(T.LongType()))]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(found, T.ArrayType(T.LongType()))]))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """id, stratum and COUNTS of every row."""
-    few = docs.select(id_col, text_col, *([stratum_col] if stratum_col else []))
-    return _named(measured(few, text_col, stratum_col), id_col)
+    few = docs.select(*map(column, dict.fromkeys([id_col, text_col, *([stratum_col] if stratum_col else [])])))
+    return _named(measured(few, text_col, stratum_col), column(id_col).alias("id"))
 
 
-def _named(rows: DataFrame, id_col: str) -> DataFrame:
-    return rows.select(F.col(id_col).alias("id"), F.col("_stratum").alias("stratum"), *(F.col("_counts")[i].alias(c) for i, c in enumerate(COUNTS)))
+def _named(rows: DataFrame, *more: Column) -> DataFrame:
+    """measured() rows as stratum and COUNTS, and more columns before them."""
+    *_, stratum, found = rows.columns
+    return rows.select(*more, column(stratum).alias("stratum"), *(column(found)[i].alias(c) for i, c in enumerate(COUNTS)))
 
 
 def at_most(k: int, n: int, p: float) -> float:
@@ -148,41 +152,72 @@ def steps(table: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int]]:
         out.append((rule, j))
 
 
+def levels(sizes: dict[str, int], risk: float, doubt: float) -> list[tuple[list[str], float]]:
+    """The groups of strata to certify, each with the level of its tests; all levels
+    sum up to ``doubt``. Strata are groups of their own while their levels allow it,
+    those with too few rows for that are one group together, if it has enough.
+
+    A group needs the level at which it is certified without any rejection; what
+    is left of the doubt is shared evenly. Only the numbers of rows decide, which
+    say nothing of the rejections among them."""
+    order = sorted((s for s in sizes if sizes[s]), key=lambda s: (-sizes[s], s))
+    least = lambda names: at_most(0, sum(sizes[s] for s in names), risk)
+    for k in range(len(order), -1, -1):
+        groups, rest = [[s] for s in order[:k]], order[k:]
+        used = sum(map(least, groups))
+        if rest and used + least(rest) <= doubt:
+            groups.append(rest)
+        if used <= doubt and groups:
+            spare = (doubt - sum(map(least, groups))) / len(groups)
+            return [(names, least(names) + spare) for names in groups]
+    return []
+
+
 def choose(table: dict[tuple[str, str], list[tuple[int, int]]], risk: float, doubt: float, drawn: dict[tuple[str, str], list[int]] | None = None) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule.
 
     table: for each (stratum, rule), how many good and bad labelled rows lie in each
     gap between its cutoffs. drawn: the gaps of other good rows, which only serve
-    to find the order of steps(); without it the bad rows alone do.
+    to find the order of steps(). A stratum whose rows without those are fewer than
+    twice what a certificate takes tests them as well, and finds the order by its
+    bad rows alone.
 
     The tests are of joint filters: with every step one rule is tighter. A filter is
     certified if the exact binomial test rejects "more than risk of the stratum's
-    good rows are rejected" at the level doubt/strata, with the sum of the rules'
-    rejections as the count, which is never below that of the joint filter. The
-    steps don't depend on the good rows that are tested and end with the first
-    failed test, so each test has the whole level (fixed sequence), and the chance
-    that any stratum's filter rejects more is below ``doubt`` (Bonferroni). Only
-    strata count that have the rows for a certificate without a rejection: how
-    many rows there are says nothing of the rejections. Among the certified
-    filters that with the most bad rows beyond the good ones wins, the most lenient
-    on ties.
+    good rows are rejected" at the level that levels() gives the stratum, with the
+    sum of the rules' rejections as the count, which is never below that of the
+    joint filter. The steps don't depend on the good rows that are tested and end
+    with the first failed test, so each test has the whole level (fixed sequence),
+    and the chance that any stratum's filter rejects more is below ``doubt`` (weighted
+    Bonferroni). Strata with too few rows for a certificate of their own are tested
+    as one; the bound then holds for them together. Among the certified filters that
+    with the most bad rows beyond the good ones wins, the most lenient on ties.
     """
-    by: dict[str, dict[str, list[tuple[int, int]]]] = defaultdict(dict)
+    drawn, whole = drawn or {}, defaultdict(int)
     for (stratum, rule), gaps in table.items():
-        by[stratum][rule] = gaps
-    n = {stratum: max(sum(g for g, _ in gaps) for gaps in of.values()) for stratum, of in by.items()}
-    sizes = sorted(n.values(), reverse=True)
-    able = max((k for k, size in enumerate(sizes, 1) if size and at_most(0, size, risk) <= doubt / k), default=0)
+        whole[stratum] = max(whole[stratum], sum(g for g, _ in gaps) + sum(drawn.get((stratum, rule), ())))
     out: dict[str, dict[str, float]] = {}
-    for stratum in sorted(by, key=lambda s: (-n[s], s))[:able]:
-        of, cuts, best = by[stratum], {}, 0
-        for rule, j in steps({rule: [(g, b) for g, (_, b) in zip(drawn[stratum, rule] if drawn and (stratum, rule) in drawn else [0] * len(gaps), gaps, strict=True)] for rule, gaps in of.items()}):
+    for names, level in levels(whole, risk, doubt):
+        of: dict[str, list[list[int]]] = {}  # by rule and gap: tested, bad, drawn
+        for stratum in names:
+            for rule in RULES:
+                if (stratum, rule) in table:
+                    gaps = of.setdefault(rule, [[0, 0, 0] for _ in table[stratum, rule]])
+                    for gap, (good, bad), more in zip(gaps, table[stratum, rule], drawn.get((stratum, rule), [0] * len(gaps)), strict=True):
+                        gap[0], gap[1], gap[2] = gap[0] + good, gap[1] + bad, gap[2] + more
+        n = max(sum(g[0] for g in gaps) for gaps in of.values())
+        if at_most(0, n // 2, risk) > level:
+            of = {rule: [[good + more, bad, 0] for good, bad, more in gaps] for rule, gaps in of.items()}
+            n = max(sum(g[0] for g in gaps) for gaps in of.values())
+        cuts, best = {}, 0
+        for rule, j in steps({rule: [(more, bad) for _, bad, more in gaps] for rule, gaps in of.items()}):
             cuts[rule] = j
             good, bad = (sum(x[i] for r, c in cuts.items() for x in of[r][c + 1 :]) for i in (0, 1))
-            if at_most(good, n[stratum], risk) > doubt / able:
+            if at_most(good, n, risk) > level:
                 break
             if bad - 3 * good > best:
-                best, out[stratum] = bad - 3 * good, {r: RULES[r][1][c] for r, c in cuts.items()}
+                best = bad - 3 * good
+                out |= {stratum: {r: RULES[r][1][c] for r, c in cuts.items()} for stratum in names}
     return out
 
 
@@ -190,8 +225,9 @@ def cutoffs(stats: DataFrame, labels: DataFrame, risk: float, doubt: float, id_c
     """choose() on the labelled rows of stats. Only the counts in each stratum,
     rule and gap reach the driver. A third of the ids, told by a hash, give their
     good rows to the order of the steps and not to the tests. An id with several
-    labels counts as bad if one of them is; null labels are left out."""
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) >= 1).alias("good"))
+    labels counts as bad if one of them is; null labels are left out. Rows that
+    repeat an id count each."""
+    marks = labels.where(column(label_col).isNotNull()).groupBy(column(id_col).alias("id")).agg((F.min(column(label_col)) >= 1).alias("good"))
     gaps = [F.struct(F.lit(rule).alias("rule"), sum((F.expr(ratio) > c).cast("int") for c in cuts).alias("gap")) for rule, (ratio, cuts) in RULES.items()]
     rows = stats.where(~base_failed()).join(marks, "id").withColumn("plan", F.pmod(F.xxhash64("id"), F.lit(3)) == 0)
     found = rows.select("stratum", "good", "plan", F.explode(F.array(*gaps)).alias("g")).groupBy("stratum", "g.rule", "g.gap").agg(F.count_if(F.col("good") & ~F.col("plan")).alias("good"), F.count_if(F.col("good") & F.col("plan")).alias("drawn"), F.count_if(~F.col("good")).alias("bad"))
@@ -237,6 +273,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     The rows are written with their counts, and filtered once the cutoffs are
     known, so texts are read by one Python pass and aren't shuffled."""
     rows = Scratch(docs.sparkSession, "quality").save(measured(docs, text_col, stratum_col), "rows")
-    chosen = cutoffs(_named(rows, id_col), labels, risk, doubt, id_col, label_col)
-    held = rows.select(F.struct(*docs.columns).alias("_doc"), F.col("_stratum").alias("stratum"), *(F.col("_counts")[i].alias(c) for i, c in enumerate(COUNTS)))
-    return verdicts(held, chosen).where("not base_failed and rule is null").select("_doc.*")
+    chosen = cutoffs(_named(rows, column(id_col).alias("id")), labels, risk, doubt, id_col, label_col)
+    held = _named(rows, F.struct(*map(column, docs.columns)).alias("doc"))
+    return verdicts(held, chosen).where("not base_failed and rule is null").select("doc.*")
