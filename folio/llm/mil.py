@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.names import column
+
 PASSAGE, GRAM, HASHED = 512, 24, 256
 FEATURES = 256 + HASHED + 3
-#: Bounds of the training sample: labelled rows, and passages of one of them.
-SAMPLE, SAMPLE_PASSAGES = 4000, 48
+#: Bounds of the training sample: labelled rows, and passages of all of them together.
+SAMPLE, PASSAGES = 4000, 60_000
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _MIX = np.random.default_rng(5).integers(1, 1 << 63, GRAM, dtype=np.uint64) | np.uint64(1)
 
@@ -120,30 +122,37 @@ def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 32, attention: in
 
 def held_out(id_col: str):
     """Rows that no label is learned from."""
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(column(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages_in_all: int = PASSAGES) -> Model:
+    """A model of labelled rows outside held_out(), with every passage of them.
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` labelled rows outside held_out(), those whose
-    ids hash lowest, and of SAMPLE_PASSAGES evenly spread passages of longer ones.
-    An id with several labels counts as good if all are; null labels don't count."""
-    marks = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg((F.min(label_col) >= 1).cast("int").alias("_y"))
-    marks = marks.where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    # at most ``sample`` rows are broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text")).join(F.broadcast(marks), "_id").select("_id", "_y", "_text")
+    At most ``sample`` rows with at most ``passages_in_all`` passages together are
+    taken, whole texts each: those whose ids hash lowest, passing over a row that
+    would go beyond. An id with several labels counts as good if all are; null
+    labels and ids don't count; rows that repeat an id and a text count once.
+    """
+    spark, known = docs.sparkSession, column(label_col).isNotNull() & ~held_out(id_col)
+    marks = labels.where(known).groupBy(column(id_col).alias("id")).agg((F.min(column(label_col)) >= 1).cast("int").alias("y"))
+    marks = marks.where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
+    # at most ``sample`` rows are broadcast here and below
+    rows = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col).cast("binary"), F.lit(b"")).alias("text")).withColumn("th", F.xxhash64("text")).join(F.broadcast(marks), "id")
+    sizes = rows.select("id", "th", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("n")).distinct()
+    left, chosen = passages_in_all, []
+    for r in sizes.orderBy(F.xxhash64("id"), "id", "th").limit(sample).collect():
+        if r.n <= left:
+            left, chosen = left - r.n, [*chosen, (r.id, r.th)]
+    kind = rows.schema["id"].dataType.simpleString()
+    wanted = spark.createDataFrame(chosen, f"id {kind}, th long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                x = passages(t)
-                if len(x) > SAMPLE_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int)]
-                out.append(x.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "y", "x"])
-
-    kind = rows.schema["_id"].dataType.simpleString()
-    found = sorted(rows.mapInArrow(encode, f"id {kind}, y int, x binary").limit(2 * sample).collect(), key=lambda r: (r.id, r.x))
+            out = pa.array([passages(t).astype(np.float16).tobytes() for t in b.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], out], ["id", "th", "y", "x"])
+
+    texts = rows.join(F.broadcast(wanted), ["id", "th"]).groupBy("id", "th").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    found = sorted(texts.mapInArrow(encode, f"id {kind}, th long, y int, x binary").collect(), key=lambda r: (r.id, r.th))
     return train([np.frombuffer(r.x, np.float16).astype(np.float32).reshape(-1, FEATURES) for r in found], np.array([r.y for r in found], np.float32))
 
 
@@ -155,13 +164,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     row gets the smoothed share of good ones. Empty tables give empty results.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))  # of a fixed size
+    names = [id_col, "held_out", "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 s = model.value.score(part.column(2).to_pylist()).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], names)
 
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    rows = docs.select(column(id_col).alias("id"), held_out(id_col).alias("held"), F.coalesce(column(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
