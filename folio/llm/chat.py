@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.llm.names import column
+from folio.runtime import Scratch
+
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turns of one dialogue whose offsets one task adds up.
-BLOCK = 1024
+#: Characters of a rendered turn besides its role and text.
+FRAME = len(f"{START}\n{END}\n")
 
 
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrator: str = "system") -> DataFrame:
@@ -24,45 +27,60 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Turns go by number, then speaker and text; rows that repeat one come repeatedly.
     A null text is empty, a null speaker is called "unknown", null dialogue ids
-    form one dialogue, null turn numbers come first. A dialogue may have any
-    length: offsets are added up within blocks of turns and then over blocks.
+    form one dialogue, null turn numbers come first. A dialogue may have any length
+    and share of the rows: turns are dealt out by ranges of their order, and places
+    are added up within the ranges of a dialogue and then over them.
+
+    A perspective differs from the others only in its own turns' heads, so places
+    need lengths and counts of turns; texts are joined and rendered last.
     """
+    scratch = Scratch(turns.sparkSession, "chat")
     rows = turns.select(
-        F.col(conv_col).alias("conv_id"),
-        F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
-        F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
+        column(conv_col).alias("conv_id"),
+        column(turn_col).cast("long").alias("turn"),
+        F.coalesce(column(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
+        F.replace(F.coalesce(column(text_col), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
-    who = rows.where(F.col("speaker") != narrator).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    seen = rows.join(who, rows["conv_id"].eqNullSafe(who["c"])).drop("c")
-    own = F.col("speaker") == F.col("perspective")
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "speaker", "text"]
+    # equal rows are told apart as well, so that they needn't share a range
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie").drop("tie")
+    dealt = scratch.save(dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")), "turns")
     name = F.regexp_replace("speaker", r"[^\p{L}\p{N}_.-]", "_")
-    role = F.when(F.col("speaker") == narrator, "system").when(own, "assistant").otherwise("user")
-    head = F.concat(F.lit(START), role, F.when(role == "user", F.concat(F.lit(" name="), name)).otherwise(""), F.lit("\n"))
-    seen = seen.withColumns({"role": role, "name": F.when(role == "user", name), "_head": F.length(head), "rendered": F.concat(head, "text", F.lit(f"{END}\n"))})
-    key = ["conv_id", "perspective"]
-    seen = seen.withColumns({"_block": F.floor(F.col("turn") / BLOCK), "_size": F.length("rendered")})
-    place = W.partitionBy(*key, "_block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text")
-    local = F.coalesce(F.sum("_size").over(place.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = seen.groupBy(*key, "_block").agg(F.sum("_size").alias("_sum"), F.count("*").alias("_rows"))
-    earlier = W.partitionBy(*key).orderBy(F.col("_block").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("_block").alias("b"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_earlier"))
-    placed = seen.withColumns({"_local": local, "_seq": F.row_number().over(place)})
-    out = placed.join(blocks, placed["conv_id"].eqNullSafe(blocks["c"]) & (F.col("perspective") == F.col("p")) & F.col("_block").eqNullSafe(F.col("b")))
-    start = F.col("_before") + F.col("_local")
-    trained = F.col("role") == "assistant"
+    as_user = F.concat(F.lit("user name="), name)
+    narrow = dealt.select("conv_id", "speaker", "part", "pos", (F.length(F.when(F.col("speaker") == narrator, "system").otherwise(as_user)) + F.length("text") + FRAME).alias("size"))
+    who = dealt.where(F.col("speaker") != narrator).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective"), (F.lit(len("assistant")) - F.length(as_user)).alias("shift")).distinct()
+    up_to = lambda *by: W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+    # places in the dialogue as if nobody were the assistant
+    local = narrow.withColumns({"chars": before("size", up_to("conv_id", "part")), "turns": before(F.lit(1), up_to("conv_id", "part"))})
+    parts = narrow.groupBy("conv_id", "part").agg(F.sum("size").alias("chars"), F.count("*").alias("turns"))
+    ranges = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), before("chars", ranges).alias("chars_before"), before("turns", ranges).alias("turns_before"))
+    placed = local.join(parts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).select("conv_id", "speaker", "part", "pos", (F.col("chars") + F.col("chars_before")).alias("chars"), (F.col("turns") + F.col("turns_before") + 1).alias("seq"))
+    # how many turns each participant has had before
+    seen = placed.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c").withColumn("own", (F.col("speaker") == F.col("perspective")).cast("long"))
+    key = ["conv_id", "perspective", "part"]
+    counted = seen.groupBy(*key).agg(F.sum("own").alias("own"))
+    counted = counted.select(F.col("conv_id").alias("c"), F.col("perspective").alias("q"), F.col("part").alias("p"), before("own", W.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("own_before"))
+    seen = seen.withColumn("own_local", before("own", up_to(*key))).join(counted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("q")) & (F.col("part") == F.col("p")))
+    seen = seen.select("pos", "perspective", "seq", (F.col("chars") + F.col("shift") * (F.col("own_local") + F.col("own_before"))).alias("char_start"))
+    out = dealt.join(seen, "pos")
+    role = F.when(F.col("speaker") == narrator, "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
+    head = F.concat(F.lit(START), F.when(role == "user", as_user).otherwise(role), F.lit("\n"))
+    rendered = F.concat(head, "text", F.lit(f"{END}\n"))
+    end, trained = F.col("char_start") + F.length(rendered), role == "assistant"
     return out.select(
         "conv_id",
         "perspective",
-        (F.col("_earlier") + F.col("_seq")).alias("seq"),
+        "seq",
         "turn",
-        "role",
-        "name",
-        "rendered",
-        start.alias("char_start"),
-        (start + F.col("_size")).alias("char_end"),
-        F.when(trained, start + F.col("_head")).alias("mask_start"),
-        F.when(trained, start + F.col("_size") - 1).alias("mask_end"),
+        role.alias("role"),
+        F.when(role == "user", name).alias("name"),
+        rendered.alias("rendered"),
+        "char_start",
+        end.alias("char_end"),
+        F.when(trained, F.col("char_start") + F.length(head)).alias("mask_start"),
+        F.when(trained, end - 1).alias("mask_end"),
     )
 
 
