@@ -60,7 +60,7 @@ class Walker(HTMLParser):
             self.put("\n" + "  " * max(0, len(self.lists) - 1) + ("- " if of[0] == "ul" else f"{of[1]}. "))
         elif tag == "pre":
             self.pre += 1
-            self.put("```\n")
+            self.put("```" + (re.findall(r"(?:^|\s)lang(?:uage)?-(\S+)", a.get("class") or "") or [""])[0] + "\n")
         elif tag in MARKS and not self.pre:
             self.open.append(tag)
             self.put(MARKS[tag])
@@ -137,24 +137,34 @@ def html_to_markdown(page: Column) -> Column:
     return convert(page)
 
 
-def line_html(kind: Column, level: Column, line: Column) -> Column:
-    """A classified line as HTML; runs of list items and cells are wrapped by
-    the plan that joins them."""
-    text = line
+def inline_html(text: Column) -> Column:
+    """A line's text with its marks as tags, signs of markup escaped."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(a), F.lit(b))
-    for pattern, to in ((r"\*\*(.+?)\*\*", "<strong>$1</strong>"), (r"\*(.+?)\*", "<em>$1</em>"), (r"~~(.+?)~~", "<del>$1</del>"), (r"`(.+?)`", "<code>$1</code>"), (r"!\[([^\]]*)\]\(([^)]*)\)", '<img alt="$1" src="$2">'), (r"\[([^\]]*)\]\(([^)]*)\)", '<a href="$2">$1</a>')):
+    for pattern, to in ((r"!\[([^\]]*)\]\(([^)]*)\)", '<img alt="$1" src="$2">'), (r"\[([^\]]*)\]\(([^)]*)\)", '<a href="$2">$1</a>'), (r"\*\*\*(.+?)\*\*\*", "<strong><em>$1</em></strong>"), (r"\*\*(.+?)\*\*", "<strong>$1</strong>"), (r"\*(.+?)\*", "<em>$1</em>"), (r"~~(.+?)~~", "<del>$1</del>"), (r"&lt;u&gt;(.+?)&lt;/u&gt;", "<u>$1</u>"), (r"`(.+?)`", "<code>$1</code>")):
         text = F.regexp_replace(text, pattern, to)
-    bare = F.regexp_replace(text, r"^\s*(#{1,6}\s+|[-*+•] |\d+[.)] |&gt; ?)", "")
+    return text
+
+
+def line_html(kind: Column, level: Column, line: Column) -> Column:
+    """A classified line as HTML; what a run of items, rows, code or quotes stands
+    in is put around by html_islands(), as row_html() makes table rows."""
+    bare = inline_html(F.regexp_replace(line, r"^\s*(#{1,6}\s+|[-*+•] |\d+[.)] |> ?)", ""))
     tag = F.concat(F.lit("h"), level.cast("string"))
+    escaped = line
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
     return (
         F.when(kind == "heading", F.concat(F.lit("<"), tag, F.lit(">"), bare, F.lit("</"), tag, F.lit(">")))
-        .when(kind.isin("bullet", "number"), F.concat(F.lit("<li>"), bare, F.lit("</li>")))
-        .when(kind == "quote", F.concat(F.lit("<blockquote>"), bare, F.lit("</blockquote>")))
+        .when(kind.isin("bullet", "number"), F.concat(F.when(level > 1, F.concat(F.lit('<li style="margin-left: '), ((level - 1) * 2).cast("string"), F.lit('em">'))).otherwise("<li>"), bare, F.lit("</li>")))
+        .when(kind == "quote", bare)
         .when(kind == "rule", "<hr>")
-        .when(kind.isin("blank", "separator", "fence"), "")
-        .when(kind == "code", F.concat(F.lit("<code>"), text, F.lit("</code>")))
-        .otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))
+        .when(kind == "code", escaped)
+        .otherwise(F.concat(F.lit("<p>"), inline_html(line), F.lit("</p>")))
     )
 
 
+def row_html(cells: Column, head: Column) -> Column:
+    """A table row; the cells of the first one are headings."""
+    tag = F.when(head, "th").otherwise("td")
+    return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<"), tag, F.lit(">"), inline_html(c), F.lit("</"), tag, F.lit(">"))), ""), F.lit("</tr>"))

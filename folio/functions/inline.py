@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 STYLES = ("bold", "italic", "strike", "underline", "code")
 SEGMENT = "array<struct<text:string,bold:boolean,italic:boolean,strike:boolean,underline:boolean,code:boolean,url:string,is_image:boolean>>"
-#: Patterns in the order in which they win where two begin at one place, with what they switch on.
+#: The grammar's patterns in the order in which they win where two begin at one place, with what they switch on.
 MARKS: list[tuple[re.Pattern, tuple[str, ...]]] = [
-    (re.compile(r"!\[(.*?)\]\((.*?)\)"), ("image",)),
-    (re.compile(r"\[(.*?)\]\((.*?)\)"), ("link",)),
+    (re.compile(r"!\[([^\]]*?)\]\((.+?\.(?:png|jpg|jpeg|gif|svg|webp|bmp|ico)|https?://\S+|@media/\S+?|[^\n)]+)\)", re.IGNORECASE), ("image",)),
+    (re.compile(r"\[([^\]]*?)\]\(([^)]*?)\)"), ("link",)),
     (re.compile(r"\*\*\*(.*?)\*\*\*"), ("bold", "italic")),
     (re.compile(r"___(.*?)___"), ("bold", "italic")),
     (re.compile(r"\*\*(.*?)\*\*"), ("bold",)),
@@ -22,27 +22,30 @@ MARKS: list[tuple[re.Pattern, tuple[str, ...]]] = [
     (re.compile(r"\*(.*?)\*"), ("italic",)),
     (re.compile(r"_(.*?)_"), ("italic",)),
     (re.compile(r"~~(.*?)~~"), ("strike",)),
-    (re.compile(r"<u>(.*?)</u>"), ("underline",)),
+    (re.compile(r"<u>(.*?)</u>", re.IGNORECASE), ("underline",)),
     (re.compile(r"`(.*?)`"), ("code",)),
 ]
+#: A sign with which a mark begins.
+SIGNS = r"[*_~`<\[]"
 
 
 def segments_of(text: str) -> list[dict]:
     """Segments in order. What is still to be read stands on a stack, so any
     nesting will do: of each stretch the earliest mark is taken, and what is inside
-    keeps the styles around it."""
+    keeps the styles, the address and the kind around it. Empty stretches, such as
+    an image without an alternative text, give no segment."""
     out, todo = [], [(text or "", frozenset(), None, False)]
     while todo:
-        rest, on, url, done = todo.pop()
-        found = [] if done else [(m.start(), k, m) for k, (p, _) in enumerate(MARKS) if (m := p.search(rest))]
+        rest, on, url, image = todo.pop()
+        found = [(m.start(), k, m) for k, (p, _) in enumerate(MARKS) if (m := p.search(rest))]
         if not found:
-            if rest or done:
-                out.append({"text": rest, **{s: s in on for s in STYLES}, "url": url, "is_image": done})
+            if rest:
+                out.append({"text": rest, **{s: s in on for s in STYLES}, "url": url, "is_image": image})
             continue
         _, k, m = min(found, key=lambda f: f[:2])
         kind = MARKS[k][1]
-        inside = {"image": (m[1], on, m[m.lastindex], True), "link": (m[1], on, m[m.lastindex], False)}.get(kind[0], (m[1], on | set(kind), url, False))
-        todo += [(rest[m.end() :], on, url, False), inside, (rest[: m.start()], on, url, False)]
+        inside = (m[1], on, url or m[2], image or kind[0] == "image") if kind[0] in ("image", "link") else (m[1], on | set(kind), url, image)
+        todo += [(rest[m.end() :], on, url, image), inside, (rest[: m.start()], on, url, image)]
     return out
 
 
@@ -59,10 +62,11 @@ def segments(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Texts without marks. Only those with a mark's sign go through Python."""
+    """Texts without marks. Python only gets those that have a mark's sign."""
 
     @F.pandas_udf("string")
     def strip(x: pd.Series) -> pd.Series:
         return x.map(lambda t: t if t is None else "".join(s["text"] for s in segments_of(t)))
 
-    return strip(text)
+    marked = text.rlike(SIGNS)
+    return F.when(marked, strip(F.when(marked, text))).otherwise(text)

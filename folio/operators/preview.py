@@ -83,8 +83,8 @@ def slide_pages(heights: DataFrame, most: float = 5.0) -> DataFrame:
 
 def fences_repaired(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents whose code fences open and close: code on the opening line goes
-    below it, a fence left open is closed before a heading or at the end. Only
-    texts with a fence go through Python."""
+    below it, a fence left open is closed before a heading or at the end. Python
+    only gets texts with a fence."""
 
     @F.pandas_udf("string")
     def repair(x: pd.Series) -> pd.Series:
@@ -115,7 +115,8 @@ def fences_repaired(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return x.map(one)
 
-    return docs.withColumn(text_col, F.when(F.col(text_col).contains("```"), repair(text_col)).otherwise(F.col(text_col)))
+    fenced = F.col(text_col).contains("```")
+    return docs.withColumn(text_col, F.when(fenced, repair(F.when(fenced, F.col(text_col)))).otherwise(F.col(text_col)))
 
 
 def blocks(docs: DataFrame, tokens: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
