@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import posixpath
 import re
 import tarfile
 import zipfile
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.html import page_markdown
+from folio.functions.inline import segments_of
 from folio.functions.tree import to_markdown
 
 #: Limits of one entry of an archive and of all of them against bombs.
 ENTRY_BYTES, RATIO = 1 << 28, 200
 NOTE = "{http://schemas.openxmlformats.org/%s}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 SHEET, WORD, DRAW, SLIDE = (NOTE % f"{x}/2006/main" for x in ("spreadsheetml", "wordprocessingml", "drawingml", "presentationml"))
 
 
@@ -58,15 +61,43 @@ def _column(ref: str) -> int:
     return max(0, n - 1)
 
 
+def opened(raw: bytes) -> zipfile.ZipFile:
+    """A packed document, unless its members are far larger than it gives reason for."""
+    z = zipfile.ZipFile(io.BytesIO(raw))
+    sizes = [i.file_size for i in z.infolist()]
+    if max(sizes, default=0) > ENTRY_BYTES or sum(sizes) > RATIO * max(len(raw), 1 << 16):
+        raise ValueError("the members are too large")
+    return z
+
+
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """What a part's relations lead to, by their ids: addresses, and members by their whole name."""
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    out = {}
+    for r in ElementTree.fromstring(z.read(rels)) if rels in z.namelist() else ():
+        to = r.get("Target") or ""
+        inside = to.lstrip("/") if to.startswith("/") else posixpath.normpath(f"{folder}/{to}")
+        out[r.get("Id")] = to if r.get("TargetMode") == "External" else inside
+    return out
+
+
+def _parts(z: zipfile.ZipFile, part: str, tag: str, name: str) -> Iterator[tuple[str, str]]:
+    """(name, member) of the parts that a part lists, in its order."""
+    to = _targets(z, part)
+    for x in ElementTree.fromstring(z.read(part)).iter(tag):
+        member = to.get(x.get(f"{RELATION}id"))
+        if member in z.namelist():
+            yield x.get(name), member
+
+
 def sheets(raw: bytes) -> Iterator[tuple[str, int, int, str]]:
     """(sheet, row, column, text) of the cells of a workbook, values as stored."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+    with opened(raw) as z:
         strings = []
         if "xl/sharedStrings.xml" in z.namelist():
             strings = ["".join(t.text or "" for t in s.iter(f"{SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{SHEET}sheet")]
-        parts = sorted((x for x in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.findall(r"\d+", x)[-1]))
-        for name, part in zip(names, parts, strict=False):
+        for name, part in _parts(z, "xl/workbook.xml", f"{SHEET}sheet", "name"):
             for r, row in enumerate(ElementTree.fromstring(z.read(part)).iter(f"{SHEET}row")):
                 for k, c in enumerate(row.iter(f"{SHEET}c")):
                     kind, v = c.get("t"), c.find(f"{SHEET}v")
@@ -92,55 +123,127 @@ def xlsx_markdown(raw: bytes) -> str:
     return "\n\n".join(parts)
 
 
-def _run(r: ElementTree.Element) -> str:
-    text = "".join(t.text or "" if t.tag.endswith("}t") else "\n" for t in r if t.tag in (f"{WORD}t", f"{WORD}br"))
-    style = r.find(f"{WORD}rPr")
-    for tag, mark in (("b", "**"), ("i", "*"), ("strike", "~~")):
-        on = style is not None and (x := style.find(f"{WORD}{tag}")) is not None and x.get(f"{WORD}val") not in ("0", "false")
-        if on and text.strip():
-            text = f"{mark}{text}{mark}"
-    return text
+#: Faces in which code is set.
+CODE_FACES = ("courier new", "courier", "consolas", "monospace")
+
+
+def marked(text: str, marks: list[str]) -> str:
+    """A text in its marks, white space at its ends left outside."""
+    inner = text.strip()
+    if not inner:
+        return text
+    left, right = text[: len(text) - len(text.lstrip())], text[len(text.rstrip()) :]
+    for mark in marks:
+        inner = f"<u>{inner}</u>" if mark == "<u>" else f"{mark}{inner}{mark}"
+    return left + inner + right
+
+
+def _run(r: ElementTree.Element, to: dict[str, str]) -> str:
+    text = "".join((t.text or "") if t.tag == f"{WORD}t" else "\n" for t in r if t.tag in (f"{WORD}t", f"{WORD}br"))
+    style, marks = r.find(f"{WORD}rPr"), []
+    if style is not None:
+        face, name = style.find(f"{WORD}rFonts"), style.find(f"{WORD}rStyle")
+        for tag, mark in (("b", "**"), ("i", "*"), ("strike", "~~"), ("u", "<u>")):
+            x = style.find(f"{WORD}{tag}")
+            if x is not None and x.get(f"{WORD}val") not in ("0", "false", "none"):
+                marks.append(mark)
+        if (face is not None and (face.get(f"{WORD}ascii") or "").lower() in CODE_FACES) or (name is not None and "code" in (name.get(f"{WORD}val") or "").lower()):
+            marks.append("`")
+    for x in r.iter(f"{DRAW}blip"):
+        src = to.get(x.get(f"{RELATION}embed") or x.get(f"{RELATION}link"), "")
+        size = next((e.get("cx") for e in r.iter() if e.tag.endswith("}extent")), None)
+        alt = next((e.get("descr") or "" for e in r.iter() if e.tag.endswith("}docPr")), "") or "image"
+        text += f'<img src="{src}" alt="{alt}" width="{round(int(size) / 9525)}">' if size else f"![{alt}]({src})"
+    return marked(text, marks)
+
+
+def _runs(p: ElementTree.Element, to: dict[str, str]) -> str:
+    """The runs of a paragraph, those in a link as one."""
+    out = []
+    for x in p:
+        if x.tag == f"{WORD}r":
+            out.append(_run(x, to))
+        elif x.tag in (f"{WORD}hyperlink", f"{WORD}fldSimple"):
+            text = "".join(_run(r, to) for r in x.iter(f"{WORD}r"))
+            at = re.search(r'HYPERLINK\s+"([^"]*)"', x.get(f"{WORD}instr") or "")
+            url = at[1] if at else to.get(x.get(f"{RELATION}id"), "")
+            text = re.sub(r"^<u>(.*)</u>$", r"\1", text)
+            out.append(f"[{text}]({url})" if url and text.strip() else text)
+        elif x.tag in (f"{WORD}ins", f"{WORD}smartTag", f"{WORD}sdt", f"{WORD}sdtContent"):
+            out.append(_runs(x, to))
+    return "".join(out)
 
 
 def docx_markdown(raw: bytes) -> str:
-    """Paragraphs (headings, lists, bold, italic, struck) and tables of a document
-    in their order."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
+    """Paragraphs (headings, lists by level, styles, links, pictures, code) and
+    tables of a document in their order."""
+    with opened(raw) as z:
+        body, to = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body"), _targets(z, "word/document.xml")
     out: list[str] = []
+    code: list[str] | None = None
     for x in body if body is not None else ():
+        style = next((s.get(f"{WORD}val") or "" for s in x.iter(f"{WORD}pStyle")), "").lower() if x.tag == f"{WORD}p" else ""
+        if style in ("code", "sourcecode", "htmlpreformatted"):
+            code = [*(code or []), "".join(t.text or "" for t in x.iter(f"{WORD}t"))]
+            continue
+        if code is not None:
+            out, code = [*out, "```", *code, "```", ""], None
         if x.tag == f"{WORD}tbl":
-            rows = [["".join(map(_run, c.iter(f"{WORD}r"))) for c in r.findall(f"{WORD}tc")] for r in x.findall(f"{WORD}tr")]
+            rows = [["<br>".join(_runs(p, to) for p in c.iter(f"{WORD}p")) for c in r.findall(f"{WORD}tc")] for r in x.findall(f"{WORD}tr")]
             out += [_table(rows), ""] if rows else []
         elif x.tag == f"{WORD}p":
-            style = next((s.get(f"{WORD}val") or "" for s in x.iter(f"{WORD}pStyle")), "").lower()
-            text = "".join(map(_run, x.iter(f"{WORD}r")))
+            text = _runs(x, to)
             level = re.fullmatch(r"(?:heading|title)\s*(\d?)", style)
+            depth = x.find(f"{WORD}pPr/{WORD}numPr/{WORD}ilvl")
+            deep = int(depth.get(f"{WORD}val") or 0) if depth is not None else int((re.search(r"\d$", style) or ["1"])[0]) - 1
             listed = x.find(f"{WORD}pPr/{WORD}numPr") is not None or style.startswith("list")
-            if text.strip():
-                out.append(f"{'#' * int(level[1] or 1)} {text}" if level else f"{'1.' if 'number' in style else '-'} {text}" if listed else text)
+            if x.find(f"{WORD}pPr/{WORD}pBdr/{WORD}bottom") is not None and not text.strip():
+                out += ["---", ""]
+            elif text.strip():
+                out.append(f"{'#' * int(level[1] or 1)} {text}" if level else f"{'  ' * deep}{'1.' if 'number' in style else '-'} {text}" if listed else text)
                 out += [] if listed else [""]
-    return "\n".join(out).strip()
+    return "\n".join([*out, *(["```", *code, "```"] if code is not None else [])]).strip()
+
+
+def _shape_lines(x: ElementTree.Element) -> list[str]:
+    """A shape's text: a title as heading, other paragraphs as bullets by level,
+    numbered where they are."""
+    if x.tag == f"{SLIDE}graphicFrame":
+        rows = [["".join(t.text or "" for t in c.iter(f"{DRAW}t")) for c in r.findall(f"{DRAW}tc")] for t in x.iter(f"{DRAW}tbl") for r in t.findall(f"{DRAW}tr")]
+        return ["", _table(rows)] if rows else []
+    out, title = [], any((p.get("type") or "").lower().endswith("title") for p in x.iter(f"{SLIDE}ph"))
+    for p in x.iter(f"{DRAW}p"):
+        own = p.find(f"{DRAW}pPr")
+        text, level = "".join(t.text or "" for t in p.iter(f"{DRAW}t")), int((own.get("lvl") if own is not None else 0) or 0)
+        if text.strip():
+            numbered = own is not None and own.find(f"{DRAW}buAutoNum") is not None
+            out.append(f"## {text}\n" if title else f"{'  ' * level}{'1.' if numbered else '-'} {text}")
+    return out
+
+
+def _top(x: ElementTree.Element) -> int:
+    """Where a shape begins; those without a place come first."""
+    off = next(x.iter(f"{DRAW}off"), None)
+    return int(off.get("y") or 0) if off is not None else 0
 
 
 def pptx_markdown(raw: bytes) -> str:
-    """Slides, divided by rules: the title as heading, other text as bullets by
-    level, tables."""
+    """Slides in their order, divided by rules: shapes by their top (those of a group
+    in its place), titles as headings, other text as bullets, tables, pictures, notes."""
     slides = []
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        for name in sorted((x for x in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", x)), key=lambda x: int(re.findall(r"\d+", x)[-1])):
-            lines = []
-            for x in ElementTree.fromstring(z.read(name)).iter():
-                if x.tag == f"{SLIDE}sp":
-                    title = any((p.get("type") or "").lower().endswith("title") for p in x.iter(f"{SLIDE}ph"))
-                    for p in x.iter(f"{DRAW}p"):
-                        text = "".join(t.text or "" for t in p.iter(f"{DRAW}t"))
-                        level = int((p.find(f"{DRAW}pPr").get("lvl") if p.find(f"{DRAW}pPr") is not None else 0) or 0)
-                        if text.strip():
-                            lines.append(f"## {text}\n" if title else f"{'  ' * level}- {text}")
-                elif x.tag == f"{DRAW}tbl":
-                    rows = [["".join(t.text or "" for t in c.iter(f"{DRAW}t")) for c in r.findall(f"{DRAW}tc")] for r in x.findall(f"{DRAW}tr")]
-                    lines += ["", _table(rows)] if rows else []
+    with opened(raw) as z:
+        for _, name in _parts(z, "ppt/presentation.xml", f"{SLIDE}sldId", "id"):
+            to, lines = _targets(z, name), []
+            tree = ElementTree.fromstring(z.read(name)).find(f"{SLIDE}cSld/{SLIDE}spTree")
+            for top in sorted(tree if tree is not None else (), key=_top):
+                for x in top.iter():
+                    if x.tag in (f"{SLIDE}sp", f"{SLIDE}graphicFrame"):
+                        lines += _shape_lines(x)
+                    elif x.tag == f"{SLIDE}pic":
+                        lines += [f"![image]({to[b.get(f'{RELATION}embed')]})" for b in x.iter(f"{DRAW}blip") if b.get(f"{RELATION}embed") in to]
+            for note in (t for t in to.values() if "/notesSlides/" in t and t in z.namelist()):
+                said = [x for s in ElementTree.fromstring(z.read(note)).iter(f"{SLIDE}sp") if any(p.get("type") == "body" for p in s.iter(f"{SLIDE}ph")) for x in ("".join(t.text or "" for t in p.iter(f"{DRAW}t")) for p in s.iter(f"{DRAW}p")) if x.strip()]
+                lines += ["", "### Notes:", *said] if said else []
             slides.append("\n".join(lines).strip())
     return "\n\n---\n\n".join(slides)
 
@@ -174,23 +277,28 @@ READERS: dict[str, Callable[[bytes], str]] = {
 
 
 def imported(found: DataFrame) -> DataFrame:
-    """path, text, error of each file (path, content). A file that can't be read
-    doesn't stop the others. Files are spread by their bytes by Spark's reader."""
+    """path, text, error of each file (path, content), with the columns copy, if
+    there is one, as it is. A file that can't be read doesn't stop the others, and
+    one with a problem, or whose whole column says that it needn't be, isn't read.
+    Files are spread by their bytes by Spark's reader."""
+    more = [c for c in ("copy",) if c in found.columns]
+    given = [F.col(c) if c in found.columns else F.lit(None).cast(k).alias(c) for c, k in (("problem", "string"), ("whole", "boolean"))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             out = []
-            for path, raw in zip(x.path, x.content, strict=True):
+            for path, raw, problem, whole in zip(x.path, x.content, x.problem, x.whole, strict=True):
                 ext = re.search(r"(\.[^./]*)?$", path)[0].lower()
                 try:
-                    out.append((path, READERS[ext](bytes(raw)), None))
+                    out.append((path, None, problem) if problem or whole else (path, READERS[ext](bytes(raw)), None))
                 except KeyError:
                     out.append((path, None, f"no reader for {ext or 'files without an extension'}"))
                 except Exception as e:  # noqa: BLE001 - any defect of a file is its row's error
                     out.append((path, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(out, columns=["path", "text", "error"])
+            made = pd.DataFrame(out, columns=["path", "text", "error"])
+            yield made.assign(**{c: x[c].to_numpy() for c in more})
 
-    return found.select("path", "content").mapInPandas(run, "path string, text string, error string")
+    return found.select("path", "content", *given, *more).mapInPandas(run, ", ".join(["path string, text string, error string", *(f"{c} binary" for c in more)]))
 
 
 def workbook_cells(found: DataFrame) -> DataFrame:
@@ -253,11 +361,7 @@ def workbook(rows: list[list[str]], title: str = "Sheet1") -> bytes:
         "xl/styles.xml": f'<styleSheet xmlns="{ns}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
         "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{ns}"><sheetData>{body}</sheetData></worksheet>',
     }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{text}')
-    return out.getvalue()
+    return _zipped(parts)
 
 
 def csv_bytes(rows: list[list[str]]) -> bytes:
@@ -266,22 +370,54 @@ def csv_bytes(rows: list[list[str]]) -> bytes:
     return out.getvalue().encode("utf-8-sig")
 
 
-def document(blocks: list[tuple[str, int, str]]) -> bytes:
-    """A word-processor document of (kind, level, text) blocks."""
+def _styled_runs(text: str) -> str:
+    """A line's segments as runs with their styles, those with an address as links."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    out = []
+    for x in segments_of(text):
+        tags = [t for k, t in (("bold", "<w:b/>"), ("italic", "<w:i/>"), ("strike", "<w:strike/>"), ("underline", '<w:u w:val="single"/>'), ("code", '<w:rFonts w:ascii="Courier New" w:hAnsi="Courier New"/>')) if x[k]]
+        run = f'<w:r>{f"<w:rPr>{chr(32).join(tags)}</w:rPr>" if tags else ""}<w:t xml:space="preserve">{escape(x["text"])}</w:t></w:r>'
+        link = quoteattr('HYPERLINK "' + (x["url"] or "").replace('"', "%22") + '"')
+        out.append(f"<w:fldSimple w:instr={link}>{run}</w:fldSimple>" if x["url"] and not x["is_image"] else run)
+    return "".join(out)
+
+
+def document(blocks: list[tuple[int, str, int, list[str]]]) -> bytes:
+    """A word-processor document of blocks (line number, kind, level, cells or the
+    one text). Table rows that follow each other, with nothing but separators
+    between them, are one table. Blank lines and fences only part others."""
     from xml.sax.saxutils import escape
 
     def paragraph(kind: str, level: int, text: str) -> str:
-        style = {"heading": f"Heading{level}", "bullet": "ListBullet", "number": "ListNumber"}.get(kind)
-        return f'<w:p>{f"""<w:pPr><w:pStyle w:val="{style}"/></w:pPr>""" if style else ""}<w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>'
-
+        style = {"heading": f"Heading{level}", "bullet": "ListBullet" + (str(level) if level > 1 else ""), "number": "ListNumber" + (str(level) if level > 1 else ""), "code": "Code", "quote": "Quote"}.get(kind)
+        if kind == "rule":
+            return '<w:p><w:pPr><w:pBdr><w:bottom w:val="single"/></w:pBdr></w:pPr></w:p>'
+        runs = f'<w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r>' if kind == "code" else _styled_runs(text)
+        return f'<w:p>{f"""<w:pPr><w:pStyle w:val="{style}"/></w:pPr>""" if style else ""}{runs}</w:p>'
+
+    body, rows = [], []
+    for at, kind, level, cells in [*blocks, (None, "", 0, [])]:
+        if rows and kind not in ("table", "separator"):
+            width = max(map(len, rows))
+            body.append("<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc><w:p>{_styled_runs(c)}</w:p></w:tc>" for c in [*r, *[""] * (width - len(r))]) + "</w:tr>" for r in rows) + "</w:tbl>")
+            rows = []
+        if kind == "table":
+            rows = [*rows, cells]
+        elif kind not in ("", "blank", "fence", "separator"):
+            body.append(paragraph(kind, level, cells[0]))
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     parts = {
         "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'<w:document xmlns:w="{WORD.strip("{}")}"><w:body>{"".join(paragraph(*b) for b in blocks)}</w:body></w:document>',
+        "word/document.xml": f'<w:document xmlns:w="{WORD.strip("{}")}"><w:body>{"".join(body)}</w:body></w:document>',
     }
+    return _zipped(parts)
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{text}')
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{text}', zipfile.ZIP_DEFLATED)
     return out.getvalue()
