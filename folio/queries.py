@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.functions.html import html_to_markdown
 from folio.functions.inline import segments, stripped
 from folio.functions.tree import json_to_markdown, markdown_to_json
-from folio.operators import catalog, images, layout, lines, preview, search, tables, transcript
+from folio.operators import catalog, images, layout, lines, preview, search, tables, transcript, workspace
 from folio.plans import convert
 from folio.runtime import table
 from folio.sources import files
@@ -272,25 +273,33 @@ def inline_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "line_no", F.posexplode(segments(F.col("line"))).alias("seg_no", "s")).select("doc_id", "line_no", "seg_no", "s.*")
 
 
+#: Marks around a part's name, and the segments that they must give: text before, style, address, picture.
+STYLED = [("**{}**", "bold", None), ("*{}*", "italic", None), ("~~{}~~", "strike", None), ("<U>{}</u>", "underline", None), ("`{}`", "code", None), ("[{}](http://x/y)", None, "http://x/y"), ("![{}](pic (1).png)", None, "pic (1).png")]
+
+
+@query("WITH v AS (SELECT p_partkey, p_name, k, style, url FROM part CROSS JOIN (VALUES " + ", ".join(f"({k}, {f"'{s}'" if s else 'NULL'}, {f"'{u}'" if u else 'NULL'})" for k, (_, s, u) in enumerate(STYLED)) + """) AS v(k, style, url)), s AS (SELECT p_partkey, k, 0 AS seg_no, 'a ' AS text, NULL AS style, NULL AS url, false AS is_image FROM v UNION ALL SELECT p_partkey, k, 1, p_name, style, url, k = 6 FROM v UNION ALL SELECT p_partkey, k, 2, ' z', NULL, NULL, false FROM v)
+SELECT p_partkey, k, seg_no, text, coalesce(style = 'bold', false) AS bold, coalesce(style = 'italic', false) AS italic, coalesce(style = 'strike', false) AS strike, coalesce(style = 'underline', false) AS underline, coalesce(style = 'code', false) AS code, url, is_image FROM s""")
+def styled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.array(*(F.concat(F.lit("a " + m.split("{}")[0]), F.col("p_name"), F.lit(m.split("{}")[1] + " z")) for m, _, _ in STYLED))
+    x = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(made).alias("k", "line"))
+    return x.select("p_partkey", "k", F.posexplode(segments(F.col("line"))).alias("seg_no", "s")).select("p_partkey", "k", "seg_no", "s.*")
+
+
 @query(r"""SELECT p_partkey, p_name || ' and ' || p_brand || ' in ' || p_type AS text FROM part""")
 def inline_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.concat(F.lit("**"), "p_name", F.lit("** and [*"), "p_brand", F.lit("*](http://x) in `"), "p_type", F.lit("`"))
     return table(spark, sf_dir, "part").select("p_partkey", stripped(x).alias("text"))
 
 
-@query("SELECT event_id, props AS again FROM events WHERE props IS NOT NULL AND false")
-def tree_roundtrip_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Properties that don't come back the same over Markdown: none."""
-    x = table(spark, sf_dir, "events").where("props is not null").withColumn("again", markdown_to_json(json_to_markdown(F.col("props"))))
-    return x.where(~_same_json("props", "again")).select("event_id", "again")
+@query("WITH k AS (SELECT event_id, props::JSON AS p, unnest(json_keys(props::JSON)) AS key FROM events WHERE props IS NOT NULL) SELECT event_id, key, json_extract_string(p, '$.' || key) AS value FROM k")
+def tree_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties over Markdown and back, key by key."""
+    again = markdown_to_json(json_to_markdown(F.col("props")))
+    x = table(spark, sf_dir, "events").where("props is not null").select("event_id", F.from_json(again, "map<string,string>").alias("again"))
+    return x.select("event_id", F.explode("again").alias("key", "value"))
 
 
-def _same_json(a: str, b: str):
-    kind = "map<string,string>"
-    return F.map_entries(F.from_json(a, kind)).eqNullSafe(F.map_entries(F.from_json(b, kind)))
-
-
-@query()
+@query("WITH k AS (SELECT event_id, props::JSON AS p, unnest(json_keys(props::JSON)) AS key, generate_subscripts(json_keys(props::JSON), 1) AS pos FROM events WHERE props IS NOT NULL), t AS (SELECT event_id, string_agg('- **' || key || '**: ' || json_extract_string(p, '$.' || key), chr(10) ORDER BY pos) AS text FROM k GROUP BY 1) SELECT event_id, text FROM events LEFT JOIN t USING (event_id)")
 def tree_to_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", json_to_markdown(F.col("props")).alias("text"))
 
@@ -441,17 +450,17 @@ def pages_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- files and workspaces
 
-PATHS = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'node_modules/' WHEN 1 THEN '.git/' WHEN 2 THEN 'docs/' ELSE 'Data/' END || c_name || CASE c_nationkey % 4 WHEN 0 THEN '.CSV' WHEN 1 THEN '.docx' WHEN 2 THEN '.exe' ELSE '.md' END AS path FROM customer"
+PATHS = "SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Node_Modules/' WHEN 1 THEN '.git/' WHEN 2 THEN 'docs/' WHEN 3 THEN 'build/' WHEN 4 THEN 'dist/bin/' WHEN 5 THEN '$RECYCLE.BIN/' WHEN 6 THEN 'System Volume Information/' ELSE 'Data/' END || c_name || CASE c_nationkey % 4 WHEN 0 THEN '.CSV' WHEN 1 THEN '.docx' WHEN 2 THEN '.exe' ELSE '.md' END AS path FROM customer"
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, n = F.col("c_custkey") % 5, F.col("c_nationkey") % 4
-    folder = F.when(k == 0, "node_modules/").when(k == 1, ".git/").when(k == 2, "docs/").otherwise("Data/")
+    k, n = F.col("c_custkey") % 8, F.col("c_nationkey") % 4
+    folder = F.element_at(F.array(*map(F.lit, ["Node_Modules/", ".git/", "docs/", "build/", "dist/bin/", "$RECYCLE.BIN/", "System Volume Information/", "Data/"])), (k + 1).cast("int"))
     ext = F.when(n == 0, ".CSV").when(n == 1, ".docx").when(n == 2, ".exe").otherwise(".md")
     return table(spark, sf_dir, "customer").select("c_custkey", F.concat(folder, "c_name", ext).alias("path"))
 
 
-@query(f"WITH p AS ({PATHS}) SELECT c_custkey, path, CASE lower(right(path, 4)) WHEN '.csv' THEN 'CSV' WHEN 'docx' THEN 'Word' ELSE 'Markdown' END AS format FROM p WHERE c_custkey % 5 > 1 AND path NOT LIKE '%.exe'")
+@query(f"WITH p AS ({PATHS}) SELECT c_custkey, path, CASE lower(right(path, 4)) WHEN '.csv' THEN 'CSV' WHEN 'docx' THEN 'Word' ELSE 'Markdown' END AS format FROM p WHERE c_custkey % 8 IN (2, 3, 4, 7) AND path NOT LIKE '%.exe'")
 def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.readable(paths(spark, sf_dir), catalog.registry(spark)).select("c_custkey", "path", "format")
 
@@ -518,9 +527,25 @@ def move_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths(spark, sf_dir).select("c_custkey", catalog.move_problem(F.col("path"), folder).alias("problem"))
 
 
-@query("WITH f AS (SELECT o_orderkey AS scan_no, o_orderpriority || '.pdf' AS name FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY scan_no) - 1 AS n FROM f) SELECT scan_no, name, CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '_' || n || '.pdf' END AS \"unique\" FROM n")
+@query("""WITH m AS (SELECT p_partkey, 'd/' || p_brand || '/' || p_partkey AS source, CASE p_partkey % 6 WHEN 0 THEN 'd/' || p_brand || '/' || p_partkey WHEN 1 THEN 'd/' || p_brand WHEN 2 THEN 'nowhere' WHEN 3 THEN 'd/' || p_brand || '/' || p_partkey || '/sub' WHEN 4 THEN 'full' ELSE 'empty' END AS folder FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 10 = 7 THEN 'missing' ELSE CASE p_partkey % 6 WHEN 0 THEN 'same' WHEN 1 THEN 'already there' WHEN 2 THEN 'folder' WHEN 3 THEN 'circular' WHEN 4 THEN 'collision' END END AS problem FROM m""")
+def moves_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    home, name = F.concat(F.lit("d/"), F.col("p_brand")), k.cast("string")
+    source = F.concat(home, F.lit("/"), name)
+    folder = F.when(k % 6 == 0, source).when(k % 6 == 1, home).when(k % 6 == 2, "nowhere").when(k % 6 == 3, F.concat(source, F.lit("/sub"))).when(k % 6 == 4, "full").otherwise("empty")
+    here = part.where(k % 10 != 7)
+    held = here.select(source.alias("path"), F.lit(True).alias("is_dir")).union(part.select(home, F.lit(True))).union(part.select(F.concat(source, F.lit("/sub")), F.lit(True))).union(part.select(F.explode(F.array(F.lit("full"), F.lit("empty"))), F.lit(True))).union(part.select(F.concat(F.lit("full/"), name), F.lit(False)))
+    return catalog.moves_checked(part.select("p_partkey", source.alias("source"), folder.alias("folder")), held.distinct()).select("p_partkey", "problem")
+
+
+@query("""WITH f AS (SELECT o_orderkey AS scan_no, o_orderpriority || CASE WHEN o_custkey % 50 = 0 THEN '_' || o_custkey % 40 + 1 ELSE '' END || '.pdf' AS name FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY scan_no) - 1 AS n FROM f), t AS (SELECT DISTINCT name AS taken FROM f),
+g AS (SELECT name AS stem, k, row_number() OVER (PARTITION BY name ORDER BY k) AS free FROM (SELECT DISTINCT name FROM f) CROSS JOIN range(1, (SELECT count(*) + 100 FROM orders)::BIGINT) r(k) WHERE k <= (SELECT max(n) + 100 FROM n) AND regexp_replace(name, '\\.pdf$', '_' || k || '.pdf') NOT IN (SELECT taken FROM t))
+SELECT scan_no, name, CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '\\.pdf$', '_' || k || '.pdf') END AS "unique" FROM n LEFT JOIN g ON stem = name AND free = n""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.unique_names(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_no"), F.concat("o_orderpriority", F.lit(".pdf")).alias("name")))
+    tail = F.when(F.col("o_custkey") % 50 == 0, F.concat(F.lit("_"), (F.col("o_custkey") % 40 + 1).cast("string"))).otherwise("")
+    return catalog.unique_names(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_no"), F.concat("o_orderpriority", tail, F.lit(".pdf")).alias("name")))
 
 
 @query("""WITH r AS (SELECT p_brand AS model, p_partkey AS file, md5(p_name) AS sha FROM part), a AS (SELECT p_brand AS model, p_partkey AS file, p_size - 1 AS size, md5(p_name) AS sha FROM part WHERE p_partkey % 97 > 0 OR p_brand < 'Brand#3')
@@ -530,10 +555,13 @@ def installed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.installed(x.drop("size"), x.where((F.col("file") % 97 > 0) | (F.col("model") < "Brand#3")))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_nationkey % 9 >= 6 THEN 'large' WHEN s_suppkey % 32 >= 16 AND s_suppkey % 12 >= 8 THEN 'medium' WHEN s_suppkey % 32 >= 8 AND s_suppkey % 12 >= 4 THEN 'small' ELSE 'base' END AS model, CASE WHEN s_nationkey % 9 >= 2 THEN 'cuda' ELSE 'cpu' END AS device FROM supplier")
+@query("""WITH m AS (SELECT s_suppkey, s_suppkey % 23 / 2.0 + 2 AS ram, s_suppkey % 7 AS free, s_suppkey % 12 AS cores, s_nationkey % 3 = 0 AS cuda, s_suppkey % 17 * 512.0 AS total, s_suppkey % 11 * 600.0 AS vram FROM supplier)
+SELECT s_suppkey, CASE WHEN cuda AND (vram >= 5500 OR total * 0.7 >= 5500) THEN 'whisper-large-v3' WHEN cuda AND (vram >= 3000 OR total * 0.7 >= 3000) THEN 'whisper-medium' WHEN cuda AND (vram >= 1500 OR total * 0.7 >= 1500) THEN 'whisper-small'
+WHEN NOT cuda AND ram >= 6.5 AND cores >= 4 AND free >= 2 AND ram <> 6.5 THEN 'whisper-small' ELSE 'whisper-base' END AS model, CASE WHEN cuda AND vram >= 1000 THEN 'cuda' ELSE 'cpu' END AS device, CASE WHEN cuda AND vram >= 1000 THEN 'float16' ELSE 'int8' END AS "precision" FROM m""")
 def recommended_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 32).alias("ram_gb"), (F.col("s_nationkey") % 9).alias("vram_gb"), (F.col("s_suppkey") % 12).alias("cores"))
-    return catalog.recommended(x).select("s_suppkey", "model", "device")
+    k = F.col("s_suppkey")
+    x = table(spark, sf_dir, "supplier").select("s_suppkey", (k % 23 / 2.0 + 2).alias("ram_total_gb"), (k % 7).alias("ram_free_gb"), (k % 12).alias("cores"), (F.col("s_nationkey") % 3 == 0).alias("cuda"), (k % 17 * 512.0).alias("vram_total_mb"), (k % 11 * 600.0).alias("vram_free_mb"))
+    return catalog.recommended(x).select("s_suppkey", "model", "device", "precision")
 
 
 @query("""WITH s AS (SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'vi' ELSE 'en' END AS locale, lower(n_name) AS text FROM nation), k AS (SELECT n_name AS key FROM nation UNION ALL SELECT r_name FROM region)
@@ -556,11 +584,13 @@ def latest_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.latest_generation(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 3).alias("generation")))
 
 
-@query("""SELECT l_linenumber, coalesce(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'E1' END, CASE WHEN l_returnflag = 'R' THEN 'E2' WHEN l_returnflag = 'A' THEN 'E3' END, 'UNKNOWN') AS code, count(*) AS n FROM lineitem GROUP BY ALL""")
+@query("""WITH e AS (SELECT l_linenumber, ['FileNotFoundError', 'IsADirectoryError', 'PermissionError', 'ModuleNotFoundError', 'BadZipFile', 'UnicodeDecodeError', 'ValueError', 'KeyError', 'ImportError'][l_suppkey % 9 + 1] AS x, CASE l_linestatus WHEN 'F' THEN 'write' ELSE 'read' END AS stage FROM lineitem)
+SELECT l_linenumber, CASE x WHEN 'FileNotFoundError' THEN 'FILE_NOT_FOUND' WHEN 'IsADirectoryError' THEN 'IS_DIRECTORY' WHEN 'PermissionError' THEN CASE stage WHEN 'write' THEN 'READ_ONLY_SAVE_ERROR' ELSE 'FILE_LOCKED' END WHEN 'ModuleNotFoundError' THEN 'MISSING_DEPENDENCY' WHEN 'ImportError' THEN 'MISSING_DEPENDENCY'
+WHEN 'BadZipFile' THEN 'CORRUPTED_STRUCTURE' WHEN 'UnicodeDecodeError' THEN 'CORRUPTED_STRUCTURE' WHEN 'ValueError' THEN 'CONVERSION_FAILED' ELSE 'UNKNOWN_ERROR' END AS code, count(*) AS n FROM e GROUP BY ALL""")
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapping = spark.createDataFrame([("R", "F", "E1"), ("R", None, "E2"), ("A", None, "E3")], "exception string, stage string, code string")
-    x = table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_returnflag").alias("exception"), F.col("l_linestatus").alias("stage"))
-    return catalog.error_codes(x, mapping).groupBy("l_linenumber", "code").agg(F.count("*").alias("n"))
+    kinds = F.array(*map(F.lit, ["FileNotFoundError", "IsADirectoryError", "PermissionError", "ModuleNotFoundError", "BadZipFile", "UnicodeDecodeError", "ValueError", "KeyError", "ImportError"]))
+    x = table(spark, sf_dir, "lineitem").select("l_linenumber", F.element_at(kinds, (F.col("l_suppkey") % 9 + 1).cast("int")).alias("exception"), F.when(F.col("l_linestatus") == "F", "write").otherwise("read").alias("stage"))
+    return catalog.error_codes(x).groupBy("l_linenumber", "code").agg(F.count("*").alias("n"))
 
 
 # ---- files of each format, as bytes made of the tables
@@ -595,9 +625,28 @@ def files_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.drop("content").join(back, "output", "left")
 
 
-@query("""WITH p AS (SELECT n_nationkey AS k, n_name FROM nation) SELECT 'in/' || n_name || CASE WHEN k = 9 THEN '.exe' ELSE ['.csv', '.json', '.yaml', '.html', '.md'][k % 5 + 1] END AS path, CASE WHEN k = 9 THEN 'extension' END AS problem FROM p""")
+#: Files made of parts: extension, content, and the problem that a check must find.
+SAMPLES: list[tuple[str, bytes, str | None]] = [
+    (".md", b"# fine", None), (".md", b"a\x00b", "binary"), (".md", b"\xff\xfe broken", "encoding"), (".csv", b"a\x00b", None), (".json", b'{"a": [1, 2]}', None), (".json", b"{broken json", "broken"), (".json", b"\xef\xbb\xbf[1]", None), (".json", b"", "empty"),
+    (".yaml", b"a: [1, 2]", None), (".yml", b"a: [1, 2", "broken"), (".docx", b"PK\x03\x04garbage", "broken"), (".xlsx", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "encrypted"), (".pptx", b"text", "not a zip"), (".pdf", b"%PDF-1.7", None), (".pdf", b"PDF", "not a PDF"), (".xls", b"\xd0\xcf\x11\xe0", "not a workbook"), (".exe", b"MZ", "extension"), (".lnk", b"L", "shortcut"),
+]
+
+
+@query("SELECT 'in/' || p_partkey || ext AS path, problem FROM part JOIN (VALUES " + ", ".join(f"({k}, '{ext}', {f"'{problem}'" if problem else 'NULL'})" for k, (ext, _, problem) in enumerate(SAMPLES)) + f") AS v(k, ext, problem) ON p_partkey % {len(SAMPLES)} = k")
 def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.checked(files.heads(nation_files(spark, sf_dir))).select("path", "problem")
+    """Whole and broken files of every format, by their whole content."""
+    made = spark.createDataFrame([(k, ext, bytearray(raw)) for k, (ext, raw, _) in enumerate(SAMPLES)], "k int, ext string, content binary")
+    x = table(spark, sf_dir, "part").join(F.broadcast(made), F.col("p_partkey") % len(SAMPLES) == F.col("k"))
+    return catalog.checked(x.select(F.concat(F.lit("in/"), F.col("p_partkey").cast("string"), "ext").alias("path"), F.octet_length("content").cast("long").alias("length"), "content")).select("path", "problem")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 5 = 4 THEN 'extension' WHEN p_size = 1 THEN 'empty' WHEN p_size = 50 THEN 'too large' WHEN p_partkey % 5 = 0 AND p_partkey % 3 = 0 THEN 'not a zip' END AS problem FROM part""")
+def archive_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    ext = F.element_at(F.array(*map(F.lit, [".zip", ".TAR", ".tar.gz", ".7z", ".txt"])), (k % 5 + 1).cast("int"))
+    size = F.when(k % 7 == 0, F.lit(None)).when(F.col("p_size") == 1, 0).when(F.col("p_size") == 50, (1 << 31) + 1).otherwise(F.col("p_size"))
+    x = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("in/a"), ext).alias("path"), size.cast("long").alias("length"), F.when(k % 3 == 0, F.lit(b"xx")).otherwise(F.lit(b"PK\x03\x04")).alias("head"))
+    return catalog.archive_problem(x).select("p_partkey", "problem")
 
 
 @query("""WITH s AS (SELECT s_nationkey AS doc, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS row_no, s_name FROM supplier) SELECT doc::VARCHAR AS path, row_no::INT AS row_no, s_name AS cell FROM s UNION ALL SELECT DISTINCT doc::VARCHAR, 0, 's_name' FROM s""")
@@ -656,6 +705,19 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.resolved(links, assets, ["path", "folder", "name"]).select("link_id", "path").distinct()
 
 
+@query("SELECT doc_id AS session, source AS store, doc_id * 7919 % 1000003 AS mtime FROM documents WHERE doc_id % 5 <> 0 AND 1000003 - doc_id * 7919 % 1000003 > 604800")
+def cache_outdated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session"), F.col("source").alias("store"), (F.col("doc_id") * 7919 % 1000003).alias("mtime"), (F.col("doc_id") % 5 == 0).alias("protected"))
+    return catalog.outdated(x, F.lit(1000003)).drop("protected")
+
+
+@query("SELECT o_orderpriority, 'f' || o_orderkey || '.md' AS file, 'E' || o_custkey AS error FROM orders WHERE o_orderstatus = 'O'")
+def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed").otherwise("skipped")
+    x = table(spark, sf_dir, "orders").select("o_orderpriority", F.concat(F.lit("in/x/f"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), status.alias("status"), F.concat(F.lit("E"), F.col("o_custkey").cast("string")).alias("error"))
+    return catalog.error_list(x)
+
+
 @query("""SELECT source, count(*) AS n_files, sum(n_chars)::BIGINT AS size FROM documents GROUP BY 1""")
 def storage_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("size"))
@@ -720,3 +782,140 @@ def translation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merged_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview.merged_columns(tables.table_lines(lines.lines(table(spark, sf_dir, "documents")))).select("doc_id", "table_no", "row_no", F.size("cells").alias("n_cells"))
+
+
+# ---- tabs, settings, edits
+
+
+@query("""WITH t AS (SELECT l_orderkey AS win, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS place, l_linenumber AS tab, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)), c AS (SELECT o_orderkey AS win, o_custkey % 6 + 1 AS tab, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 6 + 1 ELSE 1 END AS active FROM orders),
+x AS (SELECT c.*, g.place AS "at", (SELECT max(n) FROM t WHERE t.win = c.win) AS n FROM c LEFT JOIN t g ON g.win = c.win AND g.tab = c.tab WHERE EXISTS (SELECT 1 FROM t WHERE t.win = c.win)),
+y AS (SELECT *, CASE WHEN n = 1 THEN NULL WHEN "at" = n - 1 THEN "at" - 1 ELSE "at" + 1 END AS heir FROM x)
+SELECT y.win AS "window", CASE WHEN "at" IS NULL OR active <> y.tab THEN active ELSE t.tab END AS active FROM y LEFT JOIN t ON t.win = y.win AND t.place = heir""")
+def tabs_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tabs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").alias("window"), (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("place"), F.col("l_linenumber").cast("long").alias("tab"))
+    gone = (F.col("o_custkey") % 6 + 1).cast("long")
+    closed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("window"), gone.alias("tab"), F.when(F.col("o_custkey") % 2 == 0, gone).otherwise(F.lit(1).cast("long")).alias("active"))
+    return workspace.active_after_close(tabs, closed)
+
+
+@query("""WITH t AS (SELECT l_orderkey AS win, list(DISTINCT l_linenumber ORDER BY l_linenumber) AS tabs FROM lineitem GROUP BY 1), m AS (SELECT o_orderkey AS win, o_custkey % 6 + 1 AS source, o_custkey % 5 + 1 AS target FROM orders),
+x AS (SELECT win, tabs, source, list_position(tabs, target) AS b, list_filter(tabs, lambda y: y <> source) AS rest, source IS NOT NULL AND source <> target AND list_contains(tabs, source) AND list_contains(tabs, target) AS moves FROM t LEFT JOIN m USING (win)),
+y AS (SELECT win, CASE WHEN moves THEN rest[1:b - 1] || [source] || rest[b:] ELSE tabs END AS tabs FROM x)
+SELECT win AS "window", unnest(tabs) AS tab, generate_subscripts(tabs, 1) - 1 AS place FROM y""")
+def tabs_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tabs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").alias("window"), (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("place"), F.col("l_linenumber").cast("long").alias("tab"))
+    moves = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("window"), (F.col("o_custkey") % 6 + 1).alias("source"), (F.col("o_custkey") % 5 + 1).alias("target"))
+    return workspace.reordered(tabs, moves)
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'dark' ELSE 'light' END AS theme, CASE WHEN event_id % 4 < 2 THEN event_id::VARCHAR ELSE '14' END AS size FROM events""")
+def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, i = F.col("event_id") % 4, F.col("event_id").cast("string")
+    made = F.when(k == 0, F.concat(F.lit('{"theme": "dark", "size": '), i, F.lit(', "other": 1}'))).when(k == 1, F.concat(F.lit('{"size": "'), i, F.lit('"}'))).when(k == 2, "{broken").otherwise(F.lit(None))
+    return workspace.stored(table(spark, sf_dir, "events").select("event_id", made.alias("json")), {"theme": "light", "size": "14"})
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'made' ELSE s_name END AS text FROM supplier")
+def drafts_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey") % 4
+    return table(spark, sf_dir, "supplier").select("s_suppkey", workspace.first_filled(F.when(k == 0, "draft").when(k == 2, " \n"), F.when(k == 1, "made").when(k == 3, ""), F.col("s_name")).alias("text"))
+
+
+@query("SELECT * FROM (SELECT p_name AS path, p_partkey % 7 = 0 AS pinned, p_size AS last_opened, 'file' AS kind FROM part UNION ALL SELECT p_brand || p_partkey, p_partkey % 5 = 0, p_partkey, 'folder' FROM part) ORDER BY pinned DESC, last_opened DESC, path LIMIT 40")
+def history_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    files_ = part.select(F.col("p_name").alias("path"), (k % 7 == 0).alias("pinned"), F.col("p_size").cast("long").alias("last_opened"))
+    folders = part.select(F.concat("p_brand", k.cast("string")).alias("path"), (k % 5 == 0).alias("pinned"), k.cast("long").alias("last_opened"))
+    return workspace.history(files_, folders, 40)
+
+
+@query("SELECT 'f' || p_partkey AS path, (p_partkey % 3 = 0) <> (p_partkey % 10 = 0) AS pinned FROM part WHERE p_size % 5 > 0")
+def history_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some pins turned, and some items removed."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    path = F.concat(F.lit("f"), k.cast("string")).alias("path")
+    items = workspace.pins_toggled(part.select(path, (k % 3 == 0).alias("pinned")), part.where(k % 10 == 0).select(path))
+    return workspace.removed(items, part.where(F.col("p_size") % 5 == 0).select(path))
+
+
+@query("SELECT lower(n_name) AS code, CASE n_nationkey % 3 WHEN 0 THEN n_name ELSE lower(n_name) END AS name, CASE n_nationkey % 3 WHEN 0 THEN 'N' || n_nationkey ELSE lower(n_name) END AS native_name FROM nation")
+def locale_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    made = F.when(k % 3 == 0, F.to_json(F.struct(F.struct(F.col("n_name").alias("name"), F.concat(F.lit("N"), k.cast("string")).alias("native_name")).alias("_meta"), F.lit("x").alias("key")))).when(k % 3 == 1, '{"key": "x"}').otherwise("[broken")
+    return workspace.locales(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("code"), made.alias("json")))
+
+
+@query("SELECT s_suppkey, s_name || ' (' || s_suppkey % 12 || ' Cores' || CASE WHEN s_suppkey % 3 > 0 THEN ' @ ' || printf('%.1f', s_suppkey % 3 * 1.5) || 'GHz' ELSE '' END || ') | ' || printf('%.1f', (s_suppkey % 32)::DOUBLE) || 'GB RAM | GPU: ' || CASE s_suppkey % 4 WHEN 0 THEN 'CPU/Integrated Graphics' WHEN 1 THEN 'card' ELSE 'card (' || printf('%.1f', (s_suppkey % 4 * 2)::DOUBLE) || 'GB VRAM)' END AS summary FROM supplier")
+def hardware_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    vram = F.when(k % 4 > 1, k % 4 * 2048.0)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", workspace.hardware_summary(F.col("s_name"), k % 12, k % 3 * 1500.0, (k % 32).cast("double"), F.when(k % 4 == 0, "").otherwise("card"), vram).alias("summary"))
+
+
+@query("SELECT doc_id, substr(md5('d/' || doc_id || '_' || doc_id * 3 || '_' || n_chars), 1, 12) AS session FROM documents")
+def session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", workspace.session_id(F.concat(F.lit("d/"), i.cast("string")), i * 3, F.col("n_chars")).alias("session"))
+
+
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 90 AS a, doc_id % 90 + doc_id % 50 AS b FROM documents),
+f AS (SELECT *, length(substr(text, 1, 0)) AS z, strpos(text, 'tion') AS i FROM t)
+SELECT doc_id, md5(substr(text, 1, least(a, length(text))) || '+' || substr(text, least(b, length(text)) + 1)) AS inserted, md5(CASE WHEN i = 0 THEN text ELSE substr(text, 1, i - 1) || '#' || substr(text, i + 4) END) AS replaced FROM f""")
+def text_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range replaced, and a token that isn't where it is said to be."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    a = (i % 90).cast("int")
+    x = table(spark, sf_dir, "documents").select("doc_id", workspace.inserted(text, a, a + (i % 50).cast("int"), F.lit("+")).alias("inserted"), workspace.token_replaced(text, F.lit(1 << 29), F.lit("tion"), F.lit("#")).alias("replaced"))
+    return x.select("doc_id", *(F.md5(F.col(c).cast("binary")).alias(c) for c in ("inserted", "replaced")))
+
+
+# ---- pages put together
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_partkey END, l_linenumber * 100000 + l_suppkey) AS place, l_suppkey FROM lineitem")
+def shapes_by_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("shape_no"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_partkey")).alias("top"))
+    return workspace.by_top(x, "l_orderkey").select("l_orderkey", "l_linenumber", "place", "l_suppkey")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS page, (l_linenumber * 100)::DOUBLE AS top, (l_linenumber * 100 + l_quantity * 3)::DOUBLE AS bottom FROM lineitem), h AS (SELECT page, max(bottom) AS e FROM r GROUP BY 1),
+x AS (SELECT *, coalesce(max(bottom) OVER (PARTITION BY page ORDER BY top, bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM r),
+e AS (SELECT page, 'table' AS type, top AS a, bottom AS b FROM x UNION ALL SELECT page, 'text', above, top FROM x WHERE top > above + 2 UNION ALL SELECT page, 'text', e, 800.0 FROM h WHERE e < 798)
+SELECT page, type, a AS "from", b AS "to", row_number() OVER (PARTITION BY page ORDER BY CASE type WHEN 'table' THEN a ELSE b END, type DESC, b) AS elem_no FROM e""")
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem")
+    regions = x.select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 100).cast("double").alias("top"), (F.col("l_linenumber") * 100 + F.col("l_quantity") * 3).cast("double").alias("bottom"))
+    return workspace.text_between(regions, regions.select("page", F.lit(800.0).alias("height")).distinct())
+
+
+@query("SELECT l_suppkey AS page, l_linenumber AS line_no, round(avg(l_quantity::DOUBLE), 6) AS size FROM lineitem GROUP BY 1, 2")
+def font_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_linenumber").alias("line_no"), F.col("l_quantity").cast("double").alias("size"))
+    return workspace.mean_font_sizes(x).withColumn("size", F.round("size", 6))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS image, l_linenumber - 1 AS y, l_partkey % 8 AS x, l_partkey % 256 AS r, l_orderkey % 256 AS g, (l_partkey + l_orderkey) % 256 AS b, l_partkey % 41 AS a FROM lineitem), c AS (SELECT image, unnest([r, g, b])::DOUBLE AS v FROM p WHERE a > 20), s AS (SELECT image, round(stddev_pop(v), 4) AS std FROM c GROUP BY 1),
+q AS (SELECT image, round(avg(abs(r - g) + abs(g - b)) FILTER (WHERE a > 20), 6) AS colour, round(count(*) FILTER (WHERE least(r, g, b) >= 235) / count(*), 6) AS white, round(count(*) FILTER (WHERE y >= 1 AND y < 5 AND x >= 2 AND x < 6 AND (least(r, g, b) >= 235 OR a < 20)) / nullif(count(*) FILTER (WHERE y >= 1 AND y < 5 AND x >= 2 AND x < 6), 0), 6) AS centre_blank FROM p GROUP BY 1)
+SELECT image, std, colour, white, centre_blank FROM q LEFT JOIN s USING (image)""")
+def pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, o = F.col("l_partkey"), F.col("l_orderkey")
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_linenumber") - 1).alias("row"), (p % 8).alias("col"), (p % 256).alias("r"), (o % 256).alias("g"), ((p + o) % 256).alias("b"), (p % 41).alias("a"), F.lit(7).alias("height"), F.lit(8).alias("width"))
+    return workspace.pixel_stats(x).select("image", F.round("std", 4).alias("std"), *(F.round(c, 6).alias(c) for c in ("colour", "white", "centre_blank")))
+
+
+@query(r"""WITH c AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'see (' || p_brand WHEN 1 THEN p_type || '-' WHEN 2 THEN p_brand || ' ab' ELSE p_name END AS a, CASE p_partkey % 5 WHEN 0 THEN 'two) ' || p_size WHEN 2 THEN 'cd' || p_brand ELSE p_name END AS b FROM part)
+SELECT p_partkey, coalesce(a LIKE '%(%' AND b LIKE '%)%' OR a LIKE '%-' OR regexp_matches(regexp_extract(a, '(\S+)$', 1), '^\p{L}{1,2}$') AND regexp_matches(regexp_extract(b, '^(\S+)', 1), '^\p{Ll}\p{L}*$'), false) AS cut FROM c""")
+def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    a = F.when(k == 0, F.concat(F.lit("see ("), "p_brand")).when(k == 1, F.concat("p_type", F.lit("-"))).when(k == 2, F.concat("p_brand", F.lit(" ab"))).otherwise(F.col("p_name"))
+    b = F.when(k == 0, F.concat(F.lit("two) "), F.col("p_size").cast("string"))).when(k == 2, F.concat(F.lit("cd"), "p_brand")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", workspace.words_split(F.array(F.lit(""), a, F.lit(" "), b)).alias("cut"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, ['x', CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'p' END, CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'end.' ELSE 'go' END] AS a, [CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE 'k' END, CASE WHEN l_suppkey % 3 = 0 THEN 'q' ELSE '' END, CASE WHEN l_suppkey % 5 = 0 THEN '' ELSE 'r' END] AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_suppkey, b[1] = '' AND (a[2] = '' AND b[2] <> '' OR a[3] = '' AND b[3] <> '' OR a[3] <> '' AND b[3] <> '' AND right(a[3], 1) NOT IN ('.', '!', '?', ':')) AS goes_on FROM r""")
+def table_rows_go_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = F.col("l_partkey"), F.col("l_suppkey")
+    a = F.array(F.lit("x"), F.when(p % 2 == 0, "").otherwise("p"), F.when(p % 3 == 0, "").when(p % 3 == 1, "end.").otherwise("go"))
+    b = F.array(F.when(k % 2 == 0, "").otherwise("k"), F.when(k % 3 == 0, "q").otherwise(""), F.when(k % 5 == 0, "").otherwise("r"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", workspace.rows_go_on(a, b).alias("goes_on"))

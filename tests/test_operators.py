@@ -11,7 +11,7 @@ from folio.functions import text as T
 from folio.functions.html import page_markdown
 from folio.functions.inline import segments_of
 from folio.functions.tree import from_markdown, to_markdown
-from folio.operators import catalog, images, layout, lines, preview, search, tables, transcript
+from folio.operators import catalog, images, layout, lines, preview, ranks, search, tables, transcript, workspace
 from folio.plans import convert
 from folio.sources import files
 from folio.streaming import jobs
@@ -179,6 +179,82 @@ def test_batch_isolates_bad_files(spark, tmp_path):
     assert cells[0, 0] == "A" and cells[3, 1] == "'=2"
 
 
+RICH = "# Title\n\ntext **bold** and *it* ~~no~~ <u>un</u> `x = 1` [site](http://x/y)\n\n## Part\n\n- one\n- two\n\n1. first\n\n| a\\|b | c |\n| --- | --- |\n| **1** | 2 |\n\n```py\ny < 2\n```\n\n> said\n\n---\n\nend"
+
+
+def test_documents_keep_their_structure(spark):
+    d = spark.createDataFrame([("a.md", RICH), ("b.md", "# T\ntext"), ("c.md", "")], "path string, text string")
+    made = convert.exported(d, ".docx").selectExpr("replace(path, '.md', '.docx') AS path", "content")
+    got = {r.path: r.text for r in files.imported(made).collect()}
+    assert got["b.docx"] == "# T\n\ntext" and got["c.docx"] == ""
+    for line in ("# Title", "text **bold** and *it* ~~no~~ <u>un</u> `x = 1` [site](http://x/y)", "## Part", "- one\n- two", "1. first", "| a\\|b | c |\n| --- | --- |\n| **1** | 2 |", "```\ny < 2\n```", "---", "end"):
+        assert line in got["a.docx"], line
+
+
+def test_pages_keep_their_structure(spark):
+    d = spark.createDataFrame([("a.md", RICH), ("b.md", "- x\n  - y\n1. z\n<b>&")], "path string, text string")
+    page = {r.path: bytes(r.content).decode() for r in convert.exported(d, ".html").collect()}
+    a = page["a.md"]
+    assert "<ul>\n<li>one</li>\n<li>two</li>\n</ul>" in a and "<ol>\n<li>first</li>\n</ol>" in a
+    assert "<table>\n<tr><th>a|b</th><th>c</th></tr>\n<tr><td><strong>1</strong></td><td>2</td></tr>\n</table>" in a
+    assert "<pre><code>y &lt; 2</code></pre>" in a and "<blockquote>\nsaid\n</blockquote>" in a and '<a href="http://x/y">site</a>' in a and "<u>un</u>" in a
+    assert '<li style="margin-left: 2em">y</li>\n</ul>\n<ol>' in page["b.md"] and "&lt;b&gt;&amp;" in page["b.md"]
+    back = page_markdown(a)
+    assert "| a\\|b | c |\n| --- | --- |\n| **1** | 2 |" in back and "# Title" in back and "- one\n- two" in back
+
+
+def test_a_batch_is_packed(spark):
+    x = spark.createDataFrame([(1, "b/x.md", bytearray(b"x")), (1, "a.md", bytearray(b"a")), (2, "c.md", None), (2, "d.md", bytearray(b"d"))], "batch int, output string, content binary")
+    got = {r.batch: zipfile.ZipFile(io.BytesIO(bytes(r.content))) for r in convert.packaged(x).collect()}
+    assert got[1].namelist() == ["a.md", "b/x.md"] and got[1].read("b/x.md") == b"x" and got[2].namelist() == ["d.md"]
+
+
+def test_checks_find_broken_contents(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", "x" * 9000)
+    good = out.getvalue()
+    bad = good[:60] + bytes([good[60] ^ 255]) + good[61:]
+    cases = [("a.xlsx", good, None), ("b.xlsx", bad, "broken"), ("c.docx", good, "member"), ("d.json", b'{"x": 1}', None), ("e.json", b"{broken json", "broken"), ("f.yaml", b"a: [1, 2", "broken"), ("g.md", ("é" * 5000).encode(), None), ("h.md", ("x" + "é" * 5000).encode(), None), ("i.md", b"ok\xff", "encoding"), ("j.json", b"\xff", "broken")]
+    x = spark.createDataFrame([(p, len(c), bytearray(c)) for p, c, _ in cases], "path string, length long, content binary")
+    assert {r.path: r.problem for r in catalog.checked(x).collect()} == {p: w for p, _, w in cases}
+
+
+def test_models_that_suit_machines(spark):
+    cases = [(32.0, 20.0, 16, True, 12288.0, 11000.0, "whisper-large-v3"), (16.0, 8.0, 6, True, 4096.0, 2000.0, "whisper-small"), (15.39, 6.5, 12, False, 0.0, 0.0, "whisper-small"), (64.0, 40.0, 32, False, 0.0, 0.0, "whisper-small"), (4.0, 1.0, 2, False, 0.0, 0.0, "whisper-base")]
+    x = spark.createDataFrame([c[:6] for c in cases], "ram_total_gb double, ram_free_gb double, cores int, cuda boolean, vram_total_mb double, vram_free_mb double")
+    assert [r.model for r in catalog.recommended(x).collect()] == [c[6] for c in cases]
+
+
+def test_scans_keep_build_folders(spark):
+    paths = ["build/a.md", "dist/b.csv", "bin/c.md", "$RECYCLE.BIN/d.md", "System Volume Information/e.md", ".venv/f.md", "x/.hidden.md", "Node_Modules/g.md"]
+    x = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert sorted(r.path for r in catalog.readable(x, catalog.registry(spark)).collect()) == ["bin/c.md", "build/a.md", "dist/b.csv"]
+
+
+def test_ranks_of_hot_groups(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), rng.randrange(50), i, rng.randrange(9)) for i in range(400)]
+    got = ranks.running(spark.createDataFrame(rows, "g string, t int, i int, v int").repartition(5), ["g"], ["t", "i"], F.col("v")).collect()
+    for g in ("a", "b", None):
+        want, ahead = sorted(r for r in rows if r[0] == g) if g else sorted((r for r in rows if r[0] is None), key=lambda r: r[1:]), 0
+        mine = {r.i: (r.place, r.ahead) for r in got if r.g == g}
+        for k, r in enumerate(want, 1):
+            assert mine[r[2]] == (k, ahead)
+            ahead += r[3]
+
+
+def test_image_marks_and_tags_in_any_case():
+    got = [(s["text"], s["url"], s["is_image"], s["underline"]) for s in segments_of("![a](pic (1).png) <U>b</u> [![c](d.png)](http://e)")]
+    assert got == [("a", "pic (1).png", True, False), (" ", None, False, False), ("b", None, False, True), (" ", None, False, False), ("![c", "d.png", False, False), ("](http://e)", None, False, False)]
+
+
+def test_offsets_in_utf16_units(spark):
+    x = spark.createDataFrame([("a😀b\r\nc",)], "t string")
+    got = [x.select(workspace.utf16_offset(F.col("t"), F.lit(k)).alias("n")).first().n for k in range(6)]
+    assert got == [0, 1, 3, 4, 6, 7]
+
+
 def test_files_arrive_as_a_stream(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A")
     (tmp_path / "b.csv").write_text("x,y\n1,2\n")
