@@ -59,8 +59,8 @@ KIND_SQL = rf"""CASE WHEN {STRIPPED} = '' THEN 'blank' WHEN regexp_matches({STRI
  WHEN line LIKE '%|%' AND {SEP} THEN 'separator' WHEN line LIKE '%|%' THEN 'table' WHEN regexp_matches({STRIPPED}, '^[-*+•] ') THEN 'bullet' WHEN regexp_matches({STRIPPED}, '^\d+[.)] ') THEN 'number'
  WHEN regexp_matches({STRIPPED}, '^>') THEN 'quote' ELSE 'paragraph' END"""
 
-#: Markdown made of every nation and its customers: headings, lists, bold lines, fences, rules.
-MARKDOWN_SQL = """m AS (SELECT n_nationkey AS doc_id, '# ' || n_name || chr(10) || '- key ' || n_nationkey || chr(10) || '- region ' || n_regionkey || chr(10) || '**About**' || chr(10) || 'In region ' || n_regionkey || '.' || chr(10) || '```mermaid' || chr(10) || '# a comment' || chr(10) || 'graph ' || n_name || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Notes' || chr(10) || '1. one' || chr(10) || '> quoted' || chr(10) || '### More' || chr(10) || '![map](maps/' || n_nationkey || '.png) and [site](https://example.com/' || n_nationkey || ')' AS text FROM nation),
+#: Markdown made of every customer: headings, lists, bold lines, fences, rules.
+MARKDOWN_SQL = """m AS (SELECT c_custkey AS doc_id, '# ' || c_name || chr(10) || '- key ' || c_custkey || chr(10) || '- region ' || c_nationkey || chr(10) || '**About**' || chr(10) || 'In region ' || c_nationkey || '.' || chr(10) || '```mermaid' || chr(10) || '# a comment' || chr(10) || 'graph ' || c_name || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Notes' || chr(10) || '1. one' || chr(10) || '> quoted' || chr(10) || '### More' || chr(10) || '![map](maps/' || c_custkey || '.png) and [site](https://example.com/' || c_custkey || ')' AS text FROM customer),
 ml AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM m),
 mf AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS is_fence FROM ml),
 mc AS (SELECT *, coalesce(sum(is_fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_code FROM mf)"""
@@ -68,9 +68,9 @@ mc AS (SELECT *, coalesce(sum(is_fence::INT) OVER (PARTITION BY doc_id ORDER BY
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MARKDOWN_SQL's documents."""
-    key = F.col("n_nationkey").cast("string")
-    parts = ["# ", F.col("n_name"), "\n- key ", key, "\n- region ", F.col("n_regionkey").cast("string"), "\n**About**\nIn region ", F.col("n_regionkey").cast("string"), ".\n```mermaid\n# a comment\ngraph ", F.col("n_name"), "\n```\n\n---\n\n## Notes\n1. one\n> quoted\n### More\n![map](maps/", key, ".png) and [site](https://example.com/", key, ")"]
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
+    key = F.col("c_custkey").cast("string")
+    parts = ["# ", F.col("c_name"), "\n- key ", key, "\n- region ", F.col("c_nationkey").cast("string"), "\n**About**\nIn region ", F.col("c_nationkey").cast("string"), ".\n```mermaid\n# a comment\ngraph ", F.col("c_name"), "\n```\n\n---\n\n## Notes\n1. one\n> quoted\n### More\n![map](maps/", key, ".png) and [site](https://example.com/", key, ")"]
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
 
 
 @query(rf"""WITH {MARKDOWN_SQL} SELECT doc_id, line_no, is_fence, in_code, CASE WHEN is_fence THEN 'fence' WHEN in_code THEN 'code' ELSE {KIND_SQL} END AS kind FROM mc""")
@@ -596,10 +596,13 @@ def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- files of each format, as bytes made of the tables
 
 
-def nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each nation in one of five formats, two of them broken."""
-    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
-    key, name = k.cast("string"), F.col("n_name")
+FILES = """f AS (SELECT c_custkey AS k, c_name AS n, chr(10) AS e, ['.csv', '.json', '.yaml', '.html', '.md'][c_custkey % 5 + 1] AS ext FROM customer)"""
+
+
+def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each customer in one of five formats, some of them broken."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    key, name = k.cast("string"), F.col("c_name")
     text = (
         F.when(k % 5 == 0, F.concat(F.lit('name,key\n"'), name, F.lit(', the"\n'), key, F.lit(",1,2\n")))
         .when(k % 5 == 1, F.to_json(F.struct(name.alias("title"), F.struct(k.alias("key")).alias("settings"), F.array(F.struct(name.alias("a"))).alias("rows"))))
@@ -608,19 +611,24 @@ def nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("# "), name, F.lit("\n\n| a | b |\n| --- | --- |\n| "), key, F.lit(" | x |\n")))
     )
     ext = F.element_at(F.array(*map(F.lit, [".csv", ".json", ".yaml", ".html", ".md"])), (k % 5 + 1).cast("int"))
-    content = F.when(k == 6, F.lit("{broken")).otherwise(text).cast("binary")
-    return n.select(F.concat(F.lit("in/"), name, F.when(k == 9, ".exe").otherwise(ext)).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    content = F.when(k % 50 == 6, F.lit("{broken")).otherwise(text).cast("binary")
+    return c.select(F.concat(F.lit("in/"), name, F.when(k % 50 == 9, ".exe").otherwise(ext)).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
 
 
-@query()
+@query(f"""WITH {FILES} SELECT 'in/' || n || CASE WHEN k % 50 = 9 THEN '.exe' ELSE ext END AS path, CASE WHEN k % 50 = 6 THEN 'JSONDecodeError: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)' WHEN k % 50 = 9 THEN 'no reader for .exe' END AS error,
+CASE WHEN k % 50 IN (6, 9) THEN NULL ELSE CASE k % 5 WHEN 0 THEN '| name | key |  |' || e || '| --- | --- | --- |' || e || '| ' || n || ', the |  |  |' || e || '| ' || k || ' | 1 | 2 |' WHEN 1 THEN '- **title**: ' || n || e || e || '# settings' || e || e || '- **key**: ' || k || e || e || '# rows' || e || e || '| a |' || e || '| --- |' || e || '| ' || n || ' |'
+WHEN 2 THEN '# server' || e || e || '- **port**: 80' || k || e || '- **host**: ' || n WHEN 3 THEN '# ' || n || e || e || '- one' || e || '- ' || k ELSE '# ' || n || e || e || '| a | b |' || e || '| --- | --- |' || e || '| ' || k || ' | x |' || e END END AS text FROM f""")
 def files_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.imported(nation_files(spark, sf_dir))
+    return files.imported(customer_files(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {FILES}, t AS (SELECT *, CASE WHEN k % 50 = 6 THEN 'broken' WHEN k % 50 = 9 THEN 'extension' END AS error, '## Sheet1' || e || e AS h FROM f)
+SELECT 'in/' || n || CASE WHEN k % 50 = 9 THEN '.exe' ELSE ext END AS path, 'in/' || n || '.xlsx' AS output, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error,
+CASE WHEN error IS NULL THEN h || CASE k % 5 WHEN 0 THEN '| name | key |  |' || e || '| --- | --- | --- |' || e || '| ' || n || ', the |  |  |' || e || '| ' || k || ' | 1 | 2 |' WHEN 1 THEN '| • title: ' || n || ' |' || e || '| --- |' || e || '|  |' || e || '| settings |' || e || '|  |' || e || '| • key: ' || k || ' |' || e || '|  |' || e || '| rows |' || e || '|  |' || e || '| a |' || e || '| ' || n || ' |'
+WHEN 2 THEN '| server |' || e || '| --- |' || e || '|  |' || e || '| • port: 80' || k || ' |' || e || '| • host: ' || n || ' |' WHEN 3 THEN '| ' || n || ' |' || e || '| --- |' || e || '|  |' || e || '| • one |' || e || '| • ' || k || ' |' ELSE '| ' || n || ' |  |' || e || '| --- | --- |' || e || '|  |  |' || e || '| a | b |' || e || '| ' || k || ' | x |' END END AS text FROM t""")
 def files_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file to a workbook, and the workbooks read again."""
-    made = convert.converted(nation_files(spark, sf_dir), ".xlsx")
+    made = convert.converted(customer_files(spark, sf_dir), ".xlsx")
     back = files.imported(made.where("content is not null").select(F.col("output").alias("path"), "content")).select(F.col("path").alias("output"), "text")
     return made.drop("content").join(back, "output", "left")
 
@@ -729,7 +737,11 @@ def table_column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.column_widths(tables.table_lines(lines.lines(table(spark, sf_dir, "documents")), least=1).select("doc_id", "cells"))
 
 
-@query()
+@query(rf"""WITH {ISLANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY line_no) AS row_no, {CELLS} AS cells FROM i WHERE line LIKE '%|%' AND NOT {SEP}),
+w AS (SELECT *, count(*) OVER (PARTITION BY doc_id, island) AS n, max(len(cells)) OVER (PARTITION BY doc_id, island) AS width FROM r), t AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY island) AS table_no, row_no, list_resize(cells, width, '') AS cells FROM w WHERE n >= 2),
+x AS (SELECT *, list_filter(regexp_split_to_array(array_to_string(cells, ' '), '\s+'), lambda y: y <> '') AS words FROM t)
+SELECT doc_id, table_no, row_no, len(cells) < 2 OR len(regexp_split_to_array(cells[1], '\s+')) > 15 OR len(list_filter(words, lambda y: length(y) <= 2)) / greatest(len(words), 1) > 0.35 AND coalesce(list_sum(list_transform(words, lambda y: length(y))), 0) / greatest(len(words), 1) < 3.5
+OR len(list_filter(cells, lambda y: length(y) > 20)) > 0 AND len(list_filter(cells, lambda y: y = '')) > 0 AS prose FROM x""")
 def pseudo_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table rows found in documents, and whether each is prose with a pipe in it."""
     x = tables.table_lines(lines.lines(table(spark, sf_dir, "documents")))
