@@ -71,8 +71,9 @@ def drop_styles(x: Column) -> Column:
 def csv_cell(x: Column) -> Column:
     """A cell safe for a spreadsheet: plain text, bullets as signs, and an
     apostrophe before what would be read as a formula."""
-    x = strip(drop_styles(drop_images(x)))
-    return F.when(x.rlike(r"^[-*] "), F.concat(F.lit("• "), F.substring(x, 3, 1 << 30))).when(x.rlike(r"^[=+@-]"), F.concat(F.lit("'"), x)).otherwise(x)
+    # inside an array of one the cleaned text is made once for all its uses
+    safe = lambda c: F.when(c.rlike(r"^[-*] "), F.concat(F.lit("• "), F.substring(c, 3, 1 << 30))).when(c.rlike(r"^[=+@-]"), F.concat(F.lit("'"), c)).otherwise(c)
+    return F.transform(F.array(strip(drop_styles(drop_images(x)))), safe)[0]
 
 
 def flat_cell(x: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions.text import is_separator, strip
 
+
 def by_line() -> WindowSpec:
     return W.partitionBy("doc_id").orderBy("line_no")
 
@@ -98,12 +102,33 @@ def joined(rows: DataFrame, line: str = "line") -> DataFrame:
 
 
 def slides(rows: DataFrame) -> DataFrame:
-    """rows (with in_code) with slide_no: a line of dashes between blank lines
-    divides slides; a document without one is divided at headings of the first
-    three levels outside code."""
+    """rows (with in_code and is_fence) with slide_no: a line of dashes between blank
+    lines divides slides. A document without one is divided at headings of the first
+    three levels outside code, but for notes, where two lines at least that aren't
+    blank stand since the last cut; that depends on the cut before, so those
+    documents' lines are gone over in order, and one number is held."""
     near = lambda k: F.coalesce(F.lag("line", k).over(by_line()), F.lit("")) == ""
     dash = (F.col("line") == "---") & near(1) & near(-1) & ~F.col("in_code")
-    head = F.col("line").rlike(r"^#{1,3}\s") & ~F.col("in_code")
-    rows = rows.withColumns({"_dash": dash, "_any": F.max(dash).over(W.partitionBy("doc_id")), "_head": head})
-    cut = F.when(F.col("_any"), F.col("_dash")).otherwise(F.col("_head") & (F.col("line_no") > 0)).cast("int")
-    return rows.withColumn("slide_no", F.sum(cut).over(by_line()) + 1).where("not (_any and _dash)").drop("_dash", "_any", "_head")
+    s = strip(F.col("line"))
+    head = s.rlike(r"^#{1,3}\s+\S") & ~s.rlike(r"(?i)^#{1,3}\s*notes:") & ~F.col("in_code") & ~F.col("is_fence")
+    x = rows.withColumns({"_dash": dash, "_any": F.max(dash).over(W.partitionBy("doc_id")), "_head": head, "_blank": s == ""})
+    divided = x.where("_any and not _dash").join(x.where("_any").select("doc_id", "line_no", (F.sum(F.col("_dash").cast("int")).over(by_line()) + 1).alias("slide_no")), ["doc_id", "line_no"])
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, no, filled = None, 1, 0
+        for f in frames:
+            out = []
+            for doc, is_head, blank in zip(f.doc_id, f["_head"], f["_blank"], strict=True):
+                if doc != at:
+                    at, no, filled = doc, 1, 0
+                elif is_head and filled >= 2:
+                    no, filled = no + 1, 0
+                filled += not blank
+                out.append(no)
+            yield f.assign(slide_no=out)[["doc_id", "line_no", "slide_no"]]
+
+    whole = x.where("not _any")
+    dealt = whole.select("doc_id", "line_no", "_head", "_blank").repartition("doc_id").sortWithinPartitions("doc_id", "line_no")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    cut = whole.join(dealt.mapInPandas(fold, f"doc_id {kind}, line_no int, slide_no long"), ["doc_id", "line_no"])
+    return divided.select(*rows.columns, "slide_no").unionByName(cut.select(*rows.columns, "slide_no"))

@@ -70,17 +70,18 @@ def record_table(records: DataFrame, id_col: str, map_col: str) -> DataFrame:
     return records.join(F.broadcast(header)).select(F.col(id_col), "header", F.transform("header", cell).alias("cells"))
 
 
-def grid(rows: DataFrame) -> DataFrame:
+def grid(rows: DataFrame, clean: bool = True) -> DataFrame:
     """Lines as spreadsheet rows: table rows as cells, headings and other lines in
-    the first column, separators dropped, blank lines kept as empty rows."""
+    the first column, separators dropped, blank lines kept as empty rows. Where only
+    the shape is wanted, cells needn't be cleaned."""
     s = strip(F.col("line"))
     kept = rows.where(~(s.contains("|") & is_separator(s)))
     kind = F.when(s == "", "empty").when(s.contains("|"), "data").when(s.rlike(r"^#{1,6}\s+\S"), "heading").otherwise("text")
     x = kept.withColumns({"kind": kind, "island": F.sum((~F.col("line").contains("|")).cast("int")).over(by_line())})
     first = F.row_number().over(W.partitionBy("doc_id", "island", "kind").orderBy("line_no")) == 1
     x = x.withColumn("kind", F.when((F.col("kind") == "data") & first, "header").otherwise(F.col("kind")))
-    inner = F.transform(F.split(F.regexp_replace(s, r"^\||\|$", ""), r"\|"), lambda c: csv_cell(c))
-    made = F.when(F.col("kind").isin("data", "header"), inner).when(F.col("kind") == "heading", F.array(F.regexp_replace(s, r"^#+\s+", ""))).when(F.col("kind") == "text", F.array(csv_cell(F.col("line")))).otherwise(F.array().cast("array<string>"))
+    inner = F.transform(F.split(F.regexp_replace(s, r"^\||\|$", ""), r"\|"), csv_cell) if clean else F.split(F.regexp_replace(s, r"^\||\|$", ""), r"\|")
+    made = F.when(F.col("kind").isin("data", "header"), inner).when(F.col("kind") == "heading", F.array(F.regexp_replace(s, r"^#+\s+", ""))).when(F.col("kind") == "text", F.array(csv_cell(F.col("line")) if clean else F.col("line"))).otherwise(F.array().cast("array<string>"))
     return x.select("doc_id", F.row_number().over(by_line()).alias("row_no"), "kind", made.alias("cells"))
 
 

@@ -14,12 +14,13 @@ from folio.functions.html import line_html, row_html
 from folio.functions.text import split_row
 from folio.functions.tree import markdown_to_json, markdown_to_yaml
 from folio.operators.catalog import checked, destinations
-from folio.operators.lines import by_line, classified, fenced, lines
+from folio.operators.lines import by_line, classified, fenced, lines, slides
+from folio.operators.preview import line_heights, slide_pages
 from folio.operators.tables import grid
 from folio.runtime import Scratch
-from folio.sources.files import csv_bytes, document, imported, workbook
+from folio.sources.files import csv_bytes, document, imported, presentation, workbook
 
-TARGETS = (".md", ".json", ".yaml", ".csv", ".xlsx", ".docx", ".html")
+TARGETS = (".md", ".json", ".yaml", ".csv", ".xlsx", ".docx", ".pptx", ".html")
 
 
 def _gathered(rows: DataFrame, order: str, *cols: str) -> DataFrame:
@@ -48,12 +49,16 @@ def exported(docs: DataFrame, ext: str) -> DataFrame:
         pack = csv_bytes if ext == ".csv" else workbook
         return _packed(_gathered(grid(rows), "row_no", "cells"), lambda of: pack([list(r["cells"]) for r in of]))
     blocks = classified(fenced(rows))
-    if ext == ".docx":
+    if ext in (".docx", ".pptx"):
         bare = F.when(F.col("kind").isin("heading", "bullet", "number"), F.regexp_replace(F.trim("line"), r"^(#{1,6}\s+|[-*+•] |\d+[.)] )", "")).otherwise(F.col("line"))
         # a row of cells keeps the pipes that are escaped in them
         cells = F.when(F.col("kind") == "table", split_row(F.col("line"))).otherwise(F.array(bare))
         shown = blocks.withColumns({"cells": cells, "level": F.coalesce("level", F.lit(0))})
-        return _packed(_gathered(shown, "line_no", "kind", "level", "cells"), lambda of: document([(r["line_no"], r["kind"], int(r["level"]), list(r["cells"])) for r in of]))
+        if ext == ".docx":
+            return _packed(_gathered(shown, "line_no", "kind", "level", "cells"), lambda of: document([(r["line_no"], r["kind"], int(r["level"]), list(r["cells"])) for r in of]))
+        heights = line_heights(slides(shown)).withColumn("height", F.when(F.col("kind") == "table", 0.4).when(F.col("kind").isin("blank", "separator", "fence"), 0.0).otherwise(F.col("height")))
+        paged = heights.join(slide_pages(heights), ["doc_id", "slide_no", "line_no"])
+        return _packed(_gathered(paged, "line_no", "slide_no", "page", "kind", "level", "cells"), lambda of: presentation([(int(r["slide_no"]), int(r["page"]), r["kind"], int(r["level"]), list(r["cells"])) for r in of]))
     html = docs.select(F.col("path").alias("doc_id")).join(_gathered(html_islands(blocks), "line_no", "html"), "doc_id", "left")
     body = F.coalesce(F.array_join(F.transform("rows", lambda r: r.html), "\n"), F.lit(""))
     return html.select(F.col("doc_id").alias("path"), F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"></head><body>\n'), body, F.lit("\n</body></html>\n")).cast("binary").alias("content"))

@@ -185,7 +185,7 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN s = '' THEN 0 WHEN s LIKE '%|%' THEN len(string_split(regexp_replace(s, '^\||\|$', '', 'g'), '|')) ELSE 1 END AS w FROM k)
 SELECT doc_id, max(CASE WHEN w > 0 THEN row_no END) AS n_rows, max(w)::INT AS n_cols FROM g GROUP BY 1""")
 def sheet_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.sheet_size(tables.grid(lines.lines(table(spark, sf_dir, "documents"))))
+    return tables.sheet_size(tables.grid(lines.lines(table(spark, sf_dir, "documents")), clean=False))
 
 
 @query("""WITH a AS (SELECT l_orderkey AS doc_id, l_linenumber AS col_no, l_partkey % 700 AS x0, l_partkey % 700 + 20 + l_quantity AS x1 FROM lineitem),

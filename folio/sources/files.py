@@ -415,6 +415,76 @@ def document(blocks: list[tuple[int, str, int, list[str]]]) -> bytes:
     return _zipped(parts)
 
 
+def presentation(lines: list[tuple[int, int, str, int, list[str]]]) -> bytes:
+    """Slides of lines (slide, page, kind, level, cells or the one text). A slide's
+    first heading is its title, which its further pages carry on with "(Cont.)";
+    other lines are bullets by level, table rows a table whose first row comes again
+    on each page, and what stands below a heading of notes the slide's notes."""
+    from xml.sax.saxutils import escape
+
+    ns = f'xmlns:a="{DRAW.strip("{}")}" xmlns:p="{SLIDE.strip("{}")}" xmlns:r="{RELATION.strip("{}")}"'
+    inch, rel, kinds = 914_400, "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "application/vnd.openxmlformats-officedocument.presentationml."
+    plain = lambda t: "".join(s["text"] for s in segments_of(t))
+    run = lambda t: "".join(f'<a:r><a:rPr lang="en"{"".join(f" {k}={v}" for k, v, on in (("b", chr(34) + "1" + chr(34), s["bold"]), ("i", chr(34) + "1" + chr(34), s["italic"])) if on)}/><a:t>{escape(s["text"])}</a:t></a:r>' for s in segments_of(t))
+    frame = lambda tag, y, h: f'<{tag}><a:off x="{inch // 2}" y="{round(y * inch)}"/><a:ext cx="{11 * inch}" cy="{round(h * inch)}"/></{tag}>'
+    empty = f'<p:spTree><p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'
+    pages: dict[tuple[int, int], dict] = {}
+    titles: dict[int, str] = {}
+    heads: dict[int, list[str]] = {}
+    noting: dict[int, bool] = {}
+    for slide, page, kind, level, cells in lines:
+        of = pages.setdefault((slide, page), {"text": [], "rows": [], "notes": []})
+        if kind == "heading" and re.match(r"(?i)notes:", cells[0]):
+            noting[slide] = True
+        elif noting.get(slide):
+            pages[slide, 1]["notes"] += [plain(cells[0])] if kind != "blank" else []
+        elif kind == "heading" and slide not in titles:
+            titles[slide] = plain(cells[0])
+        elif kind == "table":
+            if not of["rows"] and slide in heads:
+                of["rows"].append(heads[slide])
+            heads.setdefault(slide, cells)
+            of["rows"].append(cells)
+        elif kind not in ("blank", "fence", "separator", "rule"):
+            of["text"].append((max(0, level - 1) if kind in ("bullet", "number") else 0, cells[0], kind))
+    parts, shown = {}, [k for k in sorted(pages) if pages[k]["text"] or pages[k]["rows"] or pages[k]["notes"] or k[1] == 1 and k[0] in titles]
+    for n, (slide, page) in enumerate(shown, 1):
+        of, y = pages[slide, page], 1.5
+        title = titles.get(slide, "") + (" (Cont.)" if page > 1 and slide in titles else "")
+        shapes = [f'<p:sp><p:nvSpPr><p:cNvPr id="2" name="Title"/><p:cNvSpPr/><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><p:spPr>{frame("a:xfrm", 0.4, 0.9)}</p:spPr><p:txBody><a:bodyPr/><a:p>{run(title)}</a:p></p:txBody></p:sp>'] if title else []
+        if of["text"]:
+            number = '<a:buAutoNum type="arabicPeriod"/>'
+            body = "".join(f'<a:p><a:pPr lvl="{level}">{number if kind == "number" else ""}</a:pPr>{run(t)}</a:p>' for level, t, kind in of["text"])
+            shapes.append(f'<p:sp><p:nvSpPr><p:cNvPr id="3" name="Text"/><p:cNvSpPr/><p:nvPr><p:ph idx="1"/></p:nvPr></p:nvSpPr><p:spPr>{frame("a:xfrm", y, 0.45 * len(of["text"]))}</p:spPr><p:txBody><a:bodyPr/>{body}</p:txBody></p:sp>')
+            y += 0.45 * len(of["text"])
+        if of["rows"]:
+            width = max(map(len, of["rows"]))
+            rows = "".join(f'<a:tr h="{inch * 2 // 5}">' + "".join(f"<a:tc><a:txBody><a:bodyPr/><a:p>{run(c)}</a:p></a:txBody><a:tcPr/></a:tc>" for c in [*r, *[""] * (width - len(r))]) + "</a:tr>" for r in of["rows"])
+            grid = "".join(f'<a:gridCol w="{11 * inch // width}"/>' for _ in range(width))
+            shapes.append(f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="4" name="Table"/><p:cNvGraphicFramePr/><p:nvPr/></p:nvGraphicFramePr>{frame("p:xfrm", y, 0.4 * len(of["rows"]))}<a:graphic><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/table"><a:tbl><a:tblPr firstRow="1"/><a:tblGrid>{grid}</a:tblGrid>{rows}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>')
+        parts[f"ppt/slides/slide{n}.xml"] = f"<p:sld {ns}><p:cSld>{empty}{''.join(shapes)}</p:spTree></p:cSld></p:sld>"
+        note = f'<Relationship Id="r2" Type="{rel}/notesSlide" Target="../notesSlides/notesSlide{n}.xml"/>' if of["notes"] else ""
+        parts[f"ppt/slides/_rels/slide{n}.xml.rels"] = f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/slideLayout" Target="../slideLayouts/slideLayout1.xml"/>{note}</Relationships>'
+        if of["notes"]:
+            said = "".join(f"<a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p>" for t in of["notes"])
+            parts[f"ppt/notesSlides/notesSlide{n}.xml"] = f'<p:notes {ns}><p:cSld>{empty}<p:sp><p:nvSpPr><p:cNvPr id="2" name="Notes"/><p:cNvSpPr/><p:nvPr><p:ph type="body" idx="1"/></p:nvPr></p:nvSpPr><p:spPr/><p:txBody><a:bodyPr/>{said}</p:txBody></p:sp></p:spTree></p:cSld></p:notes>'
+            parts[f"ppt/notesSlides/_rels/notesSlide{n}.xml.rels"] = f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/slide" Target="../slides/slide{n}.xml"/></Relationships>'
+    ids = range(1, len(shown) + 1)
+    parts |= {
+        "ppt/presentation.xml": f'<p:presentation {ns}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="m1"/></p:sldMasterIdLst><p:sldIdLst>{"".join(f"""<p:sldId id="{255 + n}" r:id="s{n}"/>""" for n in ids)}</p:sldIdLst><p:sldSz cx="{12 * inch}" cy="{7 * inch}"/><p:notesSz cx="{7 * inch}" cy="{9 * inch}"/></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="m1" Type="{rel}/slideMaster" Target="slideMasters/slideMaster1.xml"/>{"".join(f"""<Relationship Id="s{n}" Type="{rel}/slide" Target="slides/slide{n}.xml"/>""" for n in ids)}</Relationships>',
+        "ppt/slideMasters/slideMaster1.xml": f'<p:sldMaster {ns}><p:cSld>{empty}</p:spTree></p:cSld><p:clrMap bg1="lt1" tx1="dk1" bg2="lt2" tx2="dk2" accent1="accent1" accent2="accent2" accent3="accent3" accent4="accent4" accent5="accent5" accent6="accent6" hlink="hlink" folHlink="folHlink"/><p:sldLayoutIdLst><p:sldLayoutId id="2147483649" r:id="r1"/></p:sldLayoutIdLst></p:sldMaster>',
+        "ppt/slideMasters/_rels/slideMaster1.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/slideLayout" Target="../slideLayouts/slideLayout1.xml"/></Relationships>',
+        "ppt/slideLayouts/slideLayout1.xml": f"<p:sldLayout {ns}><p:cSld>{empty}</p:spTree></p:cSld></p:sldLayout>",
+        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/slideMaster" Target="../slideMasters/slideMaster1.xml"/></Relationships>',
+        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="ppt/presentation.xml"/></Relationships>',
+    }
+    of_part = {"slides": "slide", "notesSlides": "notesSlide", "slideMasters": "slideMaster", "slideLayouts": "slideLayout"}
+    overrides = "".join(f'<Override PartName="/{x}" ContentType="{kinds}{"presentation.main" if x == "ppt/presentation.xml" else of_part[x.split("/")[1]]}+xml"/>' for x in parts if x.endswith(".xml"))
+    types = f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{overrides}</Types>'
+    return _zipped({"[Content_Types].xml": types} | parts)
+
+
 def _zipped(parts: dict[str, str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

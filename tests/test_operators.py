@@ -203,6 +203,27 @@ def test_pages_keep_their_structure(spark):
     assert "| a\\|b | c |\n| --- | --- |\n| **1** | 2 |" in back and "# Title" in back and "- one\n- two" in back
 
 
+def test_slides_are_written_in_pages(spark):
+    rows = "\n".join(f"| r{i} | {i} |" for i in range(30))
+    text = f"# Deck\n\n- **one**\n  - two\n1. three\n\n### Notes:\nsay this\n\n---\n\n## Table\n\n| k | v |\n| --- | --- |\n{rows}\n\n---\n\n## Long\n\n" + "\n".join(f"- item {i}" for i in range(40))
+    d = spark.createDataFrame([("a.pptx", text), ("b.pptx", "# T\nx\ny\n## U\nz"), ("c.pptx", "")], "path string, text string")
+    got = {r.path: r.text.split("\n\n---\n\n") for r in files.imported(convert.exported(d, ".pptx")).collect()}
+    a = got["a.pptx"]
+    assert a[0] == "## Deck\n\n- one\n  - two\n1. three\n\n### Notes:\nsay this"
+    tables_ = [x for x in a if x.startswith("## Table")]
+    assert len(tables_) == 3 and tables_[1].startswith("## Table (Cont.)") and all("| k | v |\n| --- | --- |" in x for x in tables_)
+    assert [f"| r{i} | {i} |" for i in range(30)] == [y for x in tables_ for y in x.split("\n") if y.startswith("| r")]
+    long = [x for x in a if x.startswith("## Long")]
+    assert len(long) > 1 and [y for x in long for y in x.split("\n") if y.startswith("- ")] == [f"- item {i}" for i in range(40)]
+    assert got["b.pptx"] == ["## T\n\n- x\n- y", "## U\n\n- z"] and got["c.pptx"] == [""]
+
+
+def test_headings_with_little_above_divide_nothing(spark):
+    d = docs(spark, "# a\n# b\nx\n# c\n### Notes:\nn\n```\n# no\n```\n# d")
+    x = lines.slides(lines.fenced(lines.lines(d))).orderBy("line_no").collect()
+    assert [r.slide_no for r in x] == [1, 1, 1, 2, 2, 2, 2, 2, 2, 3]
+
+
 def test_a_batch_is_packed(spark):
     x = spark.createDataFrame([(1, "b/x.md", bytearray(b"x")), (1, "a.md", bytearray(b"a")), (2, "c.md", None), (2, "d.md", bytearray(b"d"))], "batch int, output string, content binary")
     got = {r.batch: zipfile.ZipFile(io.BytesIO(bytes(r.content))) for r in convert.packaged(x).collect()}
