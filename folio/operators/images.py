@@ -58,13 +58,16 @@ def token_at(tokens: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def relinked(docs: DataFrame, tokens: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the sources of images replaced: targets (src, path). Texts are
-    put together from the stretches between tokens, each read once."""
-    new = tokens.join(targets, "src").select("doc_id", "start", "end", "src", "path", "raw")
+    """docs with the sources of images replaced: targets (src, path). Only the source
+    itself changes, not an alternative text that is like it. Texts are put together
+    from the stretches between tokens, each read once."""
+    head = F.when(F.col("is_html"), F.regexp_extract("raw", r"(?is)^(.*?\ssrc\s*=\s*[\"']?)", 1)).otherwise(F.regexp_extract("raw", r"(?s)^(!\[[^\]]*\]\(\s*<?)", 1))
+    made = F.concat("_head", "path", F.substr(F.col("raw"), F.length("_head") + F.length("src") + 1))
+    new = tokens.join(targets, "src").withColumn("_head", head).select("doc_id", "start", "end", "src", "path", made.alias("raw"))
     by = W.partitionBy("doc_id").orderBy("start")
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(new, "doc_id")
     x = x.withColumn("from", F.coalesce(F.lag("end").over(by), F.lit(0)))
-    x = x.withColumn("part", F.concat(F.substring(F.col("text"), F.col("from") + 1, F.col("start") - F.col("from")), F.replace("raw", "src", "path")))
+    x = x.withColumn("part", F.concat(F.substring(F.col("text"), F.col("from") + 1, F.col("start") - F.col("from")), "raw"))
     made = x.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda p: p.part), "").alias("_head"), F.max("end").alias("_end"))
     out = docs.join(made.withColumnRenamed("doc_id", "_d"), docs[id_col] == F.col("_d"), "left")
     return out.withColumn(text_col, F.when(F.col("_end").isNull(), F.col(text_col)).otherwise(F.concat("_head", F.substring(F.col(text_col), F.col("_end") + 1, F.lit(1 << 30))))).select(*docs.columns)

@@ -15,11 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    ``spark.checkpoint.dir`` is the cluster's choice. Where it is unset, as in
-    tests, a folder in the warehouse is used, which is shared as well.
+    ``spark.checkpoint.dir`` is the cluster's choice. Where it is unset, a local
+    session, as in tests, uses a folder in its warehouse; on a cluster there is no
+    folder that is known to be shared, so nothing is written.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
 
 
 class Scratch:

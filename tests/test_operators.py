@@ -3,10 +3,12 @@
 import io
 import random
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from folio import runtime
 from folio.functions import text as T
 from folio.functions.html import page_markdown
 from folio.functions.inline import segments_of
@@ -115,6 +117,9 @@ def test_image_tokens_and_links(spark):
     d = docs(spark, text, "none", None)
     out = images.relinked(d, images.image_tokens(d), spark.createDataFrame([("x", "new.png"), ("z.png", "zz.png")], "src string, path string")).orderBy("doc_id").collect()
     assert out[0].text == text.replace('"x"', '"new.png"').replace("z.png", "zz.png") and out[1].text == "none" and out[2].text is None
+    twins = docs(spark, '![x](x) <img alt="x" src=\'x\'> ![x](<x> "x")')
+    out = images.relinked(twins, images.image_tokens(twins), spark.createDataFrame([("x", "new.png")], "src string, path string")).first().text
+    assert out == '![x](new.png) <img alt="x" src=\'new.png\'> ![x](<new.png> "x")'
     assert images.token_at(images.image_tokens(d), 20, 21).collect()[0].token_no == 0
 
 
@@ -265,6 +270,17 @@ def test_ranks_of_hot_groups(spark):
             ahead += r[3]
 
 
+def test_shared_folder_is_never_guessed_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "/w"}.get(key, default)
+
+    session = lambda master: SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master=master))
+    assert runtime.shared_dir(session("local[4]")) == "/w/.scratch"
+    with pytest.raises(ValueError):
+        runtime.shared_dir(session("spark://host:7077"))
+
+
 def test_image_marks_and_tags_in_any_case():
     got = [(s["text"], s["url"], s["is_image"], s["underline"]) for s in segments_of("![a](pic (1).png) <U>b</u> [![c](d.png)](http://e)")]
     assert got == [("a", "pic (1).png", True, False), (" ", None, False, False), ("b", None, False, True), (" ", None, False, False), ("![c", "d.png", False, False), ("](http://e)", None, False, False)]
