@@ -108,8 +108,9 @@ def looks_like_prose(cells: Column) -> Column:
 
 
 def without_empty_columns(tables: DataFrame) -> DataFrame:
-    """Table rows without the columns that are empty in each row of their table."""
-    each = cells(tables).withColumn("used", F.max(F.col("cell") != "").over(W.partitionBy("doc_id", "table_no", "col_no"))).where("used")
+    """Table rows, their cells trimmed and null ones empty, without the columns that
+    are empty in each row of their table."""
+    each = cells(tables).withColumn("cell", strip(F.coalesce("cell", F.lit("")))).withColumn("used", F.max(F.col("cell") != "").over(W.partitionBy("doc_id", "table_no", "col_no"))).where("used")
     return each.groupBy("doc_id", "table_no", "table_name", "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "cell"))), lambda x: x.cell).alias("cells"))
 
 

@@ -931,3 +931,83 @@ def table_rows_go_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.array(F.lit("x"), F.when(p % 2 == 0, "").otherwise("p"), F.when(p % 3 == 0, "").when(p % 3 == 1, "end.").otherwise("go"))
     b = F.array(F.when(k % 2 == 0, "").otherwise("k"), F.when(k % 3 == 0, "q").otherwise(""), F.when(k % 5 == 0, "").otherwise("r"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", workspace.rows_go_on(a, b).alias("goes_on"))
+
+
+# ---- operators that the queries above don't reach
+
+
+@query("SELECT p_partkey, regexp_replace('a/' || p_name || '.TXT', '\\.[^./]*$', '') || '.md' AS path FROM part")
+def swapped_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.swapped_extension(F.concat(F.lit("a/"), "p_name", F.lit(".TXT")), F.lit(".md")).alias("path"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN n_cols >= 3 AND short > 0.35 AND mean < 3.8 OR n_cols = 2 AND short > 0.4 AND mean < 3.8 OR n <= 3 AND mean <= 3.0 THEN true ELSE false END AS noise FROM (SELECT *, l_linenumber % 4 + 1 AS n_cols, l_partkey % 10 / 10.0 AS short, l_suppkey % 6 + 0.5 AS mean, l_linenumber AS n FROM lineitem)")
+def drawing_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_linenumber") % 4 + 1).alias("n_cols"), (F.col("l_partkey") % 10 / 10).alias("short"), (F.col("l_suppkey") % 6 + 0.5).alias("mean"), F.col("l_linenumber").alias("n_words"))
+    return layout.graphic_noise(x).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "noise")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey % 5 - 1 >= 0 AND l_partkey % 7 - 1 >= 0")
+def glyphs_on_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_suppkey") % 5 - 1).alias("top"), (F.col("l_partkey") % 7 - 1).alias("x0"))
+    return layout.on_page(x).drop("top", "x0")
+
+
+@query(f"""WITH {LINES_SQL}, o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+h AS (SELECT doc_id, start, unnest(list_filter(generate_series(1, length(line) - 3), lambda i: substr(line, i, 4) = 'tion')) AS i FROM o), n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, i) AS hit_no, count(*) OVER (PARTITION BY doc_id) AS n FROM h)
+SELECT doc_id, hit_no, CASE WHEN hit_no = n THEN 1 ELSE hit_no + 1 END AS next_no, CASE WHEN hit_no = 1 THEN n ELSE hit_no - 1 END AS prev_no FROM n""")
+def hit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.neighbours(search.hits(table(spark, sf_dir, "documents"), "tion")).select("doc_id", "hit_no", "next_no", "prev_no")
+
+
+@query("SELECT p_partkey, '- ' || p_name || chr(10) || '  - ' || p_brand || chr(10) || 'a • b' AS text FROM part")
+def bullets_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("•"), "p_name", F.lit("\n  ▪  "), "p_brand", F.lit("\na • b"))
+    return table(spark, sf_dir, "part").select("p_partkey", lines.bullets_repaired(text).alias("text"))
+
+
+#: A talk of every customer: a player's address, stamped lines, tags in and outside tables and code.
+TALKS = """t AS (SELECT c_custkey AS doc_id, substr(md5(c_name), 1, 11) AS v, c_custkey % 3 = 0 AS has, c_name FROM customer)"""
+
+
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    video = F.substring(F.md5(F.col("c_name").cast("binary")), 1, 11)
+    head = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("see https://youtu.be/"), video)).otherwise("no video")
+    text = F.concat(F.lit("# "), F.col("c_name"), F.lit("\n"), head, F.lit("\n**[01:15]** Hi<br>there\n| a<BR/>b |\n```\nx<br>y\n```"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+
+
+@query(f"""WITH {TALKS}, l AS (SELECT doc_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS line_no, unnest(['# ' || c_name, CASE WHEN has THEN 'see https://youtu.be/' || v ELSE 'no video' END, CASE WHEN has THEN '**[[01:15]](yt://' || v || '?t=75)** Hi' ELSE '**[01:15]** Hi' END || chr(10) || 'there', '| a' || chr(8232) || 'b |', '```', 'x<br>y', '```']) AS line FROM t) SELECT doc_id, line_no::INT AS line_no, line FROM l""")
+def previewed_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ends shown and stamps linked into the player."""
+    return preview.stamps_linked(preview.breaks_shown(lines.fenced(lines.lines(talks(spark, sf_dir))))).select("doc_id", "line_no", "line")
+
+
+@query(f"WITH {TALKS} SELECT doc_id, CASE WHEN has THEN v END AS video, c_name AS title FROM t")
+def talk_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview.video_and_title(talks(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT o_custkey AS doc_id, 1 AS table_no, o_orderkey AS row_no, [o_orderstatus, CASE WHEN o_custkey % 2 = 0 THEN '' ELSE o_orderpriority END, ' '] AS cells FROM orders)
+SELECT doc_id, table_no, row_no, list_filter(cells, lambda c, i: i = 1 OR i = 2 AND doc_id % 2 = 1) AS cells FROM r""")
+def filled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array("o_orderstatus", F.when(F.col("o_custkey") % 2 == 0, "").otherwise(F.col("o_orderpriority")), F.lit(" "))
+    x = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("table_no"), F.lit("T").alias("table_name"), F.col("o_orderkey").alias("row_no"), cells.alias("cells"))
+    return tables.without_empty_columns(x).select("doc_id", "table_no", "row_no", "cells")
+
+
+@query("SELECT 'd/' || c_custkey || '.md' AS path, '- **name**: ' || c_name || chr(10) || '- **key**: ' || c_custkey AS text FROM customer")
+def trees_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects as Markdown, written as YAML files and read again."""
+    made = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("key")))
+    x = table(spark, sf_dir, "customer").select(F.concat(F.lit("d/"), F.col("c_custkey").cast("string"), F.lit(".yaml")).alias("path"), json_to_markdown(made).alias("text"))
+    return files.imported(convert.exported(x, ".yaml")).select(F.regexp_replace("path", "yaml$", "md").alias("path"), "text")
+
+
+@query(f"WITH {MARKDOWN_SQL} SELECT doc_id, count(*) AS n_slides FROM (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(['a', 'b']) AS s FROM m)) GROUP BY 1")
+def slides_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown to slide files, and the slides that are read from them: the notes of
+    the second one stand on it, so each document has two."""
+    made = convert.exported(markdown(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".pptx")).alias("path"), "text"), ".pptx")
+    back = files.imported(made).where("error is null")
+    return back.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), F.size(F.split("text", "\n\n---\n\n")).cast("long").alias("n_slides"))
