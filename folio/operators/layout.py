@@ -130,7 +130,7 @@ def clause_numbers(clauses: DataFrame) -> DataFrame:
             yield x.assign(repaired=out)[["doc_id", "article", "seq", "repaired"]]
 
     kinds = ", ".join(f"{c} {clauses.schema[c].dataType.simpleString()}" for c in ("doc_id", "article", "seq"))
-    return clauses.repartition("doc_id").sortWithinPartitions("doc_id", "article", "seq").mapInPandas(fold, f"{kinds}, repaired int")
+    return clauses.repartition("doc_id", "article").sortWithinPartitions("doc_id", "article", "seq").mapInPandas(fold, f"{kinds}, repaired int")
 
 
 def item_numbers(items: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def slide_pages(heights: DataFrame, most: float = 5.0) -> DataFrame:
             yield x.assign(page=out)[["doc_id", "slide_no", "line_no", "page"]]
 
     kinds = ", ".join(f"{c} {heights.schema[c].dataType.simpleString()}" for c in ("doc_id", "slide_no", "line_no"))
-    dealt = heights.select("doc_id", "slide_no", "line_no", "height").repartition("doc_id").sortWithinPartitions("doc_id", "slide_no", "line_no")
+    dealt = heights.select("doc_id", "slide_no", "line_no", "height").repartition("doc_id", "slide_no").sortWithinPartitions("doc_id", "slide_no", "line_no")
     return dealt.mapInPandas(fold, f"{kinds}, page int")
 
 
