@@ -167,3 +167,62 @@ def pixel_stats(pixels: DataFrame, by: str = "image") -> DataFrame:
         (F.count_if(white) / F.count("*")).alias("white"),
         (F.count_if(centre & (white | (F.col("a") < 20))) / F.nullif(F.count_if(centre), F.lit(0))).alias("centre_blank"),
     )
+
+
+def table_guards(rows: DataFrame) -> DataFrame:
+    """doc_id, table_no, problem: why what looks like a table on a page is none, null
+    for tables. rows: doc_id, table_no, row_no, cells. Fixed values: the bounds.
+
+    empty, one column or row, a long cell beside an empty one, a paragraph as heading,
+    the short words of a drawing, words cut between cells, or a document's headings
+    and lists in a cell - the first that fits. Sums of rows are all that is gathered."""
+    filled = F.filter(F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    words = F.filter(F.split(F.array_join(filled, " "), r"\s+"), lambda w: w != "")
+    inside = F.exists(filled, lambda c: c.rlike(r"(?iu)(?:^|\n)(?:#{1,6}\s+|Phần\s+\d+:|Mục\s+\d+\.\d+:|\d+\.\s+Tệp\s+tin)") | ((F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) > 5) & c.rlike(r"(?:^|\n)\s*[-*○•]")))
+    x = rows.select(
+        "doc_id",
+        "table_no",
+        "row_no",
+        F.size("cells").alias("width"),
+        F.size(filled).alias("filled"),
+        (F.exists(filled, lambda c: F.length(c) > 20) & (F.size(filled) < F.size("cells"))).alias("broken"),
+        F.exists(filled, lambda c: F.size(F.split(c, r"\s+")) > 15).alias("long"),
+        F.size(words).alias("words"),
+        F.size(F.filter(words, lambda w: F.length(w) <= 2)).alias("short"),
+        F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)).alias("letters"),
+        words_split(F.col("cells")).alias("split"),
+        inside.alias("inside"),
+    )
+    n = F.sum("words")
+    noise = (n > 0) & (F.sum("short") / n > 0.35) & (F.sum("letters") / n < 3.5)
+    problem = (
+        F.when(F.sum("filled") == 0, "empty")
+        .when(F.max("width") < 2, "columns")
+        .when(F.max("broken"), "broken")
+        .when(F.count("*") < 2, "rows")
+        .when(F.min_by("long", "row_no"), "prose")
+        .when(noise, "noise")
+        .when(F.max("split"), "split")
+        .when(F.max("inside"), "document")
+    )
+    return x.groupBy("doc_id", "table_no").agg(problem.alias("problem"))
+
+
+def header_first(texts: Column) -> Column:
+    """A slide's texts with its banner, page number and title first, in this order.
+    The number stands alone; a banner is a short heading of the third level in
+    capitals before anything else; the title is the first heading, if two texts at
+    most stand before it."""
+    items = F.filter(F.transform(texts, strip), lambda t: t != "")
+    alone = r"^\*{0,2}(\d{1,3})\*{0,2}$"
+    number = F.regexp_extract(F.coalesce(F.get(F.filter(items, lambda t: t.rlike(alone)), F.lit(0)), F.lit("")), alone, 1)
+    rest = F.filter(items, lambda t: ~(t.rlike(alone) & (F.regexp_extract(t, alone, 1) == number)))
+    first = F.coalesce(F.get(rest, F.lit(0)), F.lit(""))
+    name = F.trim(F.substring(first, 5, 1 << 20))
+    has_banner = first.startswith("### ") & (F.upper(name) == name) & (F.lower(name) != name) & (F.size(F.split(name, r"\s+")) <= 4)
+    rest = F.when(has_banner, F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+    at = F.array_position(F.transform(rest, lambda t: t.startswith("# ")), F.lit(True)).cast("int")
+    has_title = at.between(1, 3)
+    none = F.array().cast("array<string>")
+    others = F.filter(rest, lambda t, i: ~has_title | (i != at - 1))
+    return F.concat(F.when(has_banner, F.array(first)).otherwise(none), F.when(number != "", F.array(F.concat(F.lit("**"), number, F.lit("**")))).otherwise(none), F.when(has_title, F.array(F.get(rest, at - 1))).otherwise(none), others)

@@ -1011,3 +1011,35 @@ def slides_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = convert.exported(markdown(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".pptx")).alias("path"), "text"), ".pptx")
     back = files.imported(made).where("error is null")
     return back.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), F.size(F.split("text", "\n\n---\n\n")).cast("long").alias("n_slides"))
+
+
+#: Tables by what is wrong with them: their rows, with a part's name put in.
+PSEUDO: list[tuple[list[list[str]], str | None]] = [
+    ([["Name", "Bbbb cccc"], ["{}", "Dddd eeee"]], None),
+    ([["", " "], ["", ""]], "empty"),
+    ([["{}"], ["x"]], "columns"),
+    ([["head", "other"], ["a cell of more than twenty signs {}", ""]], "broken"),
+    ([["{}", "b"]], "rows"),
+    ([["one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen", "{}"], ["a", "b"]], "prose"),
+    ([["A B C", "D E F"], ["G H", "I J K L M"]], "noise"),
+    ([["Company", "Product"], ["see Mi", "crosoft {}"]], "split"),
+    ([["Company", "Product"], ["## Heading {}", "Product"]], "document"),
+    ([["Company", "Product"], ["lists\n- alpha\n- bravo\n- charlie\n- delta\n- echoes\n- {}", "Product"]], "document"),
+]
+
+
+@query("SELECT p_partkey AS doc_id, k AS table_no, problem FROM part CROSS JOIN (VALUES " + ", ".join(f"({k}, {f"'{p}'" if p else 'NULL'})" for k, (_, p) in enumerate(PSEUDO)) + ") AS v(k, problem)")
+def table_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.createDataFrame([(k, n, r) for k, (rows, _) in enumerate(PSEUDO) for n, r in enumerate(rows, 1)], "table_no int, row_no int, cells array<string>")
+    x = table(spark, sf_dir, "part").select("p_partkey").crossJoin(F.broadcast(made))  # a fixed set
+    cells = F.transform("cells", lambda c: F.replace(c, F.lit("{}"), F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))))
+    return workspace.table_guards(x.select(F.col("p_partkey").alias("doc_id"), "table_no", "row_no", cells.alias("cells")))
+
+
+@query("""WITH c AS (SELECT s_suppkey, s_suppkey % 5 AS k, s_name AS n FROM supplier)
+SELECT s_suppkey, array_to_string(CASE k WHEN 0 THEN ['### TOP NEWS', '**7**', '# ' || n, 'text', 'more'] WHEN 1 THEN ['**12**', '# ' || n, 'a', 'b'] WHEN 2 THEN ['a', 'b', 'c', '# ' || n] WHEN 3 THEN ['**3**', '### Not capitals', n, '4'] ELSE ['# ' || n, '### LATE', '# second'] END, '|') AS texts FROM c""")
+def slide_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, title = F.col("s_suppkey") % 5, F.concat(F.lit("# "), "s_name")
+    of = lambda *t: F.array(*(F.lit(x) if isinstance(x, str) else x for x in t))
+    texts = F.when(k == 0, of("### TOP NEWS", "text", title, " 7 ", "", "more", "**7**")).when(k == 1, of("a", "b", title, "12")).when(k == 2, of("a", "b", "c", title)).when(k == 3, of("### Not capitals", F.col("s_name"), "3", "4")).otherwise(of(title, "### LATE", "# second"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(workspace.header_first(texts), "|").alias("texts"))
