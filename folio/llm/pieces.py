@@ -11,13 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from folio.llm.names import column, sliced, unused
 
 SPACE = "▁"
 #: Positions of a part whose paths are remembered.
 HEAD = 6
-#: Parts, pairs of pieces and heads that a worker remembers before it begins to forget.
-MEMO, PAIRS, HEADS = 220_000, 400_000, 60_000
+#: Bytes that a remembered part, pair of pieces or head takes, rounded up from measurements, and its share of a task's memory.
+MEMO, PAIRS, HEADS = (320, 0.7), (160, 0.2), (800, 0.1)
 
 
 @dataclass
@@ -70,7 +72,7 @@ class Codec:
 
     STRIDE = 64
 
-    def __init__(self, v: Vocabulary):
+    def __init__(self, v: Vocabulary, memory_mb: int = 160):
         self.v = v
         self.ids = {p: i for i, p in enumerate(v.pieces) if i not in v.hidden and i not in v.bytes_at}
         self.longest = max(map(len, self.ids), default=1)
@@ -82,10 +84,16 @@ class Codec:
         #: characters that are neighbours in a piece: all paths meet between any others
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.words = self.cuts()
-        self.memo: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
         self.rank = {p: -v.scores[i] for p, i in self.ids.items()}
         self.ends: dict[str, tuple[list, list] | None] = {}
+        self.remember(memory_mb)
+
+    def remember(self, memory_mb: int) -> None:
+        """Forgets what was met, and sets how much may be remembered from now on."""
+        self.most_parts, self.most_pairs, self.most_heads = (max(1, int(memory_mb * 2**20 * share) // size) for size, share in (MEMO, PAIRS, HEADS))
+        self.most_parts = max(1, self.most_parts // 2)  # there are two generations
+        self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.heads: dict[str, tuple[list, list, list]] = {}
@@ -203,14 +211,14 @@ class Codec:
         vocabulary is a piece of its own. Paths to the first HEAD positions are
         remembered, as many parts begin alike."""
         n, off, known = len(s), 0, None
-        if self.n_pairs > PAIRS:
+        if self.n_pairs > self.most_pairs:
             self.pairs, self.n_pairs = {}, 0
         back, piece_at, best = [0], [""], [0.0]
         if n > HEAD:
             known = self.heads.get(s[:HEAD])
             if known is None:
                 self.extend(s, 0, back, piece_at, best, HEAD)
-                if len(self.heads) >= HEADS:
+                if len(self.heads) >= self.most_heads:
                     self.heads.clear()
                 known = self.heads[s[:HEAD]] = tuple(back), tuple(piece_at), tuple(best)
             back, piece_at, best = map(list, known)
@@ -248,7 +256,7 @@ class Codec:
                 cut = 0 if len(word) > 40 or bare.isascii() and bare.isalpha() else next((k for k in range(len(word) - 1, 0, -1) if word[k - 1 : k + 1] not in self.inside), 0)
                 found = self.word(word[:cut]) + self.word(word[cut:]) if cut else [i for run in self.search(word) for i in self.ids_of(run)]
             if len(word) <= 40:
-                if len(self.memo) >= MEMO:
+                if len(self.memo) >= self.most_parts:
                     self.older, self.memo = self.memo, {}
                 self.memo[word] = found
         return found
@@ -281,30 +289,34 @@ _codecs: dict[str, Codec] = {}
 
 
 def _codec(path: str, vocabulary: Broadcast) -> Codec:
-    """The worker's codec, which keeps its memory from task to task."""
+    """The worker's codec: the tables of its vocabulary stay from task to task, what it remembers of texts doesn't."""
     if path not in _codecs:
-        _codecs[path] = Codec(vocabulary.value)
+        _codecs[path] = Codec(vocabulary.value, 1)
     return _codecs[path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, memory_mb: int = 160) -> DataFrame:
     """The ``keep`` columns (all, if None) and n_ids, ids and exact: whether the
     ids give the text again.
 
     A null text gives null in all three, an empty one no ids. Columns of these
     names are replaced. exact is false for texts that hold the space mark U+2581
     itself, which decodes to a space. Whole texts are encoded, one after the
-    other; rows repeat as they do in docs.
+    other; rows repeat as they do in docs. A task remembers the parts of texts
+    that it has met in about ``memory_mb`` and gives that back at its end; less
+    of it takes longer and changes no id.
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model_path))  # of a fixed size
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_ids", "ids", "exact")]
+    made = ("n_ids", "ids", "exact")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    names = [*keep, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path, vocabulary)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+        codec.remember(memory_mb)
+        try:
+            for part in sliced(batches, 500):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 found = [None if t is None else codec.encode(t) for t in texts]
                 exact = [None if x is None else codec.decode(x) == t for x, t in zip(found, texts, strict=True)]
@@ -312,8 +324,9 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", k
                 ends = np.cumsum([0, *(len(x or ()) for x in found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append([x is None for x in found], False)), pa.array(flat))
                 sizes = pa.array([None if x is None else len(x) for x in found], pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], sizes, lists, pa.array(exact, pa.bool_())], [*keep, "n_ids", "ids", "exact"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], sizes, lists, pa.array(exact, pa.bool_())], names)
+        finally:
+            codec.remember(1)
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*kinds, "n_ids int", "ids array<int>", "exact boolean"]))
+    rows = docs.select(*map(column, keep), column(text_col).alias(unused(keep, "text")[0]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema[:-1], T.StructField("n_ids", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]))
