@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.names import column, unused
+from folio.llm.names import column, sliced, unused
 from folio.runtime import Scratch
 
 SPACE, SYMBOLS = b"\t\n\x0b\x0c\r ", b"#*$%&|<>"
@@ -79,7 +79,7 @@ def measured(docs: DataFrame, text_col: str = "text", stratum_col: str | None =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1000):
             made = np.array([counts(t) for t in b.column(at).cast(pa.binary()).to_pylist()], np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, made.size + 1, len(COUNTS), dtype=np.int32), pa.array(made.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, found])

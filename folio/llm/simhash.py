@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm.graph import components
-from folio.llm.names import column, unused
+from folio.llm.names import column, sliced, unused
 from folio.runtime import Scratch
 
 BLOCK = 1 << 15
@@ -40,7 +40,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of a word asks. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1000):
             fp = pa.array([fingerprint(t, width) for t in b.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["id", "th", "fp"])
 
