@@ -32,7 +32,7 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_digest(table(spark, sf_dir, "documents"))
+    return suffix_digest(table(spark, sf_dir, "documents"), words=51)
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
