@@ -2,15 +2,18 @@
 
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folio.llm.graph import components
+from folio.llm.minhash import jaccard_dedup
 from folio.llm.simhash import fingerprint, near_dedup, simhash_groups
-from folio.llm.suffix import remove_repeats, suffix_digest
+from folio.llm.suffix import PRIMES, Hashed, powers, remove_repeats, suffix_digest
 from folio.runtime import Scratch
 
 SCHEMA = "doc_id long, text string, fp string, root int, n_chars long"
@@ -180,6 +183,55 @@ def test_texts_without_repeats_stay_valid(spark):
     assert (out[0].n_chars, out[1].n_chars, out[2].n_chars) == (1, 2, 5)
 
 
+def brute_passages(texts, width):
+    """The words of each text in passages of so many words that are found twice."""
+    words = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
+    for w in words:
+        hit = set()
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                hit |= set(range(i, i + width))
+        yield hit
+
+
+def test_passages_of_words_like_brute_force(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    one, two = prose(51), prose(140)
+    texts = [prose(rng.randint(1, 150)) for _ in range(10)]
+    texts += [f"{prose(40)} {one} {prose(10)}", f"{one}\n{prose(70)}", one.replace(" ", "\n\t"), " ".join(one.split()[1:]) + " " + prose(60)]
+    texts += [two, f"{prose(20)} {two}", " ".join([*two.split()[:60], "é", *two.split()[61:]]), "a " * 200, "a b " * 60, "", None, "x" * 900]
+    found = list(brute_passages(texts, 51))
+    got = {r.doc_id: r.n_repeated_words for r in suffix_digest(frame(spark, texts), words=51).collect()}
+    assert got == {i: len(hit) for i, hit in enumerate(found)} and sum(map(bool, got.values())) >= 8
+    left = {r.doc_id: r.text for r in remove_repeats(frame(spark, texts), span=2000, words=51).collect()}
+    for i, (t, hit) in enumerate(zip(texts, found, strict=True)):
+        assert (left[i] or "").split() == [w for k, w in enumerate((t or "").split()) if k not in hit]
+
+
+def test_names_tell_thue_morse_words_apart():
+    t = "a"
+    for _ in range(10):
+        t += t.translate(str.maketrans("ab", "ba"))
+    h = Hashed(np.frombuffer((t + t.translate(str.maketrans("ab", "ba"))).encode(), np.uint8))
+    one, two = h.named(np.array([0, 1024]), np.array([1024, 2048]))
+    assert one != two
+    for prime, base in PRIMES:
+        up, down = powers(prime, base)
+        assert all(int(a) * int(b) % prime == 1 for a, b in zip(up[:3000:7], down[:3000:7], strict=True)) and int(up[5]) == pow(base, 5, prime)
+
+
+def test_clashing_names_of_columns(spark):
+    """Columns named like the operators' own come back as they were."""
+    names = ["spans", "passages", "s", "e", "s2", "e2", "key", "mark", "one", "two", "id", "th", "_th", "_id", "group", "x", "_x", "_s"]
+    d = frame(spark, ["y" * 500 + "a", "y" * 500 + "b", "b c", None, "", "b c"]).select("doc_id", "text", *(F.lit(7).alias(n) for n in names))
+    d = d.union(d.where("doc_id = 2"))
+    for left in (remove_repeats(d, words=51), near_dedup(d), jaccard_dedup(d)):
+        rows = left.collect()
+        assert left.columns == d.columns and rows and all(r[2:] == (7,) * len(names) for r in rows)
+
+
 @pytest.mark.parametrize("span", [100])
 def test_short_thresholds_are_refused(spark, span):
     with pytest.raises(ValueError):

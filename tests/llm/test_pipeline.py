@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -33,6 +34,27 @@ def test_stages_keep_the_columns_and_the_clean(spark):
     assert [r.doc_id for r in sorted(corpus_pipeline.run(spark, DIR).collect(), key=lambda r: r.doc_id)] == sorted(r.doc_id for r in ids)
 
 
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and very long texts, repeats, no rows, and columns named like the stages' own."""
+    prose = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    shared = prose("same", 60)
+    rows = [(i, f"{prose(i, 30)} {shared} {prose(i + 100, 30)}", "en", f"s{i % 3}", 0) for i in range(6)]
+    rows += [(10, None, None, None, None), (11, "", "en", "s0", 0), (12, prose(12, 40_000), None, None, 7), (13, rows[0][1], "en", "s1", 0), (0, rows[0][1], "en", "s0", 0), (None, prose(14, 50), "xx", "s2", 3), (15, shared, "en", "s0", 1)]
+    names = ["key", "mark", "one", "two", "n", "rows", "spare", "stratum", "counts", "found", "s", "e", "group", "th", "draw"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(7).alias(c) for c in names))
+    for given in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, DIR)
+            assert out.columns[: len(docs.columns)] == docs.columns
+            rows = out.collect()
+            assert all(r[c] == 7 for r in rows for c in names)
+            given = spark.createDataFrame(rows, out.schema)
+            if name == "simhash near-dedup" and rows:
+                assert sorted((r.doc_id for r in rows), key=str) == [0, 1, 12, 15, 2, 3, 4, 5, None]
+            if name == "suffix-array dedup" and rows:
+                assert not any("wsamex" in r.text for r in rows) and {r.doc_id for r in rows} >= {1, 2, 12, 15}
+
+
 def test_registered_queries(spark):
     names = list(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
