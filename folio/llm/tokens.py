@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 from folio.llm.names import column, sliced
 from folio.runtime import Scratch
 
-#: Characters after which a long text is cut, and characters encoded at once.
-PART, AT_ONCE = 1 << 15, 1 << 17
+#: Characters after which a long text is cut, characters encoded at once, and pieces of texts that a task remembers.
+PART, AT_ONCE, PIECES = 1 << 15, 1 << 17, 400_000
+#: Characters of which no version of Unicode has another opinion, and the letters, digits and white space among them.
+SETTLED = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f]*")
+L, N, S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t\n\r "
+#: How byte-level vocabularies cut texts, for settled characters.
+RULE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+")
 #: A space after a letter or digit begins a piece of its own in byte-level vocabularies.
 BORDER = re.compile(r"(?<=\w) ")
 STORED = "digest binary, n_tokens long"
@@ -30,6 +35,11 @@ class Counter:
     added, cut off or padded. Long texts are encoded in parts where the file's
     splitting rule can't tell, so a task holds few tokens at a time; with other
     rules a text is encoded as a whole.
+
+    Byte-level vocabularies cut a text into pieces before anything else, and most
+    pieces come again and again. So of texts of settled characters without special
+    strings the pieces are looked up, and the library encodes those that the task
+    hasn't met; all other texts it encodes itself.
     """
 
     def __init__(self, path: str):
@@ -40,7 +50,10 @@ class Counter:
         self.of.no_truncation()
         self.of.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.splits = splits_at_spaces(json.load(f))
+            config = json.load(f)
+        self.splits = splits_at_spaces(config)
+        self.special = [x["content"] for x in config.get("added_tokens") or []]
+        self.known: dict[str, int] = {}
 
     def parts(self, text: str) -> Iterator[str]:
         at = 0
@@ -65,8 +78,23 @@ class Counter:
         return out
 
     def _add(self, held: list[tuple[int, str]], out: list[int]) -> None:
-        for (k, _), found in zip(held, self.of.encode_batch_fast([x for _, x in held], add_special_tokens=False), strict=True):
-            out[k] += len(found)
+        easy = [(k, RULE.findall(x)) for k, x in held if self.settled(x)]
+        new = list({p for _, of in easy for p in of if p not in self.known})
+        if len(self.known) + len(new) > PIECES:
+            self.known.clear()
+            new = list({p for _, of in easy for p in of})
+        self.known.update(zip(new, self.encoded(new), strict=True))
+        for k, of in easy:
+            out[k] += sum(map(self.known.__getitem__, of))
+        rest = [(k, x) for k, x in held if not self.settled(x)]
+        for (k, _), n in zip(rest, self.encoded([x for _, x in rest]), strict=True):
+            out[k] += n
+
+    def settled(self, text: str) -> bool:
+        return self.splits and bool(SETTLED.fullmatch(text)) and not any(x in text for x in self.special)
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.of.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def splits_at_spaces(config: dict) -> bool:

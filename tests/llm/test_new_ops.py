@@ -325,6 +325,19 @@ def test_parts_count_as_the_whole():
         assert c.counts([t, "", t[:10]]) == [len(c.of.encode(x, add_special_tokens=False).ids) for x in (t, "", t[:10])]
 
 
+def test_pieces_count_as_their_texts(monkeypatch):
+    rng, whole = random.Random(11), library(BYTE_PAIRS)
+    bits = ["a", "'s", "'", "''ll", "é", "ß", "\u0130", " ", "  ", "\n", "\t", "1", "½", ".", "-_", "x'Re", "日", "\u00a0", "\x1f", "\x85", "<|endoftext|>", "<|end", "\u2028", "\r\n"]
+    texts = ["".join(rng.choice(bits[: rng.choice([17, len(bits)])]) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    want = [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    c = tokens.Counter(BYTE_PAIRS)
+    assert c.counts(texts) == want == c.counts(texts) and c.known
+    monkeypatch.setattr(tokens, "PIECES", 30)
+    monkeypatch.setattr(tokens, "AT_ONCE", 100)
+    c.known.clear()
+    assert c.counts(texts) == want and len(c.known) < 200
+
+
 def test_only_misses_are_encoded_and_kept(spark, tmp_path):
     cache, frame = str(tmp_path / "cache"), lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     files = lambda: {p.name: spark.read.option("recursiveFileLookup", True).parquet(str(p)).count() for p in (tmp_path / "cache").iterdir()}
