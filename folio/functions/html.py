@@ -27,6 +27,7 @@ class Walker(HTMLParser):
         self.href: list[str] = []
         self.row: list[str] | None = None
         self.rows = 0
+        self.quotes: list[int] = []  # where the open ones begin
 
     def put(self, s: str) -> None:
         if self.row is not None:
@@ -66,15 +67,15 @@ class Walker(HTMLParser):
             self.put(MARKS[tag])
         elif tag == "a":
             self.href.append(a.get("href") or "")
-            self.put("[")
+            self.put("[" if self.href[-1] else "")
         elif tag == "img":
             self.put(f"![{a.get('alt') or ''}]({a.get('src') or ''})")
         elif tag == "br":
             self.put("\n")
         elif tag == "hr":
             self.put("\n\n---\n\n")
-        elif tag == "blockquote":
-            self.put("> ")
+        elif tag == "blockquote" and self.row is None:
+            self.quotes.append(len(self.out))
         elif tag == "table":
             self.rows = 0
         elif tag == "tr":
@@ -95,7 +96,10 @@ class Walker(HTMLParser):
                 if top == tag:
                     break
         elif tag == "a" and self.href:
-            self.put(f"]({self.href.pop()})")
+            to = self.href.pop()
+            self.put(f"]({to})" if to else "")
+        elif tag == "blockquote" and self.quotes and self.row is None:
+            self.end_quote()
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
         elif tag == "pre" and self.pre:
@@ -107,6 +111,14 @@ class Walker(HTMLParser):
             self.close_marks()
             self.out.append("\n\n")
 
+    def end_quote(self) -> None:
+        """Every line of a quote has the mark, and quotes in it have theirs."""
+        self.end_row()
+        self.close_marks()
+        at = self.quotes.pop()
+        inner = tidy("".join(self.out[at:]))
+        self.out[at:] = ["\n".join(f"> {x}".rstrip() for x in inner.split("\n"))] if inner else []
+
     def end_row(self) -> None:
         if self.row is not None:
             self.close_marks()
@@ -124,8 +136,15 @@ def page_markdown(page: str) -> str:
     w = Walker()
     w.feed(page or "")
     w.close()
+    while w.quotes:
+        w.end_quote()
     w.close_marks()
-    text = re.sub(r"[ \t]+\n", "\n", "".join(w.out))
+    return tidy("".join(w.out))
+
+
+def tidy(text: str) -> str:
+    """Text without spaces around line ends and more than one blank line."""
+    text = re.sub(r"[ \t]+\n", "\n", text)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ \t]+(?![-\d ])", "\n", text)).strip()
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import filename_problem
 from folio.operators.ranks import running
+from folio.runtime import Scratch
 
 #: What each extension is read as.
 FORMATS = {".csv": "CSV", ".xlsx": "Excel", ".xls": "Excel", ".docx": "Word", ".pptx": "PowerPoint", ".pdf": "PDF", ".html": "HTML", ".htm": "HTML", ".json": "JSON", ".yaml": "YAML", ".yml": "YAML", ".md": "Markdown"}
@@ -192,10 +193,11 @@ def outdated(sessions: DataFrame, now: Column, age: int = 7 * 24 * 3600) -> Data
 
 def first_copies(assets: DataFrame, key: str, order: str) -> DataFrame:
     """Assets (content) with their digest, and whether another one of the key with
-    the same content comes first; first is that one's order. The partial minimum
-    is taken before the shuffle, so many copies of one content are no burden."""
+    the same content comes first; first is that one's order. The minima are written
+    first, so that the join is between two plain tables, which can be split where
+    one content has very many copies."""
     x = assets.withColumn("digest", F.md5(F.col("content").cast("binary")))
-    one = x.groupBy(key, "digest").agg(F.min(order).alias("first"))
+    one = Scratch(assets.sparkSession, "copies").save(x.groupBy(key, "digest").agg(F.min(order).alias("first")), "first")
     return x.join(one, [key, "digest"]).withColumn("is_copy", F.col(order) != F.col("first"))
 
 

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.text import roman_repaired, strip
+from folio.operators.ranks import folded, free, islands, mapped
+from folio.runtime import Scratch
 
 #: Short tokens that structure a text and so are never noise.
 STRUCTURAL = r"^(\d+[.)]|[a-zđ][.)]|[IVX]+[.)]?|[-•])$"
 #: Words that open a chapter, a section and an article.
 CHAPTER, SECTION, ARTICLE = "Chương", "Mục", "Điều"
+#: Depths of lists that have numbers.
+LEVELS = 9
 
 
 def confident(tokens: DataFrame, least: int = 15) -> DataFrame:
@@ -60,28 +66,54 @@ def image_artifacts(images: DataFrame) -> DataFrame:
 
 
 def line_clusters(glyphs: DataFrame) -> DataFrame:
-    """Glyphs (page, glyph_no, x0, top, bottom) with the line they stand on: the
-    first one they overlap by a third, or whose middle is near, greedily from the
-    top. A page's glyphs are one group, as many as fit on a page."""
-
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.assign(mid=(x.top + x.bottom) / 2).sort_values(["mid", "x0", "glyph_no"])
-        found: list[list[float]] = []
-        at = []
-        for top, bottom in zip(x.top, x.bottom, strict=True):
+    """Glyphs (page, glyph_no, x0, top, bottom, ...) with the line they stand on:
+    the first one they overlap by a third, or whose middle is near, greedily from
+    the top.
+
+    Glyphs of two bands of a page, with nothing between them, are never on one
+    line, as then their middles are half of both heights apart at least. So bands
+    are found over ranges of rows (ranks.islands), each band is gone through by
+    itself, and lines are numbered over the bands before it. In a band glyphs come
+    in the order of their middles, and a line that no later one can reach, by the
+    band's largest glyph, is given up: a task holds the lines within a glyph's reach.
+    """
+    scratch = Scratch(glyphs.sparkSession, "lines")
+    page = glyphs.schema["page"]
+    uid, its = free(glyphs.columns, "uid", "its")
+    glyphs = scratch.save(glyphs.withColumn(uid, F.monotonically_increasing_id()), "glyphs")
+    x = glyphs.select("page", "glyph_no", F.col(uid).alias("uid"), "x0", F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"))
+    x = scratch.save(islands(x, ["page"], "top", "bottom", name="band").withColumn("mid", (F.col("top") + F.col("bottom")) / 2), "bands")
+    most = scratch.save(x.groupBy("page", "band").agg(F.max(F.col("bottom") - F.col("top")).alias("most")).withColumnsRenamed({"page": "p", "band": "b"}), "most")
+    x = x.join(most, F.col("page").eqNullSafe(F.col("p")) & (F.col("band") == F.col("b"))).select("page", "band", "mid", "x0", "glyph_no", "uid", "top", "bottom", "most")
+    kinds = T.StructType([page, T.StructField("band", T.LongType()), T.StructField("uid", T.LongType()), T.StructField("line", T.LongType())])
+    found = scratch.save(mapped(x.repartition("page", "band").sortWithinPartitions("page", "band", "mid", "x0", "glyph_no"), _on_lines, kinds), "found")
+    before = W.partitionBy("page").orderBy("band").rowsBetween(W.unboundedPreceding, -1)
+    # bands of a page are as many as its lines at most, two numbers each
+    ahead = found.groupBy("page", "band").agg(F.max("line").alias("n")).select(F.col("page").alias("p"), F.col("band").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    ahead = scratch.save(ahead, "ahead")
+    at = found.join(ahead, F.col("page").eqNullSafe(F.col("p")) & (F.col("band") == F.col("b"))).select(F.col("uid").alias(its), (F.col("line") + F.col("ahead")).cast("int").alias("line_no"))
+    return glyphs.join(at, F.col(uid) == F.col(its)).drop(uid, its)
+
+
+def _on_lines(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(page, band, mid, x0, glyph_no, uid, top, bottom, most) in order to (page, band, uid, line from 1)."""
+    for (page, band), of in groupby(rows, itemgetter(0, 1)):
+        open_: list[list] = []  # line, top, bottom; in the order in which they began
+        n = 0
+        for _, _, mid, _, _, uid, top, bottom, most in of:
             size = bottom - top
-            for k, (a, b) in enumerate(found):
-                small, large = min(size, b - a), max(size, b - a)
-                if min(bottom, b) - max(top, a) >= 0.35 * small or abs((top + bottom) / 2 - (a + b) / 2) <= 0.4 * large:
-                    found[k] = [min(a, top), max(b, bottom)]
-                    at.append(k + 1)
+            # a later glyph's top is at least its middle less half of the largest; near middles need more overlap than that
+            open_ = [x for x in open_ if x[2] >= mid - most / 2 or mid - (x[1] + x[2]) / 2 <= 0.4 * max(most, x[2] - x[1])]
+            for x in open_:
+                small, large = min(size, x[2] - x[1]), max(size, x[2] - x[1])
+                if min(bottom, x[2]) - max(top, x[1]) >= 0.35 * small or abs(mid - (x[1] + x[2]) / 2) <= 0.4 * large:
+                    x[1], x[2] = min(x[1], top), max(x[2], bottom)
                     break
             else:
-                found.append([top, bottom])
-                at.append(len(found))
-        return x.assign(line_no=at)[["page", "glyph_no", "line_no"]]
-
-    return glyphs.select("page", "glyph_no", "x0", "top", "bottom").groupBy("page").applyInPandas(fold, f"page {glyphs.schema['page'].dataType.simpleString()}, glyph_no {glyphs.schema['glyph_no'].dataType.simpleString()}, line_no int")
+                n += 1
+                x = [n, top, bottom]
+                open_.append(x)
+            yield page, band, uid, x[0]
 
 
 def pages_joined(page_lines: DataFrame) -> DataFrame:
@@ -112,32 +144,59 @@ def legal_lines(page_lines: DataFrame) -> DataFrame:
     return x.where("kind <> 'title'").select("doc_id", "seq", "kind", md.alias("markdown"))
 
 
+class Rising:
+    """Numbers that rise from the second on: a missing one, or one that doesn't rise,
+    is one more than the last.
+
+    From 2 on a row makes max(last + 1, number) of the last one, so a stretch of
+    rows makes max(last + n, least); a stretch's first number is told apart from
+    the missing ones before it, as a last one below 2 takes any number.
+    """
+
+    begin = 0
+
+    @staticmethod
+    def step(last: int, number: int | None) -> int:
+        return last + 1 if number is None or last >= 2 and number <= last else number
+
+    def summary(self, rows: Iterator[tuple]) -> tuple[int, int | None, int, int, int]:
+        missing, first, fresh, n, least = 0, None, 0, 0, 0
+        for (number,) in rows:
+            if first is None and number is None:
+                missing += 1
+            elif first is None:
+                first = fresh = number
+            else:
+                fresh, n, least = self.step(fresh, number), n + 1, max(least + 1, number if number is not None else 0)
+        return missing, first, fresh, n, least
+
+    def after(self, last: int, summary: tuple) -> int:
+        missing, first, fresh, n, least = summary
+        last += missing
+        if first is None:
+            return last
+        return max(last + 1 + n, least) if last >= 2 and first <= last else fresh
+
+    def outputs(self, last: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (number,) in rows:
+            last = self.step(last, number)
+            yield (last,)
+
+
 def clause_numbers(clauses: DataFrame) -> DataFrame:
     """Clauses (doc_id, article, seq, number) with repaired numbers: from the second
     on they rise, so one that doesn't, or that wasn't read (null), is one more than
-    the last. Each depends on the one before as repaired; rows come in order, and
-    only the last number is held."""
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, last = None, 0
-        for x in frames:
-            out = []
-            for doc, article, n in zip(x.doc_id, x.article, x.number, strict=True):
-                if (doc, article) != at:
-                    at, last = (doc, article), 0
-                last = last + 1 if pd.isna(n) or last >= 2 and n <= last else int(n)
-                out.append(last)
-            yield x.assign(repaired=out)[["doc_id", "article", "seq", "repaired"]]
-
-    kinds = ", ".join(f"{c} {clauses.schema[c].dataType.simpleString()}" for c in ("doc_id", "article", "seq"))
-    return clauses.repartition("doc_id", "article").sortWithinPartitions("doc_id", "article", "seq").mapInPandas(fold, f"{kinds}, repaired int")
+    the last. Each depends on the one before as repaired; an article of any length
+    is gone through in ranges side by side (ranks.folded)."""
+    x = clauses.select("doc_id", "article", "seq", F.col("number").cast("long").alias("number"))
+    return folded(x, ["doc_id", "article"], ["seq"], ["number"], Rising(), "repaired long").select("doc_id", "article", "seq", F.col("repaired").cast("int").alias("repaired"))
 
 
 def item_numbers(items: DataFrame) -> DataFrame:
     """Numbered items (doc_id, seq, level, numbered) with their number: it starts
-    again after an item of the level that has none, or of a higher level."""
+    again after an item of the level that has none, or of a higher level. Levels
+    beyond LEVELS or below 1 and null ones have no numbers."""
     by = W.partitionBy("doc_id").orderBy("seq")
-    levels = [F.sum(F.when((F.col("level") < k) | ((F.col("level") == k) & ~F.col("numbered")), 1).otherwise(0)).over(by) for k in range(1, 10)]
-    island = F.element_at(F.array(*levels), F.col("level"))
-    x = items.withColumn("_island", island)
-    return x.withColumn("number", F.when(F.col("numbered"), F.row_number().over(W.partitionBy("doc_id", "level", "numbered", "_island").orderBy("seq")))).drop("_island")
+    levels = [F.sum(F.when((F.col("level") < k) | ((F.col("level") == k) & ~F.col("numbered")), 1).otherwise(0)).over(by) for k in range(1, LEVELS + 1)]
+    x = items.withColumn("_island", F.get(F.array(*levels), F.col("level") - 1))
+    return x.withColumn("number", F.when(F.col("numbered") & F.col("level").between(1, LEVELS), F.row_number().over(W.partitionBy("doc_id", "level", "numbered", "_island").orderBy("seq")))).drop("_island")

@@ -1,14 +1,58 @@
-"""Places and running sums of groups of any size, without a task for each group."""
+"""Places, running sums, islands and folds of groups of any size, without a task for each group."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
+from typing import Any, Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folio.runtime import Scratch
 
 
+def free(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before those that a column has already."""
+    seen, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in seen:
+            name = f"_{name}"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
+def at(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def dealt(rows: DataFrame, by: list[str], order: list[str | Column], part: str, pos: str, scratch: Scratch) -> DataFrame:
+    """rows written in ranges of group and order, with the range and a number that
+    rises with group and order. Equal rows are told apart, so they needn't share a range."""
+    (tie,) = free(rows.columns, "tie")
+    keys = [*(at(c).asc_nulls_first() for c in by), *order, tie]
+    x = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(tie)
+    return scratch.save(x.withColumns({part: F.spark_partition_id(), pos: F.monotonically_increasing_id()}), "dealt")
+
+
+def _with(rows: DataFrame, by: list[str], part: str, parts: DataFrame) -> DataFrame:
+    """rows with what each group's range carries: parts has by and part, then named columns."""
+    names = free([*rows.columns, *parts.columns], *(f"k{i}" for i in range(len(by) + 1)))
+    renamed = parts.select(*(at(c).alias(n) for c, n in zip([*by, part], names, strict=True)), *(at(c) for c in parts.columns if c not in (*by, part)))
+    met = at(part) == at(names[-1])
+    for c, n in zip(by, names[:-1], strict=True):
+        met &= at(c).eqNullSafe(at(n))
+    return rows.join(renamed, met).drop(*names)
+
+
 def running(rows: DataFrame, by: list[str], order: list[str | Column], value: Column | None = None) -> DataFrame:
     """rows with place, from 1 within each group in the order, and ahead, the sum of
     value over the rows before it.
@@ -16,18 +60,122 @@ def running(rows: DataFrame, by: list[str], order: list[str | Column], value: Co
     Rows are dealt out by ranges of group and order and written. Within a range
     windows see one part of a group each; sums over the parts, one row a group and
     range, are added to them. A group that holds most of the rows is spread over
-    many ranges.
+    many ranges. Columns of any other name come back as they are.
     """
-    scratch = Scratch(rows.sparkSession, "ranks")
-    keys = [F.col(c).asc_nulls_first() for c in by]
-    dealt = rows.withColumn("_value", F.lit(0) if value is None else value).repartitionByRange(*keys, *order)
-    dealt = scratch.save(dealt.withColumn("_range", F.spark_partition_id()), "dealt")
-    parts = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_rows"), F.sum("_value").alias("_sum"))
-    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_range").alias("_part"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_rows", "_sum")))
-    own = W.partitionBy(*by, "_range").orderBy(*order)
-    local = dealt.withColumns({"_place": F.row_number().over(own), "_ahead": F.coalesce(F.sum("_value").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
-    met = F.col("_range") == F.col("_part")
-    for k, c in enumerate(by):
-        met &= F.col(c).eqNullSafe(F.col(f"_by{k}"))
-    return local.join(parts, met).select(*rows.columns, (F.col("_place") + F.col("_rows_before")).alias("place"), (F.col("_ahead") + F.col("_sum_before")).alias("ahead"))
+    part, pos, val, n, total, local, sums = free(rows.columns, "part", "pos", "value", "n_before", "sum_before", "local", "sums")
+    x = dealt(rows.withColumn(val, F.lit(0) if value is None else value), by, order, part, pos, Scratch(rows.sparkSession, "ranks"))
+    parts = x.groupBy(*map(at, by), part).agg(F.count("*").alias(n), F.sum(val).alias(total))
+    before = W.partitionBy(*map(at, by)).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*map(at, by), part, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in (n, total)))
+    own = W.partitionBy(*map(at, by), part).orderBy(pos)
+    x = x.withColumns({local: F.row_number().over(own), sums: F.coalesce(F.sum(val).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    return _with(x, by, part, parts).select(*map(at, rows.columns), (F.col(local) + F.col(n)).alias("place"), (F.col(sums) + F.col(total)).alias("ahead"))
+
+
+def islands(rows: DataFrame, by: list[str], start: str, end: str, gap: float = 0.0, name: str = "island") -> DataFrame:
+    """rows with the number, from 1 in each group, of the island they are in: one
+    begins where a start is more than ``gap`` beyond every end before it.
+
+    A running maximum over ranges of the starts, as in running(); a group may have
+    any share of the rows. Starts and ends mustn't be null.
+    """
+    scratch = Scratch(rows.sparkSession, "islands")
+    part, pos, far, new, ahead = free(rows.columns, "part", "pos", "far", "new", "ahead")
+    x = dealt(rows, by, [at(start), at(end)], part, pos, scratch)
+    over = W.partitionBy(*map(at, by)).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    parts = x.groupBy(*map(at, by), part).agg(F.max(at(end)).alias(far)).select(*map(at, by), part, F.max(far).over(over).alias(far))
+    own = W.partitionBy(*map(at, by), part).orderBy(pos)
+    before = F.greatest(F.max(at(end)).over(own.rowsBetween(W.unboundedPreceding, -1)), F.col(far))
+    x = scratch.save(_with(x, by, part, parts).withColumn(new, F.coalesce(at(start) > before + gap, F.lit(True)).cast("long")).drop(far), "new")
+    scratch.drop("dealt")
+    parts = x.groupBy(*map(at, by), part).agg(F.sum(new).alias(ahead)).select(*map(at, by), part, F.coalesce(F.sum(ahead).over(over), F.lit(0)).alias(ahead))
+    x = x.withColumn(new, F.sum(new).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    return _with(x, by, part, parts).select(*map(at, rows.columns), (F.col(new) + F.col(ahead)).alias(name))
+
+
+class Fold(Protocol):
+    """A fold that can be cut anywhere: what a stretch of rows makes of any state is
+    summed up in something small, so stretches are worked out side by side."""
+
+    begin: Any
+
+    def summary(self, rows: Iterator[tuple]) -> Any: ...
+
+    def after(self, state: Any, summary: Any) -> Any: ...
+
+    def outputs(self, state: Any, rows: Iterator[tuple]) -> Iterator[tuple]: ...
+
+
+def _rows(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[tuple]:
+    for b in batches:
+        for k in range(0, b.num_rows, most):
+            yield from zip(*(c.to_pylist() for c in b.slice(k, most).columns), strict=True)
+
+
+def _batches(rows: Iterator[tuple], kinds: T.StructType, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    schema, held = to_arrow_schema(kinds), []
+    for r in rows:
+        held.append(r)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def mapped(rows: DataFrame, step: Callable[[Iterator[tuple]], Iterator[tuple]], kinds: T.StructType) -> DataFrame:
+    """Rows through a generator, a few at a time."""
+    return rows.mapInArrow(lambda batches: _batches(step(_rows(batches)), kinds), kinds)
+
+
+def folded(rows: DataFrame, by: list[str], order: list[str | Column], columns: list[str], fold: Fold, outputs: str) -> DataFrame:
+    """rows with the outputs ("name type, ...") of a fold over each group's rows in
+    their order, given the columns.
+
+    Rows are dealt out by ranges and written. Each range of a group is summed up
+    by itself; a group's summaries, one a range, are put together in order, which
+    gives the state each range begins with; then each range is folded by itself.
+    So a group may have any share of the rows, and no task sees more of it than
+    a range.
+    """
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "fold")
+    part, pos, back, has = free([*rows.columns, *(x.split()[0] for x in outputs.split(", "))], "part", "pos", "back", "has")
+    x = dealt(rows, by, order, part, pos, scratch)
+    n = len(by) + 1
+    narrow = x.select(*map(at, by), part, pos, *map(at, columns))
+    keys = T.StructType(narrow.schema[:n])
+    in_order = lambda df: df.repartition(*map(at, by), part).sortWithinPartitions(*map(at, by), part, pos)
+
+    def summed(given: Iterator[tuple]) -> Iterator[tuple]:
+        for key, of in groupby(given, itemgetter(*range(n))):
+            yield *key, pickle.dumps(fold.summary(r[n + 1 :] for r in of))
+
+    def entered(given: Iterator[tuple]) -> Iterator[tuple]:
+        for _, of in groupby(given, lambda r: r[: n - 1]):
+            state = fold.begin
+            for r in of:
+                yield *r[:n], pickle.dumps(state)
+                state = fold.after(state, pickle.loads(r[n]))
+
+    def carried(given: Iterator[tuple]) -> Iterator[tuple]:
+        for _, of in groupby(given, itemgetter(*range(n))):
+            first = next(of)
+            places = [first[n]]
+
+            def row(of: Iterator[tuple] = of, first: tuple = first, places: list[int] = places) -> Iterator[tuple]:
+                yield first[n + 1 : -1]
+                for r in of:
+                    places[0] = r[n]
+                    yield r[n + 1 : -1]
+
+            # an output comes with its row, before the next one is asked for
+            for out in fold.outputs(pickle.loads(first[-1]), row()):
+                yield places[0], *out
+
+    sums = mapped(in_order(narrow), summed, T.StructType([*keys, T.StructField(has, T.BinaryType())]))
+    states = mapped(sums.repartition(*map(at, by)).sortWithinPartitions(*map(at, by), part), entered, T.StructType([*keys, T.StructField(has, T.BinaryType())]))
+    states = scratch.save(states, "states")
+    given = _with(narrow, by, part, states)
+    made = spark.createDataFrame([], outputs).schema
+    done = mapped(in_order(given), carried, T.StructType([T.StructField(back, T.LongType()), *made]))
+    return x.join(done, F.col(pos) == F.col(back)).select(*map(at, rows.columns), *map(at, made.names))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions.text import csv_cell, is_separator, pad, rule_line, split_row, strip, table_line
 from folio.operators.lines import by_line
+from folio.operators.ranks import folded, running
+from folio.runtime import Scratch
 
 
 def table_lines(rows: DataFrame, compat: bool = True, least: int = 2) -> DataFrame:
@@ -62,12 +66,25 @@ def rendered(rows: DataFrame, key: list[str], order: list[str], columns: list[st
 def record_table(records: DataFrame, id_col: str, map_col: str) -> DataFrame:
     """Records (maps of texts) to aligned rows: the columns are all keys, in the
     order in which they are first seen, and a record without one has an empty cell.
-    Only the distinct keys are gathered; records meet them in a broadcast join of
-    one row."""
-    keys = records.select(F.col(id_col).alias("id"), F.posexplode(F.map_keys(map_col)).alias("at", "key")).groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"))
-    header = keys.agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "key"))), lambda x: x.key).alias("header"))
-    cell = lambda k: F.replace(F.regexp_replace(F.coalesce(F.element_at(map_col, k), F.lit("")), r"\r?\n", " "), F.lit("|"), F.lit("\\|"))
-    return records.join(F.broadcast(header)).select(F.col(id_col), "header", F.transform("header", cell).alias("cells"))
+
+    Keys are numbered in a written table; the cells that there are meet them by
+    key, so what moves grows with the cells, and a record's row is filled up to
+    the number of keys. Keys that only some records have cost those records
+    nothing but the empty cells of the result. A record whose id is another's or
+    null has a row of its own; an empty or null map gives empty cells.
+    """
+    scratch = Scratch(records.sparkSession, "records")
+    rows = scratch.save(records.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(map_col).alias("m")), "records")
+    each = rows.select("id", "uid", F.posexplode(F.map_keys("m")).alias("at", "key"))
+    keys = each.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"))
+    keys = scratch.save(running(keys, [], ["first", "key"]).select(F.col("key").alias("k"), (F.col("place") - 1).cast("int").alias("col_no")), "keys")
+    width = keys.count()
+    cell = F.replace(F.regexp_replace(F.coalesce("value", F.lit("")), r"\r?\n", " "), F.lit("|"), F.lit("\\|"))
+    cells = rows.select("uid", F.explode("m").alias("key", "value")).join(keys, F.col("key") == F.col("k"))
+    cells = cells.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("col_no", cell.alias("cell")))).alias("of")).withColumnRenamed("uid", "u")
+    filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("of", i), F.lit(""))) if width else F.array().cast("array<string>")
+    header = F.broadcast(keys.agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "k"))), lambda x: x.k).alias("header")))  # a row as wide as each of the result's
+    return rows.join(cells, F.col("uid") == F.col("u"), "left").join(header).select(F.col("id").alias(id_col), "header", filled.alias("cells"))
 
 
 def grid(rows: DataFrame, clean: bool = True) -> DataFrame:
@@ -133,3 +150,93 @@ def stitched(elements: DataFrame, limit: int = 150) -> DataFrame:
     return x.withColumn("table_no", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(by)).select("doc_id", "elem_no", "table_no", "n_cols")
 
 
+class Continued:
+    """Rows of a run of tables that go on with the row before, as it is by then.
+
+    A row is (first, filled, ends): whether it is the first of a table that
+    continues another, which cells aren't empty, and whether the last one ends a
+    sentence. A first row with an empty first cell goes on if it fills a later
+    cell that the row before has empty, or if both have a last cell and that of
+    the row before doesn't end a sentence. What such rows make of a state depends
+    on it only up to the first row that can't go on, so a stretch is summed up by
+    the rows before that one, the state at its end and the rows begun after it.
+    """
+
+    begin = (None, None, 0)
+
+    @staticmethod
+    def step(state: tuple, row: tuple) -> tuple:
+        (filled, ended, n), (first, own, ends) = state, row
+        if first and filled is not None and len(own) == len(filled) > 1 and not own[0]:
+            if any(b and not a for a, b in zip(filled[1:], own[1:], strict=True)) or filled[-1] and own[-1] and not ended:
+                return [a or b for a, b in zip(filled, own, strict=True)], ends if own[-1] else ended, n
+        return own, ends, n + 1
+
+    def summary(self, rows: Iterator[tuple]) -> tuple[list[tuple], tuple | None]:
+        open_: list[tuple] = []
+        for row in rows:
+            if not row[0] or len(row[1]) < 2 or row[1][0]:
+                state = self.step((None, None, 0), row)
+                break
+            open_.append(row)
+        else:
+            return open_, None
+        for row in rows:
+            state = self.step(state, row)
+        return open_, state
+
+    def after(self, state: tuple, summary: tuple) -> tuple:
+        for row in summary[0]:
+            state = self.step(state, row)
+        return state if summary[1] is None else (*summary[1][:2], state[2] + summary[1][2])
+
+    def outputs(self, state: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        for row in rows:
+            state = self.step(state, row)
+            yield (state[2],)
+
+
+def joined(elements: DataFrame, columns: DataFrame, rows: DataFrame, limit: int = 150) -> DataFrame:
+    """doc_id, table_no, row_no and cells of tables that go on over page breaks, as
+    one table each (stitched()).
+
+    elements: doc_id, elem_no, type, n_chars, n_cols; columns: doc_id, elem_no,
+    col_no from 0, x0, x1; rows: doc_id, elem_no, row_no, cells. The cells of a
+    continued table go to the columns of the first table of its run, each to that
+    which its own column shares the widest stretch with, the leftmost on ties; of
+    several cells for one column the last stays, one that meets none is dropped. A
+    continued table's first row is added to the row before where that goes on
+    (Continued). Null cells are empty; a table without rows has no part; a null
+    doc_id is a document.
+
+    Column maps are arrays of a table's width. Rows that belong together are told
+    by a fold over ranges (ranks.folded), so a run of any number of rows and
+    tables is spread.
+    """
+    scratch = Scratch(rows.sparkSession, "joined")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    runs = stitched(elements, limit).select(F.col("doc_id").alias("_d"), F.col("elem_no").alias("_e"), "table_no")
+    heads = scratch.save(runs.groupBy("_d", "table_no").agg(F.min("_e").alias("_head")).withColumnsRenamed({"_d": "_hd", "table_no": "_ht"}), "heads")
+    runs = scratch.save(runs.join(heads, same("_d", "_hd") & (F.col("table_no") == F.col("_ht"))).select("_d", "_e", "table_no", "_head"), "runs")
+    spans = scratch.save(columns.groupBy("doc_id", "elem_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "x0", "x1"))).alias("spans")), "spans")
+    of_head = spans.select(F.col("doc_id").alias("_sd"), F.col("elem_no").alias("_se"), F.col("spans").alias("above"))
+    x = spans.join(runs, same("doc_id", "_d") & same("elem_no", "_e")).select("doc_id", "elem_no", "table_no", "_head", "spans")
+    x = x.join(of_head, same("doc_id", "_sd") & same("_head", "_se"))
+    common = lambda a, b: F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
+    shared = lambda b: F.transform("above", lambda a: common(a, b))
+    best = F.transform("spans", lambda b: F.when(F.array_max(shared(b)) > 0, F.array_position(shared(b), F.array_max(shared(b))) - 1).otherwise(-1))
+    maps = scratch.save(x.select(F.col("doc_id").alias("_d"), F.col("elem_no").alias("_e"), "table_no", (F.col("elem_no") != F.col("_head")).alias("child"), best.alias("to"), F.size("above").alias("width")), "maps")
+    given = F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")))
+    x = rows.select("doc_id", "elem_no", "row_no", given.alias("cells")).join(maps, same("doc_id", "_d") & same("elem_no", "_e"))
+    from_ = lambda i: F.array_max(F.filter(F.transform("to", lambda t, j: F.when(t == i, j)), lambda j: j.isNotNull() & (j < F.size("cells"))))
+    moved = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(strip(F.get("cells", from_(i))), F.lit("")))
+    x = x.withColumn("cells", F.when(F.col("child") & (F.col("width") > 0), moved).otherwise(F.col("cells")))
+    first = scratch.save(x.groupBy("doc_id", "elem_no").agg(F.min("row_no").alias("first")).withColumnsRenamed({"doc_id": "_fd", "elem_no": "_fe"}), "first")
+    x = x.join(first, same("doc_id", "_fd") & same("elem_no", "_fe"))
+    last = F.coalesce(F.get("cells", F.size("cells") - 1), F.lit(""))
+    x = x.select("doc_id", "table_no", "elem_no", F.col("row_no").alias("own_no"), "cells", (F.col("child") & (F.col("row_no") == F.col("first"))).alias("_first"), F.transform("cells", lambda c: c != "").alias("_filled"), strip(last).rlike(r"[.!?:]$").alias("_ends"))
+    x = folded(x, ["doc_id", "table_no"], ["elem_no", "own_no"], ["_first", "_filled", "_ends"], Continued(), "row_no long")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("elem_no", "own_no", "cells"))), lambda r: r["cells"])
+    x = x.groupBy("doc_id", "table_no", "row_no").agg(parts.alias("parts"))
+    whole = F.transform(F.get("parts", F.lit(0)), lambda _, i: F.array_join(F.filter(F.transform("parts", lambda p: F.get(p, i)), lambda c: c != ""), " "))
+    return x.select("doc_id", "table_no", "row_no", F.when(F.size("parts") == 1, F.get("parts", F.lit(0))).otherwise(whole).alias("cells"))

@@ -16,7 +16,7 @@ from folio.functions import text as T
 from folio.functions.html import html_to_markdown
 from folio.functions.inline import segments, stripped
 from folio.functions.tree import json_to_markdown, markdown_to_json
-from folio.operators import catalog, images, layout, lines, preview, search, tables, transcript, workspace
+from folio.operators import catalog, images, layout, lines, pages, preview, rulings, search, splices, tables, transcript, workspace
 from folio.plans import convert
 from folio.runtime import table
 from folio.sources import files
@@ -1043,3 +1043,127 @@ def slide_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda *t: F.array(*(F.lit(x) if isinstance(x, str) else x for x in t))
     texts = F.when(k == 0, of("### TOP NEWS", "text", title, " 7 ", "", "more", "**7**")).when(k == 1, of("a", "b", title, "12")).when(k == 2, of("a", "b", "c", title)).when(k == 3, of("### Not capitals", F.col("s_name"), "3", "4")).otherwise(of(title, "### LATE", "# second"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(workspace.header_first(texts), "|").alias("texts"))
+
+
+# ---- pages put together from glyphs, strokes and parts; edits of several passes
+
+
+def page_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as words on the pages of their suppliers, in one to three columns."""
+    kind = F.col("l_suppkey") % 5
+    row, column = F.col("l_orderkey") % 30, F.col("l_partkey") % 3
+    start = F.when(kind == 0, 40).when(kind == 2, F.element_at(F.array(*map(F.lit, (40, 230, 420))), (column + 1).cast("int"))).when(kind == 4, F.when(column == 0, 430).otherwise(40)).otherwise(F.when(column == 0, 330).otherwise(40))
+    x0 = start + F.floor(F.col("l_orderkey") / 30) % 4 * 12 + F.col("l_partkey") % 16 * 0.01
+    pool = F.array(*map(F.lit, ["Alpha", "beta,", "gamma", "DELTA", "of", "Epsilon.", "12", "zeta", "ETA", "•", "theta;", "- iota"]))
+    word = F.element_at(pool, (F.col("l_partkey") % 12 + 1).cast("int"))
+    text = F.when((kind == 4) & (column == 0), "ab").when((kind == 3) & (row % 5 == 3), F.when(column == 0, "HEAD").otherwise("TOP")).otherwise(word)
+    size = F.when(row == 0, 24.0).when(row % 9 == 4, 14.0).otherwise(10.0)
+    top = row * 26 + F.col("l_linenumber") % 3 * 0.5
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("glyph_no"), x0.cast("double").alias("x0"), (x0 + 30).cast("double").alias("x1"), top.cast("double").alias("top"), (top + size).cast("double").alias("bottom"), text.alias("text"), size.alias("size"), (F.col("l_quantity") > 45).alias("bold"), (F.col("l_quantity") < 3).alias("italic"))
+
+
+@query()
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_texts(page_glyphs(spark, sf_dir))
+
+
+@query()
+def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as glyphs all over their suppliers' pages."""
+    x = table(spark, sf_dir, "lineitem")
+    top = F.col("l_partkey") * 7 % 1500 + F.col("l_linenumber") * 0.25
+    x = x.select(F.col("l_suppkey").alias("page"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("glyph_no"), (F.col("l_orderkey") % 500).cast("double").alias("x0"), top.alias("top"), (top + F.col("l_quantity") % 9 + 1).alias("bottom"))
+    return layout.line_clusters(x).select("page", "glyph_no", "line_no")
+
+
+@query()
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents, whole again where they were wrapped."""
+    x = lines.lines(table(spark, sf_dir, "documents"))
+    mark = F.regexp_extract("line", r"^(#{1,3}) ", 1)
+    items = x.select("doc_id", "line_no", F.when(mark != "", F.substr(F.col("line"), F.length(mark) + 2)).otherwise(F.col("line")).alias("text"), F.length(mark).alias("level"))
+    return pages.joined_lines(items, ["doc_id"], ["line_no"]).select("doc_id", "item_no", "level", "text")
+
+
+CARDS_SQL = r"""c AS (SELECT p_partkey AS doc_id, unnest([1, 2, 3]) AS col,
+  unnest([CASE WHEN p_size % 3 = 0 THEN p_size || chr(10) ELSE '' END || p_brand || chr(10) || p_name || chr(10) || p_type,
+          CASE WHEN p_size % 4 = 0 THEN p_type || chr(10) ELSE '' END || CASE WHEN p_size % 5 = 0 THEN lower(p_name) ELSE 'Kind' END || chr(10) || p_type || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'size ' || p_size ELSE '' END,
+          CASE WHEN p_size % 7 = 0 THEN 'Price' ELSE 'Price' || chr(10) || p_retailprice::INT END]) AS cell FROM part),
+l AS (SELECT doc_id, col, list_filter(list_transform(string_split(cell, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS lines FROM c),
+n AS (SELECT doc_id, col, CASE WHEN regexp_matches(lines[1], '^\d{1,3}$') THEN lines[2:] ELSE lines END AS lines FROM l),
+u AS (SELECT doc_id, col, CASE WHEN len(lines) >= 3 AND upper(lines[1]) = lines[1] AND lower(lines[1]) <> lines[1] AND (len(string_split(lines[1], ' ')) <= 2 OR length(lines[1]) <= 5) THEN lines[2:] ELSE lines END AS lines FROM n),
+r AS (SELECT doc_id, col, CASE WHEN col = 2 AND len(lines) >= 3 THEN lines[1] END AS title, CASE WHEN col = 2 AND len(lines) >= 3 THEN lines[2:] ELSE lines END AS lines FROM u),
+h AS (SELECT doc_id, max(title) AS title, list(coalesce(lines[1], '') ORDER BY col) AS header, list(array_to_string(coalesce(lines[2:], []), '<br>') ORDER BY col) AS body FROM r GROUP BY 1),
+b AS (SELECT *, len(list_filter(header, lambda h: h <> '' AND (regexp_matches(h, '^\p{Ll}') OR length(string_split(h, ' ')[-1]) <= 1 OR len(string_split(h, ' ')) > 5))) > 0 AS bad FROM h)"""
+
+
+@query(f"""WITH {CARDS_SQL} SELECT doc_id, 1 AS table_no, CASE WHEN bad THEN 'rejected' ELSE 'cards' END AS verdict, CASE WHEN NOT bad THEN title END AS title, CASE WHEN NOT bad THEN array_to_string(header, ' / ') END AS header, CASE WHEN NOT bad THEN array_to_string(body, ' / ') END AS body FROM b""")
+def card_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a table of three cards on one row."""
+    nl, when = F.lit("\n"), lambda k, of: F.when(F.col("p_size") % k == 0, of).otherwise("")
+    size, price = F.col("p_size").cast("string"), F.round("p_retailprice").cast("int").cast("string")
+    one = F.concat(when(3, F.concat(size, nl)), "p_brand", nl, "p_name", nl, "p_type")
+    two = F.concat(when(4, F.concat("p_type", nl)), F.when(F.col("p_size") % 5 == 0, F.lower("p_name")).otherwise("Kind"), nl, "p_type", when(2, F.concat(F.lit("\nsize "), size)))
+    three = F.when(F.col("p_size") % 7 == 0, "Price").otherwise(F.concat(F.lit("Price\n"), price))
+    x = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("table_no"), F.lit(1).alias("row_no"), F.array(one, two, three).alias("cells"))
+    text = lambda c: F.array_join(c, " / ").alias(c)
+    return pages.card_tables(x).select("doc_id", "table_no", "verdict", "title", text("header"), text("body"))
+
+
+@query()
+def joined_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as the elements of their suppliers' documents, tables of one to three rows among them."""
+    x = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_partkey") % 4 == 0, "text").when(F.col("l_partkey") % 4 == 1, "page_break").otherwise("table")
+    x = x.select(F.col("l_suppkey").alias("doc_id"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("elem_no"), kind.alias("type"), (F.col("l_orderkey") % 200).alias("n_chars"), (F.col("l_partkey") % 2 + 2).cast("int").alias("n_cols"), F.col("l_quantity").cast("int").alias("q"), "l_linenumber").distinct()
+    own = x.where("type = 'table'")
+    columns = own.select("doc_id", "elem_no", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col_no"), "q")
+    shift = (F.col("q") * (F.col("col_no") + 3)) % 90 - 45
+    columns = columns.select("doc_id", "elem_no", "col_no", (F.col("col_no") * 100 + shift).alias("x0"), (F.col("col_no") * 100 + shift + 80).alias("x1"))
+    rows = own.select("doc_id", "elem_no", "n_cols", "q", F.explode(F.sequence(F.lit(1), F.col("q") % 3 + 1)).alias("row_no"))
+    cell = lambda k: F.when((F.col("q") + F.col("row_no") * 7 + k * 5) % 3 == 0, "").otherwise(F.concat(F.lit("c"), (F.col("q") + k).cast("string"), F.when((F.col("q") + k) % 4 == 0, ".").otherwise("")))
+    rows = rows.select("doc_id", "elem_no", "row_no", F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), cell).alias("cells"))
+    return tables.joined(x.select("doc_id", "elem_no", "type", "n_chars", "n_cols"), columns, rows).select("doc_id", "table_no", "row_no", F.array_join("cells", " | ").alias("cells"))
+
+
+def page_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as boxes and rules on their suppliers' pages, on a grid that isn't drawn exactly."""
+    near = lambda c, k: F.col(c) % k * 0.5
+    column, row, kind = F.col("l_partkey") % 6, F.col("l_orderkey") % 40, F.col("l_linenumber") % 3
+    x0, top = column * 60 + near("l_partkey", 3), row * 40 + near("l_orderkey", 3)
+    x1 = F.when(kind == 1, x0).otherwise(x0 + 60 + near("l_suppkey", 2))
+    bottom = F.when(kind == 2, top).otherwise(top + F.when(row % 4 == 3, 30).otherwise(40))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), x0.cast("double").alias("x0"), top.cast("double").alias("top"), x1.cast("double").alias("x1"), bottom.cast("double").alias("bottom"))
+
+
+@query()
+def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulings.ruled_tables(page_strokes(spark, sf_dir))
+
+
+@query()
+def chosen_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as edits of the texts of their suppliers, of three passes."""
+    start = F.col("l_orderkey") * 13 % 20_000
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("priority"), start.alias("start"), (start + F.when(F.col("l_partkey") % 10 == 0, 0).otherwise(F.col("l_quantity").cast("long") * 4)).alias("end"), F.col("l_partkey").cast("string").alias("new"))
+    return splices.chosen(x)
+
+
+PREVIEW_SQL = """
+WITH p AS (SELECT c_custkey AS doc_id, '<br>' || c_name || '<BR/>' AS a, c_custkey % 2 = 0 AS video, lpad((c_custkey % 60)::VARCHAR, 2, '0') AS sec, 'a/' || c_custkey % 7 || '.png' AS src FROM customer)
+SELECT doc_id, '# ' || doc_id || chr(10) || CASE WHEN video THEN 'https://youtu.be/abcdefghijk ' ELSE '' END || replace(replace(a, '<br>', chr(10)), '<BR/>', chr(10)) || chr(10)
+ || '| x' || chr(8232) || 'y | z |' || chr(10) || CASE WHEN video THEN '**[[⏱️ 01:' || sec || ']](yt://abcdefghijk?t=' || (60 + doc_id % 60) || ')**' ELSE '**[01:' || sec || ']**' END || chr(10)
+ || '[![pic](' || CASE WHEN doc_id % 7 < 3 THEN 'data:' || src ELSE src END || ')](imgaction://select?src=' || src || '&idx=0&start=' || (length('# ' || doc_id || CASE WHEN video THEN 'https://youtu.be/abcdefghijk ' ELSE '' END || a || '| x<br>y | z |' || '**[01:' || sec || ']**') + 4) || ')' || chr(10)
+ || '```' || chr(10) || '![pic](b.png)<br>' || chr(10) || '```' || chr(10) || '![Mermaid Diagram](https://mermaid.ink/img/' || base64(('{"code":"graph ' || doc_id || '"}')::BLOB) || ')' AS text FROM p"""
+
+
+@query(PREVIEW_SQL)
+def previews_spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown made of every customer, and what is shown of it."""
+    key, nl = F.col("c_custkey").cast("string"), F.lit("\n")
+    src = F.concat(F.lit("a/"), (F.col("c_custkey") % 7).cast("string"), F.lit(".png"))
+    second = F.lpad((F.col("c_custkey") % 60).cast("string"), 2, "0")
+    text = F.concat(F.lit("# "), key, nl, F.when(F.col("c_custkey") % 2 == 0, "https://youtu.be/abcdefghijk ").otherwise(""), F.lit("<br>"), "c_name", F.lit("<BR/>\n| x<br>y | z |\n**[01:"), second, F.lit("]**\n![pic]("), src, F.lit(")\n```\n![pic](b.png)<br>\n```\n```mermaid\ngraph "), key, F.lit("\n```"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    assets = table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.concat(F.lit("a/"), F.col("n_nationkey").cast("string"), F.lit(".png")).alias("src")).withColumn("uri", F.concat(F.lit("data:"), "src"))
+    return splices.previews(docs, assets)

@@ -48,7 +48,3 @@ def sessions(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataF
     """Counts of events by session, with a watermark for late ones."""
     return events.withWatermark(at, late).groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("begins"), F.col("w.end").alias("ends"), "n")
 
-
-def current_loads(results: DataFrame, at: str, late: str) -> DataFrame:
-    """Load results, each generation of a document once within the watermark."""
-    return results.withWatermark(at, late).dropDuplicatesWithinWatermark(["doc_id", "generation"])

@@ -6,9 +6,10 @@ import math
 import re
 
 import duckdb
+import plain_pages
 import pytest
 
-from folio.queries import ORACLES, QUERIES
+from folio.queries import ORACLES, QUERIES, page_glyphs, page_strokes
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -134,8 +135,89 @@ def check_columns(spark, got):
     assert {(r["doc_id"], r["table_no"], r["row_no"]): r["n_cells"] for r in got} == want
 
 
+def glyph_pages(spark):
+    by: dict = {}
+    for r in page_glyphs(spark, DIR).collect():
+        by.setdefault(r["page"], []).append(r.asDict())
+    return by
+
+
+def check_page_texts(spark, got):
+    assert {r["page"]: (r["layout"], r["text"]) for r in got} == {p: plain_pages.page_text(g) for p, g in glyph_pages(spark).items()}
+
+
+def check_glyph_lines(spark, got):
+    pages: dict = {}
+    for r in rows_of(spark, "lineitem"):
+        top = r["l_partkey"] * 7 % 1500 + r["l_linenumber"] * 0.25
+        pages.setdefault(r["l_suppkey"], []).append({"glyph_no": (r["l_orderkey"] * 8 + r["l_linenumber"]) * 1_000_000 + r["l_partkey"], "x0": float(r["l_orderkey"] % 500), "top": top, "bottom": top + r["l_quantity"] % 9 + 1})
+    mine: dict = {}
+    for r in got:
+        mine.setdefault((r["page"], r["line_no"]), []).append(r["glyph_no"])
+    for p, of in pages.items():
+        for k, line in enumerate(plain_pages.lines_of(of), 1):
+            assert sorted(mine.pop((p, k))) == sorted(g["glyph_no"] for g in line)
+    assert not mine
+
+
+def check_merged_lines(spark, got):
+    mine: dict = {}
+    for r in sorted(got, key=lambda r: r["item_no"]):
+        mine.setdefault(r["doc_id"], []).append((r["text"], r["level"]))
+    for r in rows_of(spark, "documents"):
+        items = []
+        for line in (r["text"] or "").split("\n"):
+            m = re.match(r"(#{1,3}) ", line)
+            items.append((line[m.end() :] if m else line, len(m[1]) if m else 0))
+        assert mine.get(r["doc_id"], []) == plain_pages.joined(items)
+
+
+def check_joined_tables(spark, got):
+    docs: dict = {}
+    for r in rows_of(spark, "lineitem"):
+        key, n = r["l_partkey"], int(r["l_quantity"])
+        no = (r["l_orderkey"] * 8 + r["l_linenumber"]) * 100_000 + key
+        docs.setdefault(r["l_suppkey"], {})[no] = (["text", "page_break", "table", "table"][key % 4], r["l_orderkey"] % 200, key % 2 + 2, n)
+    mine: dict = {}
+    for r in sorted(got, key=lambda r: (r["table_no"], r["row_no"])):
+        mine.setdefault(r["doc_id"], {}).setdefault(r["table_no"], []).append(r["cells"])
+    for d, of in docs.items():
+        elements = [(no, kind, chars, cols) for no, (kind, chars, cols, _) in sorted(of.items())]
+        columns, rows = {}, {}
+        for no, (_, _, cols, q) in of.items():
+            shift = [q * (k + 3) % 90 - 45 for k in range(cols)]
+            columns[no] = [(k * 100 + s, k * 100 + s + 80) for k, s in enumerate(shift)]
+            rows[no] = [["" if (q + row * 7 + k * 5) % 3 == 0 else f"c{q + k}" + "." * ((q + k) % 4 == 0) for k in range(cols)] for row in range(1, q % 3 + 2)]
+        want: dict = {}
+        for k, cells in plain_pages.joined_tables(elements, columns, rows):
+            want.setdefault(k, []).append(" | ".join(cells))
+        assert mine[d] == want
+
+
+def check_ruled_tables(spark, got):
+    pages: dict = {}
+    for r in page_strokes(spark, DIR).collect():
+        pages.setdefault(r["page"], []).append((r["x0"], r["top"], r["x1"], r["bottom"]))
+    mine: dict = {}
+    for r in got:
+        mine.setdefault(r["page"], []).append((r["table_no"], r["row_no"], r["col_no"], *(round(r[c], 6) for c in ("x0", "top", "x1", "bottom"))))
+    for p, of in pages.items():
+        assert sorted(mine.get(p, [])) == sorted((*c[:3], *(round(x, 6) for x in c[3:])) for c in plain_pages.ruled(of))
+
+
+def check_chosen_edits(spark, got):
+    docs: dict = {}
+    for r in rows_of(spark, "lineitem"):
+        start = r["l_orderkey"] * 13 % 20_000
+        docs.setdefault(r["l_suppkey"], []).append((r["l_linenumber"] % 3, start, start + (0 if r["l_partkey"] % 10 == 0 else int(r["l_quantity"]) * 4), str(r["l_partkey"])))
+    mine: dict = {}
+    for r in got:
+        mine.setdefault(r["doc_id"], []).append((r["priority"], r["start"], r["end"], r["new"]))
+    assert {d: sorted(x) for d, x in mine.items()} == {d: sorted(plain_pages.chosen(x)) for d, x in docs.items()}
+
+
 #: Queries that SQL can't express, held against plain versions.
-PLAIN = {"inline_segments": check_inline, "html_to_md": check_pages, "pages_to_documents": lambda spark, got: check_pages(spark, got, "path"), "transcript_groups": check_groups, "transcript_documents": check_transcripts, "clause_numbers": check_clauses, "slide_pages": check_slides, "merged_columns": check_columns}
+PLAIN = {"page_texts": check_page_texts, "glyph_lines": check_glyph_lines, "merged_lines": check_merged_lines, "joined_tables": check_joined_tables, "ruled_tables": check_ruled_tables, "chosen_edits": check_chosen_edits, "inline_segments": check_inline, "html_to_md": check_pages, "pages_to_documents": lambda spark, got: check_pages(spark, got, "path"), "transcript_groups": check_groups, "transcript_documents": check_transcripts, "clause_numbers": check_clauses, "slide_pages": check_slides, "merged_columns": check_columns}
 
 
 def plain(v):
