@@ -1088,7 +1088,7 @@ def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 CARDS_SQL = r"""c AS (SELECT p_partkey AS doc_id, unnest([1, 2, 3]) AS col,
   unnest([CASE WHEN p_size % 3 = 0 THEN p_size || chr(10) ELSE '' END || p_brand || chr(10) || p_name || chr(10) || p_type,
           CASE WHEN p_size % 4 = 0 THEN p_type || chr(10) ELSE '' END || CASE WHEN p_size % 5 = 0 THEN lower(p_name) ELSE 'Kind' END || chr(10) || p_type || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'size ' || p_size ELSE '' END,
-          CASE WHEN p_size % 7 = 0 THEN 'Price' ELSE 'Price' || chr(10) || p_retailprice::INT END]) AS cell FROM part),
+          CASE WHEN p_size % 7 = 0 THEN 'Price' ELSE 'Price' || chr(10) || floor(p_retailprice)::INT END]) AS cell FROM part),
 l AS (SELECT doc_id, col, list_filter(list_transform(string_split(cell, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS lines FROM c),
 n AS (SELECT doc_id, col, CASE WHEN regexp_matches(lines[1], '^\d{1,3}$') THEN lines[2:] ELSE lines END AS lines FROM l),
 u AS (SELECT doc_id, col, CASE WHEN len(lines) >= 3 AND upper(lines[1]) = lines[1] AND lower(lines[1]) <> lines[1] AND (len(string_split(lines[1], ' ')) <= 2 OR length(lines[1]) <= 5) THEN lines[2:] ELSE lines END AS lines FROM n),
@@ -1101,7 +1101,7 @@ b AS (SELECT *, len(list_filter(header, lambda h: h <> '' AND (regexp_matches(h,
 def card_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as a table of three cards on one row."""
     nl, when = F.lit("\n"), lambda k, of: F.when(F.col("p_size") % k == 0, of).otherwise("")
-    size, price = F.col("p_size").cast("string"), F.round("p_retailprice").cast("int").cast("string")
+    size, price = F.col("p_size").cast("string"), F.floor("p_retailprice").cast("string")
     one = F.concat(when(3, F.concat(size, nl)), "p_brand", nl, "p_name", nl, "p_type")
     two = F.concat(when(4, F.concat("p_type", nl)), F.when(F.col("p_size") % 5 == 0, F.lower("p_name")).otherwise("Kind"), nl, "p_type", when(2, F.concat(F.lit("\nsize "), size)))
     three = F.when(F.col("p_size") % 7 == 0, "Price").otherwise(F.concat(F.lit("Price\n"), price))
@@ -1115,7 +1115,8 @@ def joined_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as the elements of their suppliers' documents, tables of one to three rows among them."""
     x = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_partkey") % 4 == 0, "text").when(F.col("l_partkey") % 4 == 1, "page_break").otherwise("table")
-    x = x.select(F.col("l_suppkey").alias("doc_id"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("elem_no"), kind.alias("type"), (F.col("l_orderkey") % 200).alias("n_chars"), (F.col("l_partkey") % 2 + 2).cast("int").alias("n_cols"), F.col("l_quantity").cast("int").alias("q"), "l_linenumber").distinct()
+    x = x.select(F.col("l_suppkey").alias("doc_id"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("elem_no"), kind.alias("type"), (F.col("l_orderkey") % 200).alias("n_chars"), (F.col("l_partkey") % 2 + 2).cast("int").alias("n_cols"), F.col("l_quantity").cast("int").alias("q"))
+    x = x.groupBy("doc_id", "elem_no", "type", "n_chars", "n_cols").agg(F.max("q").alias("q"))
     own = x.where("type = 'table'")
     columns = own.select("doc_id", "elem_no", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col_no"), "q")
     shift = (F.col("q") * (F.col("col_no") + 3)) % 90 - 45

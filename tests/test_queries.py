@@ -177,7 +177,8 @@ def check_joined_tables(spark, got):
     for r in rows_of(spark, "lineitem"):
         key, n = r["l_partkey"], int(r["l_quantity"])
         no = (r["l_orderkey"] * 8 + r["l_linenumber"]) * 100_000 + key
-        docs.setdefault(r["l_suppkey"], {})[no] = (["text", "page_break", "table", "table"][key % 4], r["l_orderkey"] % 200, key % 2 + 2, n)
+        of = docs.setdefault(r["l_suppkey"], {})
+        of[no] = (["text", "page_break", "table", "table"][key % 4], r["l_orderkey"] % 200, key % 2 + 2, max(n, of.get(no, (0,) * 4)[3]))
     mine: dict = {}
     for r in sorted(got, key=lambda r: (r["table_no"], r["row_no"])):
         mine.setdefault(r["doc_id"], {}).setdefault(r["table_no"], []).append(r["cells"])
