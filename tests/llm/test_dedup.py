@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from folio.llm import minhash
 from folio.llm.graph import components
 from folio.llm.minhash import jaccard_dedup
 from folio.llm.simhash import fingerprint, near_dedup, simhash_groups
@@ -126,6 +127,44 @@ def test_stage_drops_edited_copies(spark):
     assert sorted(got) == sorted(set(root)) and len(got) < len(texts) - 8
 
 
+def families(n, seed=5):
+    """Texts on one template: pairs of a family have a likeness of about 0.84, others of about 0.6."""
+    rng, out = random.Random(seed), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    template = [word() for _ in range(400)]
+    for _ in range(n // 2):
+        base = template[:]
+        for at in rng.sample(range(400), 10):
+            base[at] = word()
+        near = base[:]
+        for at in rng.sample(range(400), 7):
+            near[at] = word()
+        out += [" ".join(base), " ".join(near)]
+    return out
+
+
+@pytest.mark.parametrize("n", [1000])
+def test_no_link_is_lost_in_a_crowd(spark, n):
+    texts = families(n)
+    group = {r["doc_id"]: r["group"] for r in minhash.jaccard_groups(frame(spark, texts)).collect()}
+    alike = [k for k in range(0, n, 2) if brute_likeness(texts[k], texts[k + 1]) >= 0.8]
+    linked = sum(group[k] == group[k + 1] for k in alike)
+    assert len(alike) > 0.45 * n and linked >= 0.99 * len(alike)
+    # what is joined is a family, or a pair that is really alike
+    by = {}
+    for k, g in group.items():
+        by.setdefault(g, []).append(k)
+    for of in by.values():
+        assert len(of) == 1 or all(any(brute_likeness(texts[k], texts[j]) >= 0.8 for j in of if j != k) for k in of)
+
+
+def test_whatever_stays_crowded_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LEVELS", 1)
+    texts = families(300)
+    group = {r["doc_id"]: r["group"] for r in minhash.jaccard_groups(frame(spark, texts)).collect()}
+    assert all((group[k] == group[k + 1]) == (brute_likeness(texts[k], texts[k + 1]) >= 0.8) for k in range(0, 300, 2))
+
+
 def test_stage_keeps_odd_rows(spark):
     d = frame(spark, ["a b c d e f", None, "", "a b c d e f"])
     odd = d.union(d.withColumn("doc_id", F.lit(None).cast("long")))
