@@ -8,7 +8,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.names import column
+from folio.llm.names import column, unused
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -21,6 +21,8 @@ STEPS: list[tuple[str, str]] = [
     (r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|br|hr|tr|table|article|section|nav|header|footer|blockquote|pre|body)\b[^>]*>", "\n"),
     (r"</?[A-Za-z!][^>]*>", ""),
 ]
+#: What holds no title, language or link of a page, as it is never shown; a title is text, whatever it holds.
+SILENT = r"(?is)(<title\b.*?</title\s*>)|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 #: A character's name or number, after its ampersand.
 REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 #: Code points by name, as the standard library has them.
@@ -97,15 +99,18 @@ def derive(records: DataFrame) -> DataFrame:
     header and block make up the record as it stands in a file; content_length
     counts the block's bytes. The metadata block holds title, language, charset,
     the source's HTTP status and all its HTTP fields, its payload's digest, and each
-    outlink in order; attributes may be quoted either way or not at all. The header
+    outlink in order; attributes may be quoted either way or not at all, and what
+    stands in scripts, styles and comments is none of the page's. The header
     has the digests of the record itself and that of the source's payload. Equal
     responses give equal records, so repeated rows can be told by their ids. Pages
     without any text get an empty conversion block.
     """
-    extract = lambda p: F.regexp_extract("payload", p, 1)
+    (live,) = unused(records.columns, "live")
+    records = records.withColumn(live, F.regexp_replace("payload", F.lit(SILENT), F.lit("$1 ")))
+    extract = lambda p: F.regexp_extract(live, p, 1)
     tidy = lambda x: F.btrim(F.regexp_replace(x, r"[ \t\r\n\f]+", " "))
     field = lambda name, x: F.when(x != "", F.concat(F.lit(f"{name}: "), x, F.lit("\r\n"))).otherwise("")
-    links = F.array_join(F.transform(F.regexp_extract_all("payload", F.lit(LINK), 1), lambda u: F.concat(F.lit("outlink: "), tidy(decoded(unquoted(u))), F.lit(" L a/@href\r\n"))), "")
+    links = F.array_join(F.transform(F.regexp_extract_all(live, F.lit(LINK), 1), lambda u: F.concat(F.lit("outlink: "), tidy(decoded(unquoted(u))), F.lit(" L a/@href\r\n"))), "")
     http = F.array_join(F.transform(F.regexp_extract_all("http_header", F.lit(r"\r\n([^:\r\n]+:[^\r\n]*)"), 1), lambda x: F.concat(F.lit("http-"), F.lower(F.substring_index(x, ":", 1)), F.lit(": "), F.btrim(F.substr(x, F.instr(x, ":") + 1)), F.lit("\r\n"))), "")
     meta = F.concat(
         field("title", tidy(decoded(extract(TITLE)))),
@@ -154,10 +159,10 @@ def oracle() -> str:
         text = f"regexp_replace({text}, {_sql(pattern)}, {_sql(to)}, 'g')"
     urn = lambda h: f"'<urn:uuid:' || substr({h},1,8) || '-' || substr({h},9,4) || '-' || substr({h},13,4) || '-' || substr({h},17,4) || '-' || substr({h},21,12) || '>'"
     field = lambda name, x: f"CASE WHEN {x} <> '' THEN '{name}: ' || {x} || chr(13) || chr(10) ELSE '' END"
-    get = lambda p: f"regexp_extract(html, {_sql(p)}, 1)"
+    get = lambda p: f"regexp_extract(live, {_sql(p)}, 1)"
     tidy = lambda x: f"trim(regexp_replace({x}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
     bare = lambda x: f"regexp_replace({x}, {_sql(QUOTES)}, '', 'g')"
-    links = f"array_to_string(list_transform(regexp_extract_all(html, {_sql(LINK)}, 1), lambda u: 'outlink: ' || {tidy(read(bare('u')))} || ' L a/@href' || chr(13) || chr(10)), '')"
+    links = f"array_to_string(list_transform(regexp_extract_all(live, {_sql(LINK)}, 1), lambda u: 'outlink: ' || {tidy(read(bare('u')))} || ' L a/@href' || chr(13) || chr(10)), '')"
     http = [field("http-status", "'200'"), field("http-content-type", "'text/html; charset=utf-8'"), field("http-content-length", "strlen(html)::VARCHAR")]
     meta = " || ".join([field("title", tidy(read(get(TITLE)))), field("language", tidy(read(bare(get(LANG))))), field("charset", get(CHARSET)), *http, field("source-digest", "payload_digest"), links])
     lines = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", f"'{DATE}'"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", f"'{DATE}'"), ("WARC-Refers-To-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
@@ -166,7 +171,7 @@ def oracle() -> str:
     WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html, {names} AS names FROM pages),
     d AS (SELECT *, 'sha256:' || sha256(html) AS payload_digest FROM p),
     r AS (SELECT *, md5('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || target_uri || chr(10) || payload_digest) AS h FROM d),
-    s AS (SELECT *, {urn("h")} AS refers_to FROM r),
+    s AS (SELECT *, {urn("h")} AS refers_to, regexp_replace(html, {_sql(SILENT)}, '\\1 ', 'g') AS live FROM r),
     m AS (SELECT page_id, 'metadata' AS warc_type, refers_to, target_uri, 'application/warc-fields' AS content_type, payload_digest, {meta} AS block FROM s
           UNION ALL SELECT page_id, 'conversion', refers_to, target_uri, 'text/plain; charset=utf-8', payload_digest, trim({text}, ' ' || chr(10)) FROM s),
     n AS (SELECT *, md5('derived' || chr(10) || warc_type || chr(10) || refers_to) AS g FROM m),

@@ -548,6 +548,17 @@ def test_odd_pages_like_their_sql(spark):
     assert "http-content-type: text/html; charset=utf-8\r\nhttp-content-length: 8\r\n" in [b for (i, k), b in got.items() if i == 7 and k == "metadata"][0].replace("length: 9", "length: 8")
 
 
+def test_what_a_page_never_shows_is_not_its_own(spark):
+    page = """<!-- <html lang="xx"><title>old</title><a href="/gone">g</a> --><html lang="en"><script>var t = "<a href='/js'>j</a><title>no</title>";</script>
+<style>a { content: "<a href=/css>" }</style><title>New <!-- and --> old</title><body><a href='/real'>r</a><SCRIPT type=x><a href=/too></SCRIPT ><a href="/last">l</a>"""
+    pages = spark.createDataFrame([(1, "http://x/", page), (2, "u", "<script>never closed <a href=/a>")], "page_id long, url string, html string").withColumn("live", F.lit("own"))
+    got = {(r.page_id, r.warc_type): r.block for r in warc.derive(warc.responses(pages)).collect()}
+    meta = got[1, "metadata"]
+    assert re.findall("outlink: (.*) L a/@href", meta) == ["/real", "/last"]
+    assert "title: New <!-- and --> old\r\n" in meta and "language: en\r\n" in meta
+    assert rows_of(warc.derive(warc.responses(pages))) == by_sql(warc.oracle(), pages=pages.drop("live"))
+
+
 def test_long_and_odd_dialogues_like_their_sql(spark):
     rng = random.Random(3)
     rows = [(1, rng.choice([None, 5, 5, rng.randrange(4000)]), rng.choice(["ann", "bob", "system", None, "c d"]), rng.choice(["x", "hello there", None, "", "<|im_end|>"])) for _ in range(3000)]
