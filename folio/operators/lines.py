@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folio.functions.text import is_separator, strip
 
@@ -112,23 +114,33 @@ def slides(rows: DataFrame) -> DataFrame:
     s = strip(F.col("line"))
     head = s.rlike(r"^#{1,3}\s+\S") & ~s.rlike(r"(?i)^#{1,3}\s*notes:") & ~F.col("in_code") & ~F.col("is_fence")
     x = rows.withColumns({"_dash": dash, "_any": F.max(dash).over(W.partitionBy("doc_id")), "_head": head, "_blank": s == ""})
-    divided = x.where("_any and not _dash").join(x.where("_any").select("doc_id", "line_no", (F.sum(F.col("_dash").cast("int")).over(by_line()) + 1).alias("slide_no")), ["doc_id", "line_no"])
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, no, filled = None, 1, 0
-        for f in frames:
-            out = []
-            for doc, is_head, blank in zip(f.doc_id, f["_head"], f["_blank"], strict=True):
-                if doc != at:
-                    at, no, filled = doc, 1, 0
-                elif is_head and filled >= 2:
-                    no, filled = no + 1, 0
-                filled += not blank
-                out.append(no)
-            yield f.assign(slide_no=out)[["doc_id", "line_no", "slide_no"]]
-
-    whole = x.where("not _any")
-    dealt = whole.select("doc_id", "line_no", "_head", "_blank").repartition("doc_id").sortWithinPartitions("doc_id", "line_no")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    cut = whole.join(dealt.mapInPandas(fold, f"doc_id {kind}, line_no int, slide_no long"), ["doc_id", "line_no"])
-    return divided.select(*rows.columns, "slide_no").unionByName(cut.select(*rows.columns, "slide_no"))
+    divided = x.where("_any").withColumn("slide_no", F.sum(F.col("_dash").cast("int")).over(by_line()) + 1).where("not _dash")
+
+    def number(state: list, doc: object, is_head: bool, blank: bool) -> int:
+        if not state or doc != state[0]:
+            state[:] = [doc, 1, 0]
+        elif is_head and state[2] >= 2:
+            state[1:] = [state[1] + 1, 0]
+        state[2] += not blank
+        return state[1]
+
+    dealt = x.where("not _any").repartition("doc_id").sortWithinPartitions("doc_id", "line_no")
+    cut = carried(dealt, rows.columns, ["doc_id", "_head", "_blank"], number, "slide_no", T.LongType())
+    return divided.select(*rows.columns, "slide_no").unionByName(cut)
+
+
+def carried(dealt: DataFrame, keep: list[str], given: list[str], step: Callable[..., int], name: str, kind: T.DataType) -> DataFrame:
+    """Rows in order with a number more: what step makes of its own state, an empty
+    list at first, and the given columns. The kept columns go through as they are, so
+    nothing has to meet its row again: how many rows come of a text is no table's
+    size to Spark, and such a join would be broadcast by way of the driver."""
+    schema = T.StructType([*(dealt.schema[c] for c in keep), T.StructField(name, kind)])
+    wanted = list(dict.fromkeys([*keep, *given]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = []
+        for b in batches:
+            out = [step(state, *row) for row in zip(*(b.column(wanted.index(c)).to_pylist() for c in given), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(wanted.index(c)) for c in keep), pa.array(out, to_arrow_type(kind))], [*keep, name])
+
+    return dealt.select(*wanted).mapInArrow(run, schema)
