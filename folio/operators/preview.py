@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.text import strip, timestamp_seconds, video_id
-from folio.operators.lines import by_line
+from folio.operators.lines import by_line, carried
 
 #: Extensions of media types.
 MEDIA = {"audio/mpeg": ".mp3", "audio/mp4": ".m4a", "audio/wav": ".wav", "audio/x-wav": ".wav", "audio/ogg": ".ogg", "audio/flac": ".flac", "video/mp4": ".mp4", "video/webm": ".webm", "video/quicktime": ".mov", "video/x-matroska": ".mkv"}
@@ -63,22 +62,23 @@ def slide_pages(heights: DataFrame, most: float = 5.0) -> DataFrame:
     begins where the height would pass ``most``. Pages depend on where the one
     before broke; lines come in order and only a sum is held."""
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, page, used = None, 1, 0.0
-        for x in frames:
-            out = []
-            for key, h in zip(zip(x.doc_id, x.slide_no, strict=True), x.height, strict=True):
-                if key != at:
-                    at, page, used = key, 1, 0.0
-                elif used + h > most:
-                    page, used = page + 1, 0.0
-                used += h
-                out.append(page)
-            yield x.assign(page=out)[["doc_id", "slide_no", "line_no", "page"]]
-
-    kinds = ", ".join(f"{c} {heights.schema[c].dataType.simpleString()}" for c in ("doc_id", "slide_no", "line_no"))
-    dealt = heights.select("doc_id", "slide_no", "line_no", "height").repartition("doc_id", "slide_no").sortWithinPartitions("doc_id", "slide_no", "line_no")
-    return dealt.mapInPandas(fold, f"{kinds}, page int")
+    return on_pages(heights.select("doc_id", "slide_no", "line_no", "height"), most).drop("height")
+
+
+def on_pages(heights: DataFrame, most: float = 5.0) -> DataFrame:
+    """slide_pages() with all columns of the lines."""
+
+    def page(state: list, doc: object, slide: object, height: float | None) -> int:
+        height = height or 0.0
+        if state[:2] != [doc, slide]:
+            state[:] = [doc, slide, 1, 0.0]
+        elif state[3] + height > most:
+            state[2:] = [state[2] + 1, 0.0]
+        state[3] += height
+        return state[2]
+
+    dealt = heights.repartition("doc_id", "slide_no").sortWithinPartitions("doc_id", "slide_no", "line_no")
+    return carried(dealt, heights.columns, ["doc_id", "slide_no", "height"], page, "page", T.IntegerType())
 
 
 def fences_repaired(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from folio.functions.text import split_row
 from folio.functions.tree import markdown_to_json, markdown_to_yaml
 from folio.operators.catalog import checked, destinations
 from folio.operators.lines import by_line, classified, fenced, lines, slides
-from folio.operators.preview import line_heights, slide_pages
+from folio.operators.preview import line_heights, on_pages
 from folio.operators.tables import grid
 from folio.runtime import Scratch
 from folio.sources.files import csv_bytes, document, imported, presentation, workbook
@@ -57,8 +57,7 @@ def exported(docs: DataFrame, ext: str) -> DataFrame:
         if ext == ".docx":
             return _packed(_gathered(shown, "line_no", "kind", "level", "cells"), lambda of: document([(r["line_no"], r["kind"], int(r["level"]), list(r["cells"])) for r in of]))
         heights = line_heights(slides(shown)).withColumn("height", F.when(F.col("kind") == "table", 0.4).when(F.col("kind").isin("blank", "separator", "fence"), 0.0).otherwise(F.col("height")))
-        paged = heights.join(slide_pages(heights), ["doc_id", "slide_no", "line_no"])
-        return _packed(_gathered(paged, "line_no", "slide_no", "page", "kind", "level", "cells"), lambda of: presentation([(int(r["slide_no"]), int(r["page"]), r["kind"], int(r["level"]), list(r["cells"])) for r in of]))
+        return _packed(_gathered(on_pages(heights), "line_no", "slide_no", "page", "kind", "level", "cells"), lambda of: presentation([(int(r["slide_no"]), int(r["page"]), r["kind"], int(r["level"]), list(r["cells"])) for r in of]))
     html = docs.select(F.col("path").alias("doc_id")).join(_gathered(html_islands(blocks), "line_no", "html"), "doc_id", "left")
     body = F.coalesce(F.array_join(F.transform("rows", lambda r: r.html), "\n"), F.lit(""))
     return html.select(F.col("doc_id").alias("path"), F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"></head><body>\n'), body, F.lit("\n</body></html>\n")).cast("binary").alias("content"))
@@ -113,5 +112,6 @@ def converted(found: DataFrame, ext: str) -> DataFrame:
     x = x.select("path", F.when(~whole | F.col("problem").isNotNull(), F.col("content")).alias("content"), F.when(whole, F.col("content")).alias("copy"), "problem", whole.alias("whole"))
     read = Scratch(found.sparkSession, "convert").save(imported(x), "read")
     made = exported(read.where("text is not null").select("path", "text"), ext).select(F.col("path").alias("_made"), F.col("content").alias("made"))
-    out = read.drop("text").join(made, F.col("path") == F.col("_made"), "left").join(plan, F.col("path") == F.col("_path"))
+    # what is written has no known size, so contents are sorted to their rows, never broadcast
+    out = read.drop("text").join(made.hint("merge"), F.col("path") == F.col("_made"), "left").join(plan.hint("merge"), F.col("path") == F.col("_path"))
     return out.select("path", "output", F.when(F.col("error").isNull(), "success").otherwise("failed").alias("status"), "error", F.coalesce("copy", "made").alias("content"))
