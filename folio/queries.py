@@ -18,7 +18,7 @@ from folio.functions.inline import segments, stripped
 from folio.functions.tree import json_to_markdown, markdown_to_json
 from folio.operators import catalog, images, layout, lines, pages, preview, rulings, search, splices, tables, transcript, workspace
 from folio.plans import convert
-from folio.runtime import table
+from folio.runtime import spread, table
 from folio.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +70,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MARKDOWN_SQL's documents."""
     key = F.col("c_custkey").cast("string")
     parts = ["# ", F.col("c_name"), "\n- key ", key, "\n- region ", F.col("c_nationkey").cast("string"), "\n**About**\nIn region ", F.col("c_nationkey").cast("string"), ".\n```mermaid\n# a comment\ngraph ", F.col("c_name"), "\n```\n\n---\n\n## Notes\n1. one\n> quoted\n### More\n![map](maps/", key, ".png) and [site](https://example.com/", key, ")"]
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")).select(F.col("c_custkey").alias("doc_id"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
 
 
 @query(rf"""WITH {MARKDOWN_SQL} SELECT doc_id, line_no, is_fence, in_code, CASE WHEN is_fence THEN 'fence' WHEN in_code THEN 'code' ELSE {KIND_SQL} END AS kind FROM mc""")
@@ -601,7 +601,7 @@ FILES = """f AS (SELECT c_custkey AS k, c_name AS n, chr(10) AS e, ['.csv', '.js
 
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each customer in one of five formats, some of them broken."""
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")), F.col("c_custkey")
     key, name = k.cast("string"), F.col("c_name")
     text = (
         F.when(k % 5 == 0, F.concat(F.lit('name,key\n"'), name, F.lit(', the"\n'), key, F.lit(",1,2\n")))
@@ -629,8 +629,9 @@ WHEN 2 THEN '| server |' || e || '| --- |' || e || '|  |' || e || '| • port: 8
 def files_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file to a workbook, and the workbooks read again."""
     made = convert.converted(customer_files(spark, sf_dir), ".xlsx")
-    back = files.imported(made.where("content is not null").select(F.col("output").alias("path"), "content")).select(F.col("path").alias("output"), "text")
-    return made.drop("content").join(back, "output", "left")
+    made = made.select(F.col("output").alias("path"), "content", F.col("content").isNull().alias("whole"), F.col("path").alias("given"), "status", F.col("error").alias("failed"))
+    back = files.imported(made, keep=("given", "status", "failed"))
+    return back.select(F.col("path").alias("output"), F.col("given").alias("path"), "status", F.col("failed").alias("error"), "text")
 
 
 #: Files made of parts: extension, content, and the problem that a check must find.

@@ -332,3 +332,22 @@ def test_columns_that_never_meet_are_merged(spark):
 def test_pages_of_slides(spark):
     x = spark.createDataFrame([(0, 1, i, 2.0) for i in range(5)], "doc_id int, slide_no int, line_no int, height double")
     assert [r.page for r in preview.slide_pages(x).orderBy("line_no").collect()] == [1, 1, 2, 2, 3]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_and_files_are_not_broadcast(spark):
+    """What Spark takes for small, as it can't tell how many lines a text has or how
+    long a written file is, doesn't go through the driver."""
+    docs = spark.createDataFrame([(1, "# a\n\n---\n\nb"), (2, "# a\nx\n## b\ny"), (None, "# c\nx\n## d\ny")], "doc_id long, text string")
+    x = lines.slides(lines.fenced(lines.lines(docs)))
+    assert "Broadcast" not in plan(x)
+    assert sorted([(r.doc_id or 0, r.line_no, r.slide_no) for r in x.collect()]) == [(0, 0, 1), (0, 1, 1), (0, 2, 2), (0, 3, 2), (1, 0, 1), (1, 1, 1), (1, 3, 2), (1, 4, 2), (2, 0, 1), (2, 1, 1), (2, 2, 2), (2, 3, 2)]
+    assert "Broadcast" not in plan(convert.exported(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), ".pptx"))
+    found = docs.where("doc_id > 0").select(F.concat(F.lit("in/"), "doc_id", F.lit(".md")).alias("path"), F.lit(9).cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
+    for ext in (".xlsx", ".pptx"):
+        made = convert.converted(found, ext)
+        assert "Broadcast" not in plan(made)
+        assert sorted((r.path, r.output, r.status, r.content[:2]) for r in made.collect()) == [(f"in/{k}.md", f"in/{k}{ext}", "success", b"PK") for k in (1, 2)]
