@@ -117,7 +117,11 @@ def rows_go_on(last: Column, first: Column) -> Column:
 def words_split(cells: Column) -> Column:
     """Whether words seem to be cut between neighbouring cells: brackets that close
     in the next one, a hyphen at the end, or two letters before a lower-case word."""
-    filled = F.filter(F.transform(cells, strip), lambda c: c != "")
+    return cut_between(F.filter(F.transform(cells, strip), lambda c: c != ""))
+
+
+def cut_between(filled: Column) -> Column:
+    """words_split() of cells that are trimmed and not empty."""
     count = lambda c, s: F.length(c) - F.length(F.replace(c, F.lit(s), F.lit("")))
     after = F.slice(filled, F.lit(2), F.greatest(F.size(filled) - 1, F.lit(0)))
     last, first = lambda c: F.regexp_extract(c, r"(\S+)$", 1), lambda c: F.regexp_extract(c, r"^(\S+)", 1)
@@ -177,7 +181,10 @@ def table_guards(rows: DataFrame) -> DataFrame:
     the short words of a drawing, words cut between cells, or a document's headings
     and lists in a cell - the first that fits. Sums of rows are all that is gathered."""
     filled = F.filter(F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != "")
-    words = F.filter(F.split(F.array_join(filled, " "), r"\s+"), lambda w: w != "")
+    # each step is a column, as one that is written out wherever it is used would be worked out there again
+    rows = rows.withColumn("_filled", filled)
+    filled = F.col("_filled")
+    rows, words = rows.withColumn("_words", F.filter(F.split(F.array_join(filled, " "), r"\s+"), lambda w: w != "")), F.col("_words")
     inside = F.exists(filled, lambda c: c.rlike(r"(?iu)(?:^|\n)(?:#{1,6}\s+|Phần\s+\d+:|Mục\s+\d+\.\d+:|\d+\.\s+Tệp\s+tin)") | ((F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) > 5) & c.rlike(r"(?:^|\n)\s*[-*○•]")))
     x = rows.select(
         "doc_id",
@@ -190,7 +197,7 @@ def table_guards(rows: DataFrame) -> DataFrame:
         F.size(words).alias("words"),
         F.size(F.filter(words, lambda w: F.length(w) <= 2)).alias("short"),
         F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)).alias("letters"),
-        words_split(F.col("cells")).alias("split"),
+        cut_between(filled).alias("split"),
         inside.alias("inside"),
     )
     n = F.sum("words")
