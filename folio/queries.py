@@ -281,7 +281,7 @@ STYLED = [("**{}**", "bold", None), ("*{}*", "italic", None), ("~~{}~~", "strike
 SELECT p_partkey, k, seg_no, text, coalesce(style = 'bold', false) AS bold, coalesce(style = 'italic', false) AS italic, coalesce(style = 'strike', false) AS strike, coalesce(style = 'underline', false) AS underline, coalesce(style = 'code', false) AS code, url, is_image FROM s""")
 def styled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.array(*(F.concat(F.lit("a " + m.split("{}")[0]), F.col("p_name"), F.lit(m.split("{}")[1] + " z")) for m, _, _ in STYLED))
-    x = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(made).alias("k", "line"))
+    x = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", F.posexplode(made).alias("k", "line"))
     return x.select("p_partkey", "k", F.posexplode(segments(F.col("line"))).alias("seg_no", "s")).select("p_partkey", "k", "seg_no", "s.*")
 
 
@@ -1001,7 +1001,7 @@ def filled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trees_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects as Markdown, written as YAML files and read again."""
     made = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("key")))
-    x = table(spark, sf_dir, "customer").select(F.concat(F.lit("d/"), F.col("c_custkey").cast("string"), F.lit(".yaml")).alias("path"), json_to_markdown(made).alias("text"))
+    x = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(F.concat(F.lit("d/"), F.col("c_custkey").cast("string"), F.lit(".yaml")).alias("path"), json_to_markdown(made).alias("text"))
     return files.imported(convert.exported(x, ".yaml")).select(F.regexp_replace("path", "yaml$", "md").alias("path"), "text")
 
 
@@ -1032,7 +1032,7 @@ PSEUDO: list[tuple[list[list[str]], str | None]] = [
 @query("SELECT p_partkey AS doc_id, k AS table_no, problem FROM part CROSS JOIN (VALUES " + ", ".join(f"({k}, {f"'{p}'" if p else 'NULL'})" for k, (_, p) in enumerate(PSEUDO)) + ") AS v(k, problem)")
 def table_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = spark.createDataFrame([(k, n, r) for k, (rows, _) in enumerate(PSEUDO) for n, r in enumerate(rows, 1)], "table_no int, row_no int, cells array<string>")
-    x = table(spark, sf_dir, "part").select("p_partkey").crossJoin(F.broadcast(made))  # a fixed set
+    x = spread(table(spark, sf_dir, "part").select("p_partkey")).crossJoin(F.broadcast(made))  # a fixed set
     cells = F.transform("cells", lambda c: F.replace(c, F.lit("{}"), F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))))
     return workspace.table_guards(x.select(F.col("p_partkey").alias("doc_id"), "table_no", "row_no", cells.alias("cells")))
 
@@ -1166,6 +1166,6 @@ def previews_spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = F.concat(F.lit("a/"), (F.col("c_custkey") % 7).cast("string"), F.lit(".png"))
     second = F.lpad((F.col("c_custkey") % 60).cast("string"), 2, "0")
     text = F.concat(F.lit("# "), key, nl, F.when(F.col("c_custkey") % 2 == 0, "https://youtu.be/abcdefghijk ").otherwise(""), F.lit("<br>"), "c_name", F.lit("<BR/>\n| x<br>y | z |\n**[01:"), second, F.lit("]**\n![pic]("), src, F.lit(")\n```\n![pic](b.png)<br>\n```\n```mermaid\ngraph "), key, F.lit("\n```"))
-    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    docs = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
     assets = table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.concat(F.lit("a/"), F.col("n_nationkey").cast("string"), F.lit(".png")).alias("src")).withColumn("uri", F.concat(F.lit("data:"), "src"))
     return splices.previews(docs, assets)

@@ -8,11 +8,11 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from folio import runtime
+from folio import queries, runtime
 from folio.functions import text as T
 from folio.functions.html import page_markdown
 from folio.functions.inline import segments_of
-from folio.functions.tree import from_markdown, to_markdown
+from folio.functions.tree import from_markdown, to_markdown, yaml_text, yaml_value
 from folio.operators import catalog, images, layout, lines, preview, ranks, search, tables, transcript, workspace
 from folio.plans import convert
 from folio.sources import files
@@ -351,3 +351,31 @@ def test_lines_and_files_are_not_broadcast(spark):
         made = convert.converted(found, ext)
         assert "Broadcast" not in plan(made)
         assert sorted((r.path, r.output, r.status, r.content[:2]) for r in made.collect()) == [(f"in/{k}.md", f"in/{k}{ext}", "success", b"PK") for k in (1, 2)]
+
+
+def test_small_files_that_make_much_work_are_spread(spark, tmp_path):
+    """A small table is read in one task; what it is made into isn't worked out in that one."""
+    import __spark_entry__ as entry
+
+    for name, key in (("part", "p_partkey"), ("customer", "c_custkey")):
+        spark.range(1000).selectExpr(f"id as {key}", "concat('n', id) as p_name", "concat('n', id) as c_name", "id % 25 as c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(1,)], "n_nationkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    made = {"files_converted": queries.customer_files}  # it writes in between, so its files' own plan tells
+    for name in ("table_guards", "styled_segments", "trees_exported", "files_converted", "slides", "slides_written", "previews_spliced"):
+        assert "REPARTITION_BY_NUM" in plan(made.get(name, entry.queries().get(name))(spark, str(tmp_path))), name
+
+
+def test_compiled_yaml_gives_what_the_plain_one_does():
+    import yaml
+
+    for text in ("name: a\nkey: 1\n", "a: 'x\ty'", "k:\tv", "!", "x: !", ">#|[", "|#b\n  c", "- [1, 2", "é: ü", "d: 2020-01-01", "on: yes"):
+        try:
+            want = yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            with pytest.raises(yaml.YAMLError) as found:
+                yaml_value(text)
+            assert str(found.value) == str(e)
+        else:
+            assert yaml_value(text) == want
+    for value in ({"a": "b c " * 40, "n": [1, None, "- x", "a: b", "#"]}, "word", 1, ["é", "😀"], {"on": "yes", "": []}, {"k" * 127: 1}, {"k" * 128: [{}]}):
+        assert yaml_text(value) == yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
