@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm.minhash import jaccard_dedup
 from folio.llm.mixing import mixed_documents
 from folio.llm.pieces import encode_documents
 from folio.llm.quality_rules import keep_good
 from folio.llm.queries import PIECES
+from folio.llm.simhash import near_dedup
 from folio.llm.suffix import remove_repeats
 from folio.runtime import Scratch, table
 
@@ -31,12 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, texts whose five-word shingles have a Jaccard
-    likeness of 0.8 or more, the document with the smallest id stays.
-
-    The stage has its name from the order of the pipeline; its candidates are of
-    MinHash bands, as fingerprints within 2 bits find next to none of these pairs."""
-    return jaccard_dedup(docs)
+    """Of each group of documents whose SimHash fingerprints link them, at 2 or fewer
+    differing bits, the one with the smallest id stays: op1_simhash_dedup's operator."""
+    return near_dedup(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

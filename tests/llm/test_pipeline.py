@@ -55,6 +55,16 @@ def test_stages_take_odd_rows(spark):
                 assert not any("wsamex" in r.text for r in rows) and {r.doc_id for r in rows} >= {1, 2, 12, 15}
 
 
+def test_near_dedup_goes_by_fingerprints(spark):
+    """A text's fingerprint is that of the shingle it has over half of the time, however little else is shared."""
+    texts = ["same " * 200 + " ".join(f"w{i}x{k}" for k in range(40)) for i in range(2)] + [" ".join(f"v{k}" for k in range(60)), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, DIR).collect()) == [0, 2, 3]
+    docs = table(spark, DIR, "documents")
+    groups = entry.queries()["op1_simhash_dedup"](spark, DIR).collect()
+    assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, DIR).collect()} == {r.component_id for r in groups}
+
+
 def test_registered_queries(spark):
     names = list(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
