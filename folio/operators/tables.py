@@ -144,10 +144,16 @@ def stitched(elements: DataFrame, limit: int = 150) -> DataFrame:
     """Tables that go on over page breaks get one group number: neighbours of one
     document with as many columns, a page break and fewer than ``limit`` characters
     of text between them. elements: doc_id, elem_no, type, n_chars, n_cols."""
+    return headed_runs(elements, limit).drop("head")
+
+
+def headed_runs(elements: DataFrame, limit: int = 150) -> DataFrame:
+    """stitched() with head, the first element of each group."""
     by = W.partitionBy("doc_id").orderBy("elem_no")
     x = elements.withColumns({"chars": F.sum(F.when(F.col("type") == "text", F.col("n_chars")).when(F.col("type") == "image", 9999).otherwise(0)).over(by), "breaks": F.sum((F.col("type") == "page_break").cast("int")).over(by)}).where("type = 'table'")
     goes_on = (F.col("n_cols") == F.lag("n_cols").over(by)) & (F.col("breaks") > F.lag("breaks").over(by)) & (F.col("chars") - F.lag("chars").over(by) < limit)
-    return x.withColumn("table_no", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(by)).select("doc_id", "elem_no", "table_no", "n_cols")
+    x = x.withColumn("_new", ~F.coalesce(goes_on, F.lit(False)))
+    return x.select("doc_id", "elem_no", F.sum(F.col("_new").cast("int")).over(by).alias("table_no"), "n_cols", F.max(F.when(F.col("_new"), F.col("elem_no"))).over(by).alias("head"))
 
 
 class Continued:
@@ -214,28 +220,29 @@ def joined(elements: DataFrame, columns: DataFrame, rows: DataFrame, limit: int
     tables is spread.
     """
     scratch = Scratch(rows.sparkSession, "joined")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    runs = stitched(elements, limit).select(F.col("doc_id").alias("_d"), F.col("elem_no").alias("_e"), "table_no")
-    heads = scratch.save(runs.groupBy("_d", "table_no").agg(F.min("_e").alias("_head")).withColumnsRenamed({"_d": "_hd", "table_no": "_ht"}), "heads")
-    runs = scratch.save(runs.join(heads, same("_d", "_hd") & (F.col("table_no") == F.col("_ht"))).select("_d", "_e", "table_no", "_head"), "runs")
-    spans = scratch.save(columns.groupBy("doc_id", "elem_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "x0", "x1"))).alias("spans")), "spans")
-    of_head = spans.select(F.col("doc_id").alias("_sd"), F.col("elem_no").alias("_se"), F.col("spans").alias("above"))
-    x = spans.join(runs, same("doc_id", "_d") & same("elem_no", "_e")).select("doc_id", "elem_no", "table_no", "_head", "spans")
-    x = x.join(of_head, same("doc_id", "_sd") & same("_head", "_se"))
+    # structs of nulls are equal, so one key is plain to join, group and deal out by
+    key = F.struct("doc_id", "elem_no").alias("key")
+    runs = headed_runs(elements, limit).select(key, "table_no", "head")
+    span = F.struct("col_no", "x0", "x1")
+    each = columns.select(key, span.alias("span"), F.lit(None).cast(rows.schema["row_no"].dataType).alias("row_no"), F.lit(0).alias("is_row"))
+    each = each.union(rows.select(key, F.lit(None).cast(each.schema["span"].dataType).alias("span"), "row_no", F.lit(1).alias("is_row")))
+    parts = each.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.min("row_no").alias("first"), F.sum("is_row").alias("n"))
+    x = parts.where(F.size("spans") > 0).join(runs, "key").select("key", "table_no", "spans", "first", "n", F.col("key.elem_no").eqNullSafe(F.col("head")).alias("is_head"), F.col("key.doc_id").alias("doc_id"))
+    # a table's first element comes before all others of its run
+    of_head = W.partitionBy("doc_id", "table_no").orderBy(F.col("is_head").desc(), "key").rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("above", F.first(F.when(F.col("is_head"), F.col("spans")), ignorenulls=True).over(of_head)).where("above is not null")
     common = lambda a, b: F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
     shared = lambda b: F.transform("above", lambda a: common(a, b))
-    best = F.transform("spans", lambda b: F.when(F.array_max(shared(b)) > 0, F.array_position(shared(b), F.array_max(shared(b))) - 1).otherwise(-1))
-    maps = scratch.save(x.select(F.col("doc_id").alias("_d"), F.col("elem_no").alias("_e"), "table_no", (F.col("elem_no") != F.col("_head")).alias("child"), best.alias("to"), F.size("above").alias("width")), "maps")
+    best = F.transform("spans", lambda b: F.transform(F.array(shared(b)), lambda c: F.when(F.array_max(c) > 0, F.array_position(c, F.array_max(c)) - 1).otherwise(-1))[0])
+    maps = scratch.save(x.select("key", "table_no", (~F.col("is_head")).alias("child"), F.when(~F.col("is_head"), best).alias("to"), F.size("above").alias("width"), "first", "n"), "maps")
     given = F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")))
-    x = rows.select("doc_id", "elem_no", "row_no", given.alias("cells")).join(maps, same("doc_id", "_d") & same("elem_no", "_e"))
+    x = rows.select(key, "row_no", given.alias("cells")).join(maps, "key").select("key.doc_id", "key.elem_no", "row_no", "cells", "table_no", "child", "to", "width", "first")
     from_ = lambda i: F.array_max(F.filter(F.transform("to", lambda t, j: F.when(t == i, j)), lambda j: j.isNotNull() & (j < F.size("cells"))))
     moved = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(strip(F.get("cells", from_(i))), F.lit("")))
     x = x.withColumn("cells", F.when(F.col("child") & (F.col("width") > 0), moved).otherwise(F.col("cells")))
-    first = scratch.save(x.groupBy("doc_id", "elem_no").agg(F.min("row_no").alias("first")).withColumnsRenamed({"doc_id": "_fd", "elem_no": "_fe"}), "first")
-    x = x.join(first, same("doc_id", "_fd") & same("elem_no", "_fe"))
     last = F.coalesce(F.get("cells", F.size("cells") - 1), F.lit(""))
     x = x.select("doc_id", "table_no", "elem_no", F.col("row_no").alias("own_no"), "cells", (F.col("child") & (F.col("row_no") == F.col("first"))).alias("_first"), F.transform("cells", lambda c: c != "").alias("_filled"), strip(last).rlike(r"[.!?:]$").alias("_ends"))
-    x = folded(x, ["doc_id", "table_no"], ["elem_no", "own_no"], ["_first", "_filled", "_ends"], Continued(), "row_no long")
+    x = folded(x, ["doc_id", "table_no"], ["elem_no", "own_no"], ["_first", "_filled", "_ends"], Continued(), "row_no long", maps.select("key.doc_id", "table_no", "n"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("elem_no", "own_no", "cells"))), lambda r: r["cells"])
     x = x.groupBy("doc_id", "table_no", "row_no").agg(parts.alias("parts"))
     whole = F.transform(F.get("parts", F.lit(0)), lambda _, i: F.array_join(F.filter(F.transform("parts", lambda p: F.get(p, i)), lambda c: c != ""), " "))
