@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, repeat
 from operator import itemgetter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.functions.text import roman_repaired, strip
-from folio.operators.ranks import folded, free, islands, mapped
+from folio.operators.ranks import at, either, folded, free, grouped, islands, mapped, parted
 from folio.runtime import Scratch
 
 #: Short tokens that structure a text and so are never noise.
@@ -76,7 +77,33 @@ def line_clusters(glyphs: DataFrame) -> DataFrame:
     itself, and lines are numbered over the bands before it. In a band glyphs come
     in the order of their middles, and a line that no later one can reach, by the
     band's largest glyph, is given up: a task holds the lines within a glyph's reach.
+    A page of up to ranks.LARGE glyphs is gone through whole, which needs no bands'
+    numbers.
     """
+    return either(parted(glyphs, ["page"], Scratch(glyphs.sparkSession, "lines")), _lines_of_pages, _lines_by_bands)
+
+
+def _lines_of_pages(glyphs: DataFrame) -> DataFrame:
+    top, bottom, mid = free(glyphs.columns, "top_of", "bottom_of", "mid_of")
+    x = glyphs.withColumns({top: F.col("top").cast("double"), bottom: F.col("bottom").cast("double")}).withColumn(mid, (F.col(top) + F.col(bottom)) / 2)
+    return grouped(x, ["page"], [mid, "x0", "glyph_no"], [mid, top, bottom], _on_page, "line_no int").select(*map(at, glyphs.columns), "line_no")
+
+
+def _on_page(glyphs: list[tuple]) -> Iterator[tuple]:
+    """A page's glyphs (mid, top, bottom) in order to their lines. In this order bands
+    follow each other: one begins below all bottoms before it, above all tops after."""
+    mids, tops, bottoms = np.array(glyphs, float).T
+    new = np.append(True, np.maximum.accumulate(bottoms)[:-1] < np.minimum.accumulate(tops[::-1])[::-1][1:])
+    most = np.maximum.reduceat(bottoms - tops, np.flatnonzero(new))[np.cumsum(new) - 1]
+    ahead = n = band = 0
+    for _, b, _, line in _on_lines(zip(repeat(None), np.cumsum(new).tolist(), mids.tolist(), repeat(None), repeat(None), repeat(None), tops.tolist(), bottoms.tolist(), most.tolist(), strict=False)):
+        if b != band:
+            ahead, n, band = ahead + n, 0, b
+        n = max(n, line)
+        yield (ahead + line,)
+
+
+def _lines_by_bands(glyphs: DataFrame) -> DataFrame:
     scratch = Scratch(glyphs.sparkSession, "lines")
     page = glyphs.schema["page"]
     uid, its = free(glyphs.columns, "uid", "its")
@@ -91,8 +118,8 @@ def line_clusters(glyphs: DataFrame) -> DataFrame:
     # bands of a page are as many as its lines at most, two numbers each
     ahead = found.groupBy("page", "band").agg(F.max("line").alias("n")).select(F.col("page").alias("p"), F.col("band").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     ahead = scratch.save(ahead, "ahead")
-    at = found.join(ahead, F.col("page").eqNullSafe(F.col("p")) & (F.col("band") == F.col("b"))).select(F.col("uid").alias(its), (F.col("line") + F.col("ahead")).cast("int").alias("line_no"))
-    return glyphs.join(at, F.col(uid) == F.col(its)).drop(uid, its)
+    lines = found.join(ahead, F.col("page").eqNullSafe(F.col("p")) & (F.col("band") == F.col("b"))).select(F.col("uid").alias(its), (F.col("line") + F.col("ahead")).cast("int").alias("line_no"))
+    return glyphs.join(lines, F.col(uid) == F.col(its)).drop(uid, its)
 
 
 def _on_lines(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from folio.operators import ranks, tables
+from folio.operators import layout, ranks, tables
 
 
 @pytest.fixture
@@ -33,3 +33,21 @@ def test_joined_tables_of_small_runs(spark, both):
     made = [spark.createDataFrame(x, s).repartition(3) for x, s in [(elements, "doc_id int, elem_no int, type string, n_chars int, n_cols int"), (columns, "doc_id int, elem_no int, col_no int, x0 int, x1 int"), (rows, "doc_id int, elem_no int, row_no int, cells array<string>")]]
     both(lambda: tables.joined(*made))
     assert tables.joined(*(x.limit(0) for x in made)).count() == 0
+
+
+def test_lines_of_small_pages(spark, both):
+    rng = random.Random(10)
+    rows = [(rng.choice([None, 1, 2, 3]), k, rng.randint(0, 50), top := rng.choice([rng.randint(0, 40), rng.randint(100, 900)]), top + rng.choice([0, 1, 5, 9, 60])) for k in range(400)]
+    rows.append((4, 400, 0, 5, 9))
+    both(lambda: layout.line_clusters(spark.createDataFrame(rows, "page int, glyph_no int, x0 int, top int, bottom int").repartition(4)))
+
+
+def test_groups_over_batches(spark):
+    df = spark.createDataFrame([(k % 3, k) for k in range(500)], "g int, k int").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ranks.grouped(df, ["g"], ["k"], ["k"], lambda of: ((sum(x[0] for x in of[: i + 1]),) for i in range(len(of))), "total long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.g, r.k, r.total) for r in got} == {(k % 3, k, sum(range(k % 3, k + 1, 3))) for k in range(500)}
