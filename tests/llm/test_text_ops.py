@@ -579,3 +579,19 @@ def test_every_perspective(spark):
     assert [text[r.mask_start : r.mask_end] for r in one if r.mask_start is not None] == ["Hey<|im_end|>"]
     assert {r.perspective for r in got if r.conv_id == 1} == {"ann", "bob", "cy d"} and not [r for r in got if r.conv_id == 2]
     assert [r.perspective for r in got if r.conv_id is None] == ["unknown"] and len([r for r in got if r.conv_id == 3]) == 2
+
+
+def test_quick_patterns_are_equal():
+    rng = random.Random(5)
+    java = lambda p: re.compile(p.replace(r"\x{a0}", r"\xa0"))
+    parts = ["<script>", "</script>", "<SCRIPT a>", "</script ", ">", "<style>", "</style>", "<title>", "</TITLE >", "<!--", "-->", "<", " ", "  ", "\n", "\t", "\xa0", "a", "&", "<b>"]
+    for pattern, quick in warc.QUICK.items():
+        to = r"\1 " if pattern == warc.SILENT else "\n" if pattern == warc.TIDY[1][0] else " "
+        for _ in range(3000):
+            s = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+            assert java(pattern).sub(to, s) == java(quick).sub(to, s), (pattern, s)
+
+
+def test_page_text_is_worked_out_once(spark):
+    plan = warc.derive(warc.responses(spark.createDataFrame([], "page_id long, url string, html string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("blockquote") == 1 and plan.count("charset\\s*=") == 1
