@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from folio.operators.tables import grid
 from folio.runtime import Scratch
 from folio.sources.files import csv_bytes, document, imported, presentation, workbook
 
+#: Documents whose rows are Python values at the same time.
+DOCUMENTS = 50
 TARGETS = (".md", ".json", ".yaml", ".csv", ".xlsx", ".docx", ".pptx", ".html")
 
 
@@ -29,11 +32,16 @@ def _gathered(rows: DataFrame, order: str, *cols: str) -> DataFrame:
 
 
 def _packed(rows: DataFrame, pack) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            yield pd.DataFrame({"path": x.doc_id, "content": [pack(r) for r in x["rows"]]})
+    """Files of the rows of documents. A few documents at a time become Python
+    values, as their rows take many times the room there that they have in Arrow."""
 
-    return rows.mapInPandas(run, "path string, content binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, DOCUMENTS):
+                path, of = b.slice(k, DOCUMENTS).columns
+                yield pa.RecordBatch.from_arrays([path, pa.array([pack(r) for r in of.to_pylist()], pa.binary())], ["path", "content"])
+
+    return rows.select(F.col("doc_id").cast("string"), "rows").mapInArrow(run, "path string, content binary")
 
 
 def exported(docs: DataFrame, ext: str) -> DataFrame:
