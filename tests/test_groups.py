@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from folio.operators import layout, ranks, tables
+from folio.operators import layout, ranks, rulings, tables
 
 
 @pytest.fixture
@@ -51,3 +52,9 @@ def test_groups_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {(r.g, r.k, r.total) for r in got} == {(k % 3, k, sum(range(k % 3, k + 1, 3))) for k in range(500)}
+
+
+def test_ruled_tables_of_small_pages(spark, both):
+    rng = random.Random(9)
+    rows = [(p, float(x), float(y), x + 20.0 + rng.random(), y + rng.choice([0.0, 20.0])) for p in range(3) for x in range(0, 80, 20) for y in range(0, 200, 20) if rng.random() < 0.9]
+    both(lambda: rulings.ruled_tables(spark.createDataFrame(rows, "page int, x0 double, top double, x1 double, bottom double").repartition(3)))
