@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import layout, ranks, rulings, tables
+from folio.operators import layout, pages, ranks, rulings, tables
 
 
 @pytest.fixture
@@ -58,3 +58,14 @@ def test_ruled_tables_of_small_pages(spark, both):
     rng = random.Random(9)
     rows = [(p, float(x), float(y), x + 20.0 + rng.random(), y + rng.choice([0.0, 20.0])) for p in range(3) for x in range(0, 80, 20) for y in range(0, 200, 20) if rng.random() < 0.9]
     both(lambda: rulings.ruled_tables(spark.createDataFrame(rows, "page int, x0 double, top double, x1 double, bottom double").repartition(3)))
+
+
+def test_joined_lines_of_small_documents(spark, both):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 1, 2]), k, rng.choice(["one two three four five six", "and on", "Ends.", "- item", "**bold** text", "HEAD", "open,"]), rng.choice([0, 0, 0, 1, 2])) for k in range(200)]
+    both(lambda: pages.joined_lines(spark.createDataFrame(rows, "doc_id int, line_no int, text string, level int").repartition(3), ["doc_id"], ["line_no"]))
+
+
+def test_places_of_small_groups(spark, both):
+    rows = [(k % 4 or None, k * 7 % 50, k) for k in range(60)]
+    both(lambda: ranks.running(spark.createDataFrame(rows, "g int, t int, v int").repartition(3), ["g"], ["t", "v"], F.col("v")))
