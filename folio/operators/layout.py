@@ -84,23 +84,30 @@ def line_clusters(glyphs: DataFrame) -> DataFrame:
 
 
 def _lines_of_pages(glyphs: DataFrame) -> DataFrame:
-    top, bottom, mid = free(glyphs.columns, "top_of", "bottom_of", "mid_of")
-    x = glyphs.withColumns({top: F.col("top").cast("double"), bottom: F.col("bottom").cast("double")}).withColumn(mid, (F.col(top) + F.col(bottom)) / 2)
-    return grouped(x, ["page"], [mid, "x0", "glyph_no"], [mid, top, bottom], _on_page, "line_no int").select(*map(at, glyphs.columns), "line_no")
+    # heights that are doubles go along once
+    ends = {c: c if glyphs.schema[c].dataType == T.DoubleType() else name for c, name in zip(("top", "bottom"), free(glyphs.columns, "top_of", "bottom_of"), strict=True)}
+    x = glyphs.withColumns({name: F.col(c).cast("double") for c, name in ends.items() if c != name})
+    mid = (F.col(ends["top"]) + F.col(ends["bottom"])) / 2
+    return grouped(x, ["page"], [mid, "x0", "glyph_no"], [*ends.values()], _on_page, "line_no int").select(*map(at, glyphs.columns), "line_no")
 
 
 def _on_page(glyphs: list[tuple]) -> Iterator[tuple]:
-    """A page's glyphs (mid, top, bottom) in order to their lines. In this order bands
-    follow each other: one begins below all bottoms before it, above all tops after."""
-    mids, tops, bottoms = np.array(glyphs, float).T
+    """A page's glyphs (top, bottom) in order to their lines. In this order bands
+    follow each other: one begins below all bottoms before it, above all tops after.
+    A glyph as high and at the same height as the one before is on its line."""
+    tops, bottoms = np.array(glyphs, float).T
+    fresh = np.append(True, (np.diff(tops) != 0) | (np.diff(bottoms) != 0))
+    tops, bottoms = tops[fresh], bottoms[fresh]
     new = np.append(True, np.maximum.accumulate(bottoms)[:-1] < np.minimum.accumulate(tops[::-1])[::-1][1:])
     most = np.maximum.reduceat(bottoms - tops, np.flatnonzero(new))[np.cumsum(new) - 1]
     ahead = n = band = 0
-    for _, b, _, line in _on_lines(zip(repeat(None), np.cumsum(new).tolist(), mids.tolist(), repeat(None), repeat(None), repeat(None), tops.tolist(), bottoms.tolist(), most.tolist(), strict=False)):
+    lines = []
+    for _, b, _, line in _on_lines(zip(repeat(None), np.cumsum(new).tolist(), ((tops + bottoms) / 2).tolist(), repeat(None), repeat(None), repeat(None), tops.tolist(), bottoms.tolist(), most.tolist(), strict=False)):
         if b != band:
             ahead, n, band = ahead + n, 0, b
         n = max(n, line)
-        yield (ahead + line,)
+        lines.append(ahead + line)
+    return zip(np.array(lines)[np.cumsum(fresh) - 1].tolist(), strict=True)
 
 
 def _lines_by_bands(glyphs: DataFrame) -> DataFrame:

@@ -86,10 +86,11 @@ class Wrapped:
             yield n, heads
 
 
-def wrapped(items: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
+def wrapped(items: DataFrame, by: list[str], order: list[str | Column], sizes: DataFrame | None = None) -> DataFrame:
     """Lines (text, level; blank ones left out) with item_no, the joined line they
     belong to, and section_no, the headings so far. A group of lines may have any
-    size (ranks.folded)."""
+    size (ranks.folded). sizes: by and n, at least the group's lines, where that is
+    less to read."""
     s = strip(F.col("text"))
     n = F.size(words(s))
     made = {
@@ -102,7 +103,9 @@ def wrapped(items: DataFrame, by: list[str], order: list[str | Column]) -> DataF
         "_head": (F.col("level") > 0) | (capitals(F.col("text")) & (n <= 4)),
     }
     x = items.where(s != "").withColumns(made)
-    return folded(x, by, order, ["level", *made], Wrapped(), "item_no long, section_no long").drop(*made)
+    # blank lines count, too: whether a line is one takes longer to see
+    sizes = items.select(*by, F.lit(1).alias("n")) if sizes is None else sizes
+    return folded(x, by, order, ["level", *made], Wrapped(), "item_no long, section_no long", sizes).drop(*made)
 
 
 def joined_lines(items: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -112,56 +115,62 @@ def joined_lines(items: DataFrame, by: list[str], order: list[str]) -> DataFrame
     return x.groupBy(*by, "item_no").agg(F.array_join(F.transform(body, lambda r: r["text"]), " ").alias("text"), F.min_by("level", F.struct(*order)).alias("level"))
 
 
-def formatted(glyphs: DataFrame, by: list[str]) -> DataFrame:
-    """Glyphs (x0, x1, mid, glyph_no, text, size, bold, italic) of stretches of lines
-    to text and level: runs of one style are marked, a gap over a quarter of a
-    glyph is a space, marks become bullets, and large or capital lines headings."""
-    line = W.partitionBy(*by).orderBy("x0", "mid", "glyph_no")
+def stretches(glyphs: DataFrame) -> DataFrame:
+    """Glyphs (page, line_no, x0, x1, top, mid, glyph_no, text, size, bold, italic) to
+    stretches of lines (page, line_no, segment_no, top, x0, x1), cut where a gutter
+    is, with their text and mean size: runs of one style are marked, a gap over a
+    quarter of a glyph is a space. A line's glyphs are sorted once."""
+    line = W.partitionBy("page", "line_no").orderBy("x0", "mid", "glyph_no")
     style = F.struct(F.col("bold").alias("b"), F.col("italic").alias("i"))
     before = lambda c: F.lag(c).over(line)
+    told = lambda c: F.coalesce(c, F.lit(False))
     spaced = (F.col("x0") - before("x1") > (F.col("x1") - F.col("x0")) * 0.25) & ~before("text").endswith(" ") & (F.col("text") != " ")
-    x = glyphs.withColumns({"_new": F.coalesce(style != before(style), F.lit(False)).cast("int"), "_space": F.coalesce(spaced, F.lit(False))})
-    x = x.withColumn("_run", F.sum("_new").over(line)).withColumn("_text", F.when(F.col("_space") & (F.col("_new") == 0), F.concat(F.lit(" "), "text")).otherwise(F.col("text")))
+    x = glyphs.withColumns({"_cut": told(F.col("x0") - before("x1") >= GUTTER), "_new": told(style != before(style)), "_space": told(spaced)})
+    so_far = lambda c: F.sum(c.cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0))
+    x = x.withColumns({"segment_no": so_far(F.col("_cut")) + 1, "_run": so_far(F.col("_new") & ~F.col("_cut")), "_text": F.when(F.col("_space") & ~F.col("_new") & ~F.col("_cut"), F.concat(F.lit(" "), "text")).otherwise(F.col("text"))})
+    by, extent = ["page", "line_no", "segment_no"], (F.min("top").alias("top"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "mid", "glyph_no", "_text"))), lambda r: r["_text"]), "")
-    runs = x.groupBy(*by, "_run").agg(whole.alias("_t"), F.first("bold").alias("b"), F.first("italic").alias("i"), F.sum("size").alias("_size"), F.count("*").alias("_n"))
+    runs = x.groupBy(*by, "_run").agg(whole.alias("_t"), F.first("bold").alias("b"), F.first("italic").alias("i"), F.sum("size").alias("_size"), F.count("*").alias("_n"), *extent)
     inner, mark = strip(F.col("_t")), F.when(F.col("b") & F.col("i"), "***").when(F.col("b"), "**").when(F.col("i"), "*").otherwise("")
     marked = F.concat(F.regexp_extract("_t", r"(?U)^(\s*)", 1), mark, inner, mark, F.regexp_extract("_t", r"(?U)(\s*)$", 1))
-    runs = runs.withColumn("_t", F.when(inner == "", F.col("_t")).otherwise(marked))
+    runs = runs.withColumn("_t", F.when((mark == "") | (inner == ""), F.col("_t")).otherwise(marked))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", "_t"))), lambda r: r["_t"]), "")
-    x = runs.groupBy(*by).agg(strip(text).alias("text"), (F.sum("_size") / F.sum("_n")).alias("_size"))
-    x = x.where(~F.col("text").isin("", "-", "•", "·", "⁃", "▪"))
+    return runs.groupBy(*by).agg(strip(text).alias("text"), (F.sum("_size") / F.sum("_n")).alias("_size"), *extent)
+
+
+def formatted(x: DataFrame) -> DataFrame:
+    """stretches() with text and level: marks become bullets, and large or capital
+    lines headings. kept is false for those that hold no text but a mark."""
+    x = x.withColumn("kept", ~F.col("text").isin("", "-", "•", "·", "⁃", "▪"))
     t = F.col("text")
     for _ in range(3):
         t = F.regexp_replace(t, r"\*\*(.*?)\*\*([^\s*]{1,3})\*\*(.*?)\*\*", "**$1$2$3**")
         t = F.regexp_replace(t, r"(?U)\*\*(.*?)\*\*\s*\*\*(.*?)\*\*", "**$1 $2**")
-    x = x.withColumn("text", t)
+    x = x.withColumn("text", F.when(F.col("text").contains("**"), t).otherwise(F.col("text")))
     bullet = F.col("text").rlike(rf"(?U)^({MARKS}|[-*]\s)")
     listed = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", rf"(?U)^{MARKS}\s*", "- "), r"(?U)^\*\s+", "- "), rf"(?U)\s+{MARKS}\s+", "\n- ")
     x = x.withColumn("text", F.when(bullet, listed).otherwise(F.col("text"))).withColumn("_bullet", bullet | F.col("text").startswith("- "))
     n, number = F.size(words(F.col("text"))), F.col("text").rlike(r"(?iU)^\s*(\*{0,2}\d{1,3}\*{0,2}|p\.\s*\d+)\s*$")
     head = ~F.col("_bullet") & ~number & (F.col("text").rlike(r"^\p{Lu}") | capitals(F.col("text")))
-    level = F.when(head & (F.col("_size") >= 22) & (n <= 7), 1).when(head & (F.col("_size") >= 13.5) & (F.col("_size") < 17) & capitals(F.col("text")) & (n <= 5), 3).otherwise(0)
+    level = F.when((F.col("_size") >= 22) & head & (n <= 7), 1).when((F.col("_size") >= 13.5) & (F.col("_size") < 17) & head & capitals(F.col("text")) & (n <= 5), 3).otherwise(0)
     x = x.withColumn("level", level).withColumn("text", F.when(F.col("level") > 0, F.regexp_replace("text", r"\*{2,3}", "")).otherwise(F.col("text")))
-    return x.select(*by, "text", "level")
+    return x.drop("_bullet", "_size")
 
 
 def streams(glyphs: DataFrame, scratch: Scratch, width: float) -> tuple[DataFrame, DataFrame]:
-    """(glyphs with line_no, segment_no and stream, pages with n_cols and columns).
+    """(formatted() stretches with line_top and stream, pages with n_cols and columns).
 
     A line is cut where a gutter is. Lines with as many parts as the page has
     columns, three or more, go to these; other parts by their middle, but a line of
     one part in the page's head or over its width comes first (stream 0). On pages
     of fewer columns first parts and lines on the left are stream 1, the rest 2.
+    Glyphs are gone through once; all that follows is of stretches.
     """
-    x = glyphs.withColumn("mid", (F.col("top") + F.col("bottom")) / 2)
-    x = line_clusters(x)
-    line = W.partitionBy("page", "line_no").orderBy("x0", "mid", "glyph_no")
-    x = x.withColumn("segment_no", F.sum(F.coalesce((F.col("x0") - F.lag("x1").over(line) >= GUTTER).cast("int"), F.lit(0))).over(line) + 1)
-    x = scratch.save(x, "segments")
-    parts = x.groupBy("page", "line_no", "segment_no").agg(F.min("top").alias("top"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    x = line_clusters(glyphs).withColumn("mid", (F.col("top") + F.col("bottom")) / 2)
     of_line = W.partitionBy("page", "line_no")
-    parts = scratch.save(parts.select("page", "line_no", "segment_no", "x0", "x1", F.min("top").over(of_line).alias("line_top"), F.max("segment_no").over(of_line).alias("n")), "parts")
-    pages = scratch.save(parts.groupBy("page").agg(F.max("n").alias("n_cols"), F.min("line_top").alias("page_top")), "pages")
+    parts = formatted(stretches(x)).withColumns({"line_top": F.min("top").over(of_line), "n": F.max("segment_no").over(of_line)})
+    parts = scratch.save(parts.drop("top"), "parts")
+    pages = parts.groupBy("page").agg(F.max("n").alias("n_cols"), F.min("line_top").alias("page_top"))
     parts = parts.join(pages, "page")
     long = (F.col("x1") - F.col("x0") > WIDE[0]) & (F.col("x0") < WIDE[1]) & (F.col("x1") > WIDE[2])
     first = (F.col("n") == 1) & ((F.col("line_top") < F.col("page_top") + HEAD) | long)
@@ -169,10 +178,11 @@ def streams(glyphs: DataFrame, scratch: Scratch, width: float) -> tuple[DataFram
     by_place = F.least(F.col("n_cols") - 1, F.greatest(F.lit(0), (mid / width * F.col("n_cols")).cast("int"))) + 1
     many = F.when(first, 0).when(F.col("n") == F.col("n_cols"), F.col("segment_no")).otherwise(by_place)
     few = F.when(F.col("n") > 1, F.least("segment_no", F.lit(2))).when(first, 0).when(mid < LEFT, 1).otherwise(2)
-    parts = scratch.save(parts.select("page", "line_no", "segment_no", "line_top", "n_cols", F.when(F.col("n_cols") >= 3, many).otherwise(few).cast("int").alias("stream")), "streams")
+    stream = F.when(F.col("n_cols") >= 3, many).otherwise(few).cast("int").alias("stream")
+    parts = scratch.save(parts.select("page", "line_no", "segment_no", "line_top", "n_cols", stream, "text", "level", "kept"), "streams")
     sides = parts.groupBy("page").agg(F.max("n_cols").alias("n_cols"), F.max((F.col("stream") == 1).cast("int")).alias("l"), F.max((F.col("stream") == 2).cast("int")).alias("r"))
     pages = scratch.save(sides.select("page", "n_cols", ((F.col("n_cols") > 1) | ((F.col("l") == 1) & (F.col("r") == 1))).alias("columns")), "layout")
-    return x.join(parts.select("page", "line_no", "segment_no", "line_top", "stream"), ["page", "line_no", "segment_no"]), pages
+    return parts.drop("n_cols"), pages
 
 
 def headed(text: Column, level: Column) -> Column:
@@ -217,12 +227,11 @@ def page_texts(glyphs: DataFrame, width: float = 595.0) -> DataFrame:
     scratch = Scratch(glyphs.sparkSession, "pages")
     x = glyphs.where("page is not null and top >= 0 and bottom >= top and x0 >= 0 and text is not null").select("page", "glyph_no", "x0", "x1", "top", "bottom", "text", "size", F.coalesce("bold", F.lit(False)).alias("bold"), F.coalesce("italic", F.lit(False)).alias("italic"))
     x, pages = streams(x, scratch, width)
-    key = ["page", "stream", "line_top", "line_no", "segment_no"]
-    items = formatted(x, key).join(pages, "page")
+    items = x.where("kept").drop("kept").join(pages.select("page", "columns"), "page")
     # without columns there is one stream
     items = items.withColumn("stream", F.when(F.col("columns"), F.col("stream")).otherwise(0))
     items = scratch.save(wrapped(items.withColumn("seq", F.struct("line_top", "line_no", "segment_no")), ["page", "stream"], ["seq"]), "items")
-    scratch.drop("segments", "parts", "streams")
+    scratch.drop("parts", "streams")
     w = words(F.col("text"))
     side = F.when(F.col("stream") >= 2, w)
     letters = F.aggregate(w, F.lit(0), lambda a, t: a + F.length(t))

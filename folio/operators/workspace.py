@@ -220,16 +220,28 @@ def header_first(texts: Column) -> Column:
     The number stands alone; a banner is a short heading of the third level in
     capitals before anything else; the title is the first heading, if two texts at
     most stand before it."""
-    items = F.filter(F.transform(texts, strip), lambda t: t != "")
     alone = r"^\*{0,2}(\d{1,3})\*{0,2}$"
-    number = F.regexp_extract(F.coalesce(F.get(F.filter(items, lambda t: t.rlike(alone)), F.lit(0)), F.lit("")), alone, 1)
-    rest = F.filter(items, lambda t: ~(t.rlike(alone) & (F.regexp_extract(t, alone, 1) == number)))
-    first = F.coalesce(F.get(rest, F.lit(0)), F.lit(""))
-    name = F.trim(F.substring(first, 5, 1 << 20))
-    has_banner = first.startswith("### ") & (F.upper(name) == name) & (F.lower(name) != name) & (F.size(F.split(name, r"\s+")) <= 4)
-    rest = F.when(has_banner, F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
-    at = F.array_position(F.transform(rest, lambda t: t.startswith("# ")), F.lit(True)).cast("int")
-    has_title = at.between(1, 3)
     none = F.array().cast("array<string>")
-    others = F.filter(rest, lambda t, i: ~has_title | (i != at - 1))
-    return F.concat(F.when(has_banner, F.array(first)).otherwise(none), F.when(number != "", F.array(F.concat(F.lit("**"), number, F.lit("**")))).otherwise(none), F.when(has_title, F.array(F.get(rest, at - 1))).otherwise(none), others)
+    # worked out once a slide; in a lambda over the texts it would be once a text
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def numbered(items: Column, number: Column) -> Column:
+        rest = F.filter(items, lambda t: (number == "") | (F.regexp_extract(t, alone, 1) != number))
+        return once(rest, lambda rest: bannered(number, rest))
+
+    def bannered(number: Column, rest: Column) -> Column:
+        first = F.coalesce(F.get(rest, F.lit(0)), F.lit(""))
+        name = F.trim(F.substring(first, 5, 1 << 20))
+        has_banner = first.startswith("### ") & (F.upper(name) == name) & (F.lower(name) != name) & (F.size(F.split(name, r"\s+")) <= 4)
+        return once(has_banner, lambda has: once(F.when(has, F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest), lambda below: titled(F.when(has, F.array(first)).otherwise(none), number, below)))
+
+    def titled(banner: Column, number: Column, rest: Column) -> Column:
+        at = F.array_position(F.transform(rest, lambda t: t.startswith("# ")), F.lit(True)).cast("int")
+        marked = F.when(number != "", F.array(F.concat(F.lit("**"), number, F.lit("**")))).otherwise(none)
+        n = F.size(rest)
+        moved = lambda at: F.concat(banner, marked, F.array(F.get(rest, at - 1)), F.slice(rest, F.lit(1), at - 1), F.slice(rest, at + 1, F.greatest(n - at, F.lit(0))))
+        return once(at, lambda at: F.when(at.between(1, 3), moved(at)).otherwise(F.concat(banner, marked, rest)))
+
+    items = F.filter(F.transform(texts, strip), lambda t: t != "")
+    number = lambda items: F.coalesce(F.get(F.filter(F.transform(items, lambda t: F.regexp_extract(t, alone, 1)), lambda t: t != ""), F.lit(0)), F.lit(""))
+    return once(items, lambda items: once(number(items), lambda number: numbered(items, number)))
