@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.operators.ranks import islands, mapped
+from folio.operators.ranks import either, islands, mapped, parted
 from folio.runtime import Scratch
 
 #: Units of a page in a bin of crossings.
@@ -20,25 +20,60 @@ BIN = 64.0
 
 
 def edges(strokes: DataFrame, scratch: Scratch, near: float = 3.0, least: float = 3.0) -> DataFrame:
-    """page, flat, at, lo, hi: the lines that strokes (page, x0, top, x1, bottom)
-    make, flat ones (from lo to hi at the height at) and upright ones.
+    """page, flat, at, lo, hi, band, edge: the lines that strokes (page, x0, top, x1,
+    bottom) make, flat ones (from lo to hi at the height at) and upright ones, with
+    the band of the page they lie in and a number.
 
     A stroke over ``near`` in both directions is a box with four sides. Lines of one
     direction that follow each other within ``near`` are put on their mean, and on
     one line stretches with a gap of up to ``near`` are joined; what is shorter
-    than ``least`` then is left out. Both are islands over ranges of rows."""
+    than ``least`` then is left out. Bands are stretches of the page's height that
+    nothing reaches over, so no table lies in two of them. All three are islands; a
+    page of up to ranks.LARGE lines goes through them after one shuffle, larger
+    ones over ranges of rows."""
     s = strokes.where("page is not null and x0 is not null and x1 is not null and top is not null and bottom is not null")
     x0, x1, top, bottom = F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("top", "bottom"), F.greatest("top", "bottom")
     line = lambda flat, at, lo, hi: F.struct(F.lit(flat).alias("flat"), at.cast("double").alias("at"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
     box = F.array(line(True, top, x0, x1), line(True, bottom, x0, x1), line(False, x0, top, bottom), line(False, x1, top, bottom))
     thin = F.when(bottom - top <= x1 - x0, F.array(line(True, top, x0, x1))).otherwise(F.array(line(False, x0, top, bottom)))
-    x = s.select("page", F.explode(F.when((x1 - x0 > near) & (bottom - top > near), box).otherwise(thin)).alias("e")).select("page", "e.*")
+    of_box = (x1 - x0 > near) & (bottom - top > near)
+    lines = lambda x: x.select("page", F.explode(F.when(of_box, box).otherwise(thin)).alias("e")).select("page", "e.*")
+    parts = parted(s.select("page", "x0", "top", "x1", "bottom"), ["page"], scratch, s.select("page", F.when(of_box, 4).otherwise(1).alias("n")))
+    x = either(parts, lambda x: _edges_of_pages(lines(x.repartition("page")), near, least), lambda x: _edges_by_ranges(lines(x), scratch, near, least))
+    return scratch.save(x.select("page", "flat", "at", "lo", "hi", "band").withColumn("edge", F.monotonically_increasing_id()), "edges")
+
+
+def _ends(x: DataFrame) -> DataFrame:
+    """Lines with their extent over the page's height."""
+    return x.withColumns({"top": F.when(F.col("flat"), F.col("at")).otherwise(F.col("lo")), "bottom": F.when(F.col("flat"), F.col("at")).otherwise(F.col("hi"))})
+
+
+def _island(by: list[str], start: str, end: str, near: float, x: DataFrame, name: str) -> DataFrame:
+    """ranks.islands() of small groups that are where they are to be."""
+    own = W.partitionBy(*by).orderBy(start, end)
+    new = F.coalesce(F.col(start) > F.max(end).over(own.rowsBetween(W.unboundedPreceding, -1)) + near, F.lit(True)).cast("long")
+    return x.withColumn("_new", new).withColumn(name, F.sum("_new").over(own.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+
+def _edges_of_pages(x: DataFrame, near: float, least: float) -> DataFrame:
+    """A page's lines are in one partition and stay there."""
+    x = _island(["page", "flat"], "at", "at", near, x, "cluster")
+    # added up by height, as the last digits of a mean depend on the order
+    of = W.partitionBy("page", "flat", "cluster").orderBy("at").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    x = x.withColumn("mean", F.avg("at").over(of))
+    x = _island(["page", "flat", "cluster"], "lo", "hi", near, x, "stretch")
+    x = x.groupBy("page", "flat", "cluster", "stretch").agg(F.first("mean").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= least)
+    return _island(["page"], "top", "bottom", near, _ends(x), "band").select("page", "flat", "at", "lo", "hi", "band")
+
+
+def _edges_by_ranges(x: DataFrame, scratch: Scratch, near: float, least: float) -> DataFrame:
     x = scratch.save(islands(x, ["page", "flat"], "at", "at", near, "cluster"), "clusters")
     mean = scratch.save(x.groupBy("page", "flat", "cluster").agg(F.avg("at").alias("mean")), "means")
     x = x.join(mean, ["page", "flat", "cluster"]).select("page", "flat", "cluster", F.col("mean").alias("at"), "lo", "hi")
     x = islands(x, ["page", "flat", "cluster"], "lo", "hi", near, "stretch")
     x = x.groupBy("page", "flat", "cluster", "stretch").agg(F.first("at").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= least)
-    return scratch.save(x.select("page", "flat", "at", "lo", "hi").withColumn("edge", F.monotonically_increasing_id()), "edges")
+    x = scratch.save(x.select("page", "flat", "at", "lo", "hi"), "stretches")
+    return islands(_ends(x), ["page"], "top", "bottom", near, "band").select("page", "flat", "at", "lo", "hi", "band")
 
 
 def crossings(lines: DataFrame, near: float = 3.0) -> DataFrame:
@@ -46,13 +81,9 @@ def crossings(lines: DataFrame, near: float = 3.0) -> DataFrame:
     each other by ``near`` at most.
 
     They meet in the bin that the crossing lies in, once: a flat line is in the
-    bins along it, an upright one as well. Bands are stretches of the page's height
-    that nothing reaches over, so no table lies in two of them."""
-    top = F.when(F.col("flat"), F.col("at")).otherwise(F.col("lo"))
-    bottom = F.when(F.col("flat"), F.col("at")).otherwise(F.col("hi"))
-    x = islands(lines.withColumns({"top": top, "bottom": bottom}), ["page"], "top", "bottom", near, "band").drop("top", "bottom")
+    bins along it, an upright one as well."""
     along = F.explode(F.sequence(F.floor((F.col("lo") - near) / BIN), F.floor((F.col("hi") + near) / BIN)))
-    bins = x.withColumns({"along": along, "across": F.floor(F.col("at") / BIN)})
+    bins = lines.withColumns({"along": along, "across": F.floor(F.col("at") / BIN)})
     h = bins.where("flat").select("page", "band", F.col("along").alias("bx"), F.col("across").alias("by"), F.col("at").alias("y"), F.col("lo").alias("x0"), F.col("hi").alias("x1"), F.col("edge").alias("flat_edge"))
     v = bins.where("not flat").select(F.col("page").alias("_p"), F.col("across").alias("_bx"), F.col("along").alias("_by"), F.col("at").alias("x"), F.col("lo").alias("y0"), F.col("hi").alias("y1"), F.col("edge").alias("upright_edge"))
     met = (F.col("page") == F.col("_p")) & (F.col("bx") == F.col("_bx")) & (F.col("by") == F.col("_by"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folio.operators import layout, pages, workspace
+from folio.operators import layout, pages, rulings, workspace
 from folio.runtime import Scratch
 
 
@@ -41,3 +41,11 @@ def test_lines_of_repeated_heights(spark, monkeypatch):
     got = [line for (line,) in layout._on_page([(float(a), float(b)) for a, b in glyphs])]
     assert len(seen) < 600
     assert [list(dict.fromkeys(got)).index(x) for x in got] == [list(dict.fromkeys(want)).index(x) for x in want]
+
+
+def test_ruled_tables_of_small_pages_write_edges_only(spark, monkeypatch):
+    rows = [(p, x * 20.0, y * 20.0, x * 20.0 + 20, y * 20.0 + 20) for p in range(3) for x in range(4) for y in range(5)]
+    found = saved(monkeypatch)
+    cells = rulings.ruled_tables(spark.createDataFrame(rows, "page int, x0 double, top double, x1 double, bottom double").repartition(3))
+    assert cells.count() == 60
+    assert {"edges", "cells"} <= set(found) and not set(found) & {"clusters", "means", "stretches"}
