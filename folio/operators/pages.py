@@ -22,8 +22,9 @@ GUTTER, HEAD, WIDE, LEFT = 20.0, 60.0, (300.0, 250.0, 550.0), 420.0
 LOOSE = ["những", "các", "về", "của", "và", "khi", "cho", "để", "trong", "với", "là", "tại", "có", "ở", "được", "ng", "cô", "thời", "nhỏ", "năng", "đấu", "trợ", "à"]
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+def words(text: Column, most: int = -1) -> Column:
+    """The words of a text; from the place ``most`` on the rest is one."""
+    return F.filter(F.split(text, r"(?U)\s+", most), lambda w: w != "")
 
 
 def capitals(text: Column) -> Column:
@@ -91,26 +92,29 @@ def wrapped(items: DataFrame, by: list[str], order: list[str | Column], sizes: D
     belong to, and section_no, the headings so far. A group of lines may have any
     size (ranks.folded). sizes: by and n, at least the group's lines, where that is
     less to read."""
-    s = strip(F.col("text"))
-    n = F.size(words(s))
+    s, last = strip(F.col("text")), F.right(F.col("_s"), F.lit(1))
+    # $ also stands before these signs
+    last = F.when(last.isin("\u0085", "\u2028", "\u2029"), F.col("_s")).otherwise(last)
+    n = F.size(words(F.col("_s"), 8))  # more than six are as good as six
     made = {
         "_words": n,
         "_lower": F.col("text").rlike(r"^\p{Ll}"),
-        "_ends": s.rlike(ENDS),
-        "_opens": s.rlike(OPEN),
+        "_ends": last.rlike(ENDS),
+        "_opens": last.rlike(OPEN),
         "_bullet": F.col("text").startswith("- "),
         "_bold": F.col("text").startswith("**"),
-        "_head": (F.col("level") > 0) | (capitals(F.col("text")) & (n <= 4)),
+        "_head": (F.col("level") > 0) | ((n <= 4) & capitals(F.col("text"))),
     }
-    x = items.where(s != "").withColumns(made)
+    x = items.withColumn("_s", s).where(F.col("_s") != "").withColumns(made).drop("_s")
     # blank lines count, too: whether a line is one takes longer to see
     sizes = items.select(*by, F.lit(1).alias("n")) if sizes is None else sizes
     return folded(x, by, order, ["level", *made], Wrapped(), "item_no long, section_no long", sizes).drop(*made)
 
 
-def joined_lines(items: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Lines (text, level) to by, item_no, level and text of whole paragraphs and headings."""
-    x = wrapped(items, by, order)
+def joined_lines(items: DataFrame, by: list[str], order: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Lines (text, level) to by, item_no, level and text of whole paragraphs and
+    headings. sizes: as for wrapped()."""
+    x = wrapped(items, by, order, sizes)
     body = F.sort_array(F.collect_list(F.struct(*order, "text")))
     return x.groupBy(*by, "item_no").agg(F.array_join(F.transform(body, lambda r: r["text"]), " ").alias("text"), F.min_by("level", F.struct(*order)).alias("level"))
 

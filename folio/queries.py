@@ -1080,10 +1080,13 @@ def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all documents, whole again where they were wrapped."""
-    x = lines.lines(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    x = lines.lines(docs)
     mark = F.regexp_extract("line", r"^(#{1,3}) ", 1)
     items = x.select("doc_id", "line_no", F.when(mark != "", F.substr(F.col("line"), F.length(mark) + 2)).otherwise(F.col("line")).alias("text"), F.length(mark).alias("level"))
-    return pages.joined_lines(items, ["doc_id"], ["line_no"]).select("doc_id", "item_no", "level", "text")
+    # lines by their ends, without taking texts apart
+    sizes = docs.select("doc_id", (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).alias("n"))
+    return pages.joined_lines(items, ["doc_id"], ["line_no"], sizes).select("doc_id", "item_no", "level", "text")
 
 
 CARDS_SQL = r"""c AS (SELECT p_partkey AS doc_id, unnest([1, 2, 3]) AS col,

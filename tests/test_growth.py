@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from folio.operators import layout, pages, rulings, workspace
+from folio.operators import layout, pages, ranks, rulings, workspace
+from folio.queries import QUERIES
 from folio.runtime import Scratch
 
 
@@ -49,3 +50,20 @@ def test_ruled_tables_of_small_pages_write_edges_only(spark, monkeypatch):
     cells = rulings.ruled_tables(spark.createDataFrame(rows, "page int, x0 double, top double, x1 double, bottom double").repartition(3))
     assert cells.count() == 60
     assert {"edges", "cells"} <= set(found) and not set(found) & {"clusters", "means", "stretches"}
+
+
+def test_merged_lines_are_counted_without_taking_texts_apart(spark, monkeypatch):
+    plans, parted = [], ranks.parted
+    monkeypatch.setattr(ranks, "parted", lambda rows, by, scratch, sizes=None: plans.append(sizes) or parted(rows, by, scratch, sizes))
+    assert QUERIES["merged_lines"](spark, "/root/testdata/sf0.001").count()
+    assert len(plans) == 1 and "Generate" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ends_of_lines(spark):
+    """Signs before a last line separator end or open a line, too; many words are as good as six."""
+    ends = ["one two three four five six seven", "a b c d e f.", "a b c d e f.\u2028", "open,", "open, \u2028", "\u00a0A B C D E", "\u00a0A B C D\u00a0", "bullet x"]
+    rows = [(d, k, t, 0) for d, end in enumerate(ends) for k, t in enumerate([end, "Next line here", "and on"])]
+    x = spark.createDataFrame(rows, "doc_id int, line_no int, text string, level int")
+    got = pages.wrapped(x, ["doc_id"], ["line_no"], x.select("doc_id", F.lit(3).alias("n"))).where("line_no = 1").orderBy("doc_id").collect()
+    assert [r.item_no for r in got] == [1, 2, 2, 1, 1, 1, 2, 2]
+    assert [r.section_no for r in got] == [0, 0, 0, 0, 0, 0, 1, 0]
