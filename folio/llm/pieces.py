@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from folio.llm.names import column, sliced, unused
 
 SPACE = "▁"
-#: Positions of a part whose paths are remembered.
-HEAD = 6
-#: Bytes that a remembered part, pair of pieces or head takes, rounded up from measurements, and its share of a task's memory.
-MEMO, PAIRS, HEADS = (320, 0.7), (160, 0.2), (800, 0.1)
+#: Bytes that a remembered part, pair of pieces or step between states takes, rounded up from measurements, and its share of a task's memory.
+MEMO, PAIRS, STEPS = (320, 0.65), (160, 0.2), (100, 0.15)
+#: Steps that take as much as a state.
+STATE = 6
 
 
 @dataclass
@@ -56,6 +56,50 @@ class Vocabulary:
         return cls([p.piece for p in m.pieces], [p.score for p in m.pieces], kind, unk, hidden, at, norm.add_dummy_prefix, norm.remove_extra_whitespaces)
 
 
+class State(dict):
+    """The state after each next character, worked out when it is first asked for.
+
+    A state is the longest end of the text that begins a piece (``read``), so the
+    pieces that end there (``found``, longest first, with their lengths) are ends
+    of it.
+    """
+
+    __slots__ = ("codec", "found", "read")
+
+    def __init__(self, codec: Codec, read: str):
+        self.codec, self.read = codec, read
+        self.found = [(read[k:], len(read) - k) for k in range(len(read)) if read[k:] in codec.ids]
+
+    def __missing__(self, c: str) -> State:
+        codec, read = self.codec, self.read + c
+        while read not in codec.begun:
+            read = read[1:]
+        after = codec.heads.get(read) if read else codec.start
+        if after is None:
+            after = codec.heads[read] = State(codec, read)
+            codec.n_steps += STATE
+        self[c] = after
+        codec.n_steps += 1
+        return after
+
+
+class After(dict):
+    """What may stand after a piece of a BPE vocabulary ("": at the beginning or
+    after a character outside the vocabulary, which no merge reaches over): each
+    next piece with its own After, or None if merges don't leave the two."""
+
+    __slots__ = ("codec", "piece")
+
+    def __init__(self, codec: Codec, piece: str):
+        self.codec, self.piece = codec, piece
+
+    def __missing__(self, piece: str) -> After | None:
+        codec = self.codec
+        codec.n_pairs += 1
+        known = self[piece] = codec.after(piece) if codec.stable(self.piece, piece) else None
+        return known
+
+
 class Codec:
     """Encodes and decodes with one vocabulary.
 
@@ -85,32 +129,52 @@ class Codec:
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.words = self.cuts()
         self.rank = {p: -v.scores[i] for p, i in self.ids.items()}
+        #: beginnings of pieces, and the states of those that were met
+        self.begun = {p[:k] for p in self.ids for k in range(len(p) + 1)} | {""}
+        self.heads: dict[str, State] = {}
+        self.start = State(self, "")
+        self.pairs: dict[str, After] = {}
         self.ends: dict[str, tuple[list, list] | None] = {}
         self.remember(memory_mb)
 
     def remember(self, memory_mb: int) -> None:
         """Forgets what was met, and sets how much may be remembered from now on."""
-        self.most_parts, self.most_pairs, self.most_heads = (max(1, int(memory_mb * 2**20 * share) // size) for size, share in (MEMO, PAIRS, HEADS))
+        self.most_parts, self.most_pairs, self.most_steps = (max(1, int(memory_mb * 2**20 * share) // size) for size, share in (MEMO, PAIRS, STEPS))
         self.most_parts = max(1, self.most_parts // 2)  # there are two generations
         self.memo: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
-        self.pairs: dict[str, dict[str, bool]] = {}
+        self.forget_pairs()
+        self.forget_heads()
+
+    def forget_pairs(self) -> None:
+        for after in self.pairs.values():
+            after.clear()  # they hold one another
+        self.pairs.clear()
         self.n_pairs = 0
-        self.heads: dict[str, tuple[list, list, list]] = {}
+
+    def forget_heads(self) -> None:
+        for state in (self.start, *self.heads.values()):
+            state.clear()
+        self.heads.clear()
+        self.n_steps = 0
 
     def cuts(self) -> re.Pattern:
         """Finds parts of a text that no piece reaches over, where all paths meet:
-        before space marks, before signs that no piece has after a letter or the
-        like, and around white space that no piece has at all."""
+        before space marks, before signs that no piece has after the letter or the
+        like that they follow, and around white space that no piece has at all."""
         inside = self.inside
         if any(b == SPACE and a != SPACE for a, b in inside):
             return re.compile("(?s).+")
         marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-        tied = {b for a, b in inside if b in marks and a not in marks and a != SPACE}
+        tied: dict[str, set[str]] = {}
+        for a, b in inside:
+            if b in marks and a not in marks and a != SPACE:
+                tied.setdefault(b, set()).add(a)
         strange = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-        every, bound = (re.escape("".join(sorted(x))) for x in (marks, tied))
+        every = re.escape("".join(sorted(marks)))
+        bound = "|".join(f"(?<=[{re.escape(''.join(sorted(tied[b])))}]){re.escape(b)}" for b in sorted(tied))
         rest = f"[^{SPACE}{strange}{every}]*"
-        more = f"(?:[{bound}][{every}]*{rest})*" if tied else ""
+        more = f"(?:(?:{bound})[{every}]*{rest})*" if tied else ""
         return re.compile(f"(?=[^{strange}]){SPACE}*[{every}]*{rest}{more}|[{strange}]" if strange else f"(?s)(?=.){SPACE}*[{every}]*{rest}{more}")
 
     def merged(self, s: str) -> tuple[list[str], tuple[str, str] | None, bool]:
@@ -167,72 +231,71 @@ class Codec:
             else:
                 j += 1
 
-    def extend(self, s: str, off: int, back: list[int], piece_at: list[str], best: list[float], to: int) -> None:
+    def after(self, piece: str) -> After:
+        found = self.pairs.get(piece)
+        if found is None:
+            found = self.pairs[piece] = After(self, piece)
+        return found
+
+    def extend(self, s: str, off: int, back: list[int], piece_at: list[str], best: list[float] | list[After], to: int) -> None:
         """Appends to back (where the last piece of the best path to a position
-        starts), piece_at (that piece) and best (the path's score) up to the
-        position ``to``. The lists begin with the position ``off``."""
-        ids, scores, longest, pairs = self.ids, self.v.scores, self.longest, self.pairs
+        starts), piece_at (that piece) and best (the path's score, for BPE what may
+        stand after it) up to the position ``to``. The lists begin with the
+        position ``off``."""
+        if self.n_pairs > self.most_pairs:
+            self.forget_pairs()
+        if self.n_steps > self.most_steps:
+            self.forget_heads()
+        done = off + len(back) - 1
+        state = self.start
+        for c in s[max(off, done - self.longest) : done]:
+            state = state[c]
         if self.v.kind == "bpe":
-            for end in range(off + len(back), to + 1):
-                for start in range(max(off, end - longest), end):
-                    piece = s[start:end]
-                    if piece in ids:
-                        before = piece_at[start - off]
-                        after = pairs.get(before)
-                        if after is None:
-                            after = pairs[before] = {}
-                        known = after.get(piece)
-                        if known is None:
-                            self.n_pairs += 1
-                            # no merge reaches over a character outside the vocabulary
-                            known = after[piece] = self.stable(before if before in ids else "", piece)
-                        if known:
-                            break
+            for end, c in enumerate(s[done:to], done + 1):
+                state = state[c]
+                for piece, size in state.found:
+                    after = best[-size][piece]
+                    if after is not None:
+                        break
                 else:
-                    start, piece = end - 1, s[end - 1]
-                back.append(start)
+                    piece, size, after = c, 1, self.after(c if c in self.ids else "")
+                back.append(end - size)
                 piece_at.append(piece)
-                best.append(0.0)
+                best.append(after)
             return
-        for end in range(off + len(back), to + 1):
-            top, at = None, end - 1
-            for start in range(max(off, end - longest), end):
-                i = ids.get(s[start:end])
-                if i is not None or start == end - 1:
-                    value = best[start - off] + (self.low if i is None else scores[i])
-                    if top is None or value > top:
-                        top, at = value, start
-            back.append(at)
-            piece_at.append(s[at:end])
+        ids, scores = self.ids, self.v.scores
+        for end, c in enumerate(s[done:to], done + 1):
+            state = state[c]
+            top, last, far = None, c, 1
+            for piece, size in state.found:
+                value = best[-size] + scores[ids[piece]]
+                if top is None or value > top:
+                    top, last, far = value, piece, size
+            if c not in ids:
+                value = best[-1] + self.low
+                if top is None or value > top:
+                    top, last, far = value, c, 1
+            back.append(end - far)
+            piece_at.append(last)
             best.append(top)
 
     def search(self, s: str) -> Iterator[list[str]]:
         """The pieces of s, in runs as they become final; a character outside the
-        vocabulary is a piece of its own. Paths to the first HEAD positions are
-        remembered, as many parts begin alike."""
-        n, off, known = len(s), 0, None
-        if self.n_pairs > self.most_pairs:
-            self.pairs, self.n_pairs = {}, 0
-        back, piece_at, best = [0], [""], [0.0]
-        if n > HEAD:
-            known = self.heads.get(s[:HEAD])
-            if known is None:
-                self.extend(s, 0, back, piece_at, best, HEAD)
-                if len(self.heads) >= self.most_heads:
-                    self.heads.clear()
-                known = self.heads[s[:HEAD]] = tuple(back), tuple(piece_at), tuple(best)
-            back, piece_at, best = map(list, known)
+        vocabulary is a piece of its own."""
+        n, off = len(s), 0
+        back, piece_at, best = [0], [""], [self.after("") if self.v.kind == "bpe" else 0.0]
         while True:
             end = min(n, max(off + 2 * self.longest + self.STRIDE, off + len(back) - 1))
             self.extend(s, off, back, piece_at, best, end)
-            # where do the paths to all positions meet from which a piece can go on?
-            paths = {n} if end == n else set(range(end - self.longest + 1, end + 1))
-            while len(paths) > 1:
-                top = max(paths)
-                paths.remove(top)
-                paths.add(max(back[top - off], off))
-            meet = at = paths.pop()
-            run = []
+            meet = end
+            if end < n:  # where do the paths to all positions meet from which a piece can go on?
+                paths = set(range(end - self.longest + 1, end + 1))
+                while len(paths) > 1:
+                    top = max(paths)
+                    paths.remove(top)
+                    paths.add(max(back[top - off], off))
+                meet = paths.pop()
+            at, run = meet, []
             while at > off:
                 run.append(piece_at[at - off])
                 at = back[at - off]
@@ -252,9 +315,7 @@ class Codec:
         if found is None:
             found = self.older.get(word)
             if found is None:
-                bare = word.lstrip(SPACE)
-                cut = 0 if len(word) > 40 or bare.isascii() and bare.isalpha() else next((k for k in range(len(word) - 1, 0, -1) if word[k - 1 : k + 1] not in self.inside), 0)
-                found = self.word(word[:cut]) + self.word(word[cut:]) if cut else [i for run in self.search(word) for i in self.ids_of(run)]
+                found = [i for run in self.search(word) for i in self.ids_of(run)]
             if len(word) <= 40:
                 if len(self.memo) >= self.most_parts:
                     self.older, self.memo = self.memo, {}
@@ -273,7 +334,6 @@ class Codec:
             text = re.sub(" +", " ", text.strip(" "))
         s = (" " if self.v.prefix and text else "") + text
         out: list[int] = []
-        memo = self.memo
         for word in self.words.findall(s.replace(" ", SPACE)):
             out += self.memo.get(word) or self.word(word)
         if not self.fallback:

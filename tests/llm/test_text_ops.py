@@ -6,6 +6,7 @@ import random
 import re
 import textwrap
 import zlib
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -295,6 +296,39 @@ def test_unigram_paths_have_the_best_score():
             assert "".join(names[i] for i in got) == s and math.isclose(sum(v.scores[i] for i in got), best[len(s)])
 
 
+def test_search_tries_only_pieces_that_end_there():
+    """Texts go through the states of the vocabulary, and no position looks up all
+    the strings that end there; states are kept as the memory allows."""
+
+    class Counted(dict):
+        n = 0
+
+        def __contains__(self, x):
+            self.n += 1
+            return dict.__contains__(self, x)
+
+        def get(self, *x):
+            self.n += 1
+            return dict.get(self, *x)
+
+    rng = random.Random(15)
+    t = "".join(rng.choice(["th", "er", "in", " ", "on", "a", "é", "st", ".", "日", "\x00", "😀"]) for _ in range(3000))
+    s = "▁" + t.replace(" ", "▁")
+    want = sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(t)
+    for kind in ("bpe", "unigram"):
+        codec = pieces.Codec(replace(pieces.Vocabulary.load(PIECES), kind=kind))
+        first = [i for run in codec.search(s) for i in codec.ids_of(run)]
+        codec.ids = Counted(codec.ids)
+        assert [p for run in codec.search(s) for p in run] and codec.ids.n <= 2 * len(s)
+        assert kind == "unigram" or first == want
+        small = pieces.Codec(codec.v)
+        small.most_steps = 50
+        for k in range(0, len(s), 40):
+            list(small.search(s[k : k + 40]))
+            assert small.n_steps <= 50 + 41 * (1 + pieces.STATE) and len(small.heads) * (1 + pieces.STATE) <= small.n_steps
+        assert [i for run in small.search(s) for i in small.ids_of(run)] == first
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = mil.train([], np.zeros(0, np.float32))
