@@ -5,7 +5,6 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, groupby
-from operator import itemgetter
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -61,13 +60,14 @@ def parted(rows: DataFrame, by: list[str], scratch: Scratch, sizes: DataFrame |
     larger ones (True). sizes: by and n, added up, where that is less to read than
     the rows. No part is left out; a part without groups isn't there."""
     n = (rows.select(*map(at, by), F.lit(1).alias("n_of")) if sizes is None else sizes.select(*map(at, by), F.col("n").alias("n_of"))).groupBy(*map(at, by)).agg(F.sum("n_of").alias("n_of"))
+    if not by:
+        # all rows are one group, which has no key that could be written
+        return [(rows, not n.where(F.col("n_of") > LARGE).isEmpty())]
     names = free(rows.columns, *(f"g{i}" for i in range(len(by))))
     # one row for each LARGE rows at most
     large = scratch.save(n.where(F.col("n_of") > LARGE).select(*(at(c).alias(g) for c, g in zip(by, names, strict=True))), "large")
     if large.isEmpty():
         return [(rows, False)]
-    if not by:
-        return [(rows, True)]
     met = F.lit(True)
     for c, g in zip(by, names, strict=True):
         met &= at(c).eqNullSafe(at(g))
@@ -257,7 +257,7 @@ def _folded(rows: DataFrame, by: list[str], order: list[str | Column], columns:
     in_order = lambda df: df.repartition(*map(at, by), part).sortWithinPartitions(*map(at, by), part, pos)
 
     def summed(given: Iterator[tuple]) -> Iterator[tuple]:
-        for key, of in groupby(given, itemgetter(*range(n))):
+        for key, of in groupby(given, lambda r: r[:n]):
             yield *key, pickle.dumps(fold.summary(r[n + 1 :] for r in of))
 
     def entered(given: Iterator[tuple]) -> Iterator[tuple]:
@@ -268,7 +268,7 @@ def _folded(rows: DataFrame, by: list[str], order: list[str | Column], columns:
                 state = fold.after(state, pickle.loads(r[n]))
 
     def carried(given: Iterator[tuple]) -> Iterator[tuple]:
-        for _, of in groupby(given, itemgetter(*range(n))):
+        for _, of in groupby(given, lambda r: r[:n]):
             first = next(of)
             places = [first[n]]
 
@@ -283,7 +283,7 @@ def _folded(rows: DataFrame, by: list[str], order: list[str | Column], columns:
                 yield places[0], *out
 
     sums = mapped(in_order(narrow), summed, T.StructType([*keys, T.StructField(has, T.BinaryType())]))
-    states = mapped(sums.repartition(*map(at, by)).sortWithinPartitions(*map(at, by), part), entered, T.StructType([*keys, T.StructField(has, T.BinaryType())]))
+    states = mapped((sums.repartition(*map(at, by)) if by else sums.repartition(1)).sortWithinPartitions(*map(at, by), part), entered, T.StructType([*keys, T.StructField(has, T.BinaryType())]))
     states = scratch.save(states, "states")
     given = _with(narrow, by, part, states)
     made = spark.createDataFrame([], outputs).schema

@@ -71,12 +71,17 @@ def record_table(records: DataFrame, id_col: str, map_col: str) -> DataFrame:
     key, so what moves grows with the cells, and a record's row is filled up to
     the number of keys. Keys that only some records have cost those records
     nothing but the empty cells of the result. A record whose id is another's or
-    null has a row of its own; an empty or null map gives empty cells.
+    null has a row of its own, null ids last; an empty or null map gives empty
+    cells. Of a key that a map has more than once, as one read from JSON may, the
+    first value counts.
     """
     scratch = Scratch(records.sparkSession, "records")
-    rows = scratch.save(records.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(map_col).alias("m")), "records")
+    names = F.map_keys(map_col)
+    firsts = F.map_from_entries(F.filter(F.map_entries(map_col), lambda e, i: F.array_position(names, e["key"]) == i + 1))
+    once = F.when(F.size(F.array_distinct(names)) < F.size(names), firsts).otherwise(F.col(map_col))
+    rows = scratch.save(records.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), once.alias("m")), "records")
     each = rows.select("id", "uid", F.posexplode(F.map_keys("m")).alias("at", "key"))
-    keys = each.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"))
+    keys = each.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"))
     keys = scratch.save(running(keys, [], ["first", "key"]).select(F.col("key").alias("k"), (F.col("place") - 1).cast("int").alias("col_no")), "keys")
     width = keys.count()
     cell = F.replace(F.regexp_replace(F.coalesce("value", F.lit("")), r"\r?\n", " "), F.lit("|"), F.lit("\\|"))

@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from folio.operators import layout, pages, ranks, rulings, tables
+from folio.queries import ORACLES, QUERIES
 
 
 @pytest.fixture
@@ -69,3 +72,25 @@ def test_joined_lines_of_small_documents(spark, both):
 def test_places_of_small_groups(spark, both):
     rows = [(k % 4 or None, k * 7 % 50, k) for k in range(60)]
     both(lambda: ranks.running(spark.createDataFrame(rows, "g int, t int, v int").repartition(3), ["g"], ["t", "v"], F.col("v")))
+
+
+def test_rows_without_a_key_are_one_group(spark, both):
+    rows = [(k * 7 % 50, k) for k in range(60)]
+    df = spark.createDataFrame(rows, "t int, v int").repartition(3)
+    got = both(lambda: ranks.running(df, [], ["t", "v"], F.col("v")))
+    ahead = [sum(v for _, v in sorted(rows)[:k]) for k in range(60)]
+    assert got == sorted(f"Row(t={t}, v={v}, place={k + 1}, ahead={ahead[k]})" for k, (t, v) in enumerate(sorted(rows)))
+    both(lambda: ranks.islands(df.withColumn("end", F.col("t") + F.col("v") % 3), [], "t", "end"))
+    both(lambda: ranks.folded(df, [], ["t", "v"], ["v"], layout.Rising(), "repaired long"))
+    assert ranks.running(df.limit(0), [], ["t"]).count() == 0
+
+
+def test_records_of_repeated_keys_and_null_ids(spark, both, tmp_path):
+    """As DuckDB's SQL of json_to_table has it, also where keys are numbered by ranges."""
+    texts = [(None, '{"n": 1, "b": 2}'), (5, '{"m": "x|y", "c": null, "m": 3}'), (6, "{}"), (7, '{"n": 2, "d": {"e": [1, 2]}}'), (8, None)]
+    spark.createDataFrame(texts, "event_id long, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(ORACLES["json_to_table"])
+    make = Row(*(c[0] for c in found.description))
+    assert both(lambda: QUERIES["json_to_table"](spark, str(tmp_path))) == sorted(repr(make(*r)) for r in found.fetchall())
